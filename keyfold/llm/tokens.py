@@ -57,7 +57,7 @@ class PieceCounter:
                 frequency = Counter(self.pieces(text))
                 specials.append(0)
             frequencies.append(frequency)
-            new.update(dict.fromkeys(frequency.keys() - self.counts.keys()))
+            new.update(dict.fromkeys(p for p in frequency if p not in self.counts))
         fresh = list(new)
         for at in range(0, len(fresh), 20_000):
             block = fresh[at : at + 20_000]
