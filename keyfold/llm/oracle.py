@@ -5,8 +5,8 @@ from __future__ import annotations
 SQL: dict[str, str] = {}
 
 SQL["op10_decontamination"] = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS s
        FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
 k AS (SELECT DISTINCT k FROM bw),
@@ -19,3 +19,30 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+SQL["op1_line_dedup"] = r"""
+WITH l AS (SELECT rid, doc_id, i, lines[i] AS line, trim(translate(lines[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
+           FROM (SELECT rid, doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+                 FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+f AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT l.doc_id AS doc_id, count(*) AS n_lines, CAST(count(*) FILTER (keeper IS NOT NULL AND l.doc_id <> keeper) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keeper IS NULL OR l.doc_id = keeper), '')) AS kept_sha256
+FROM l LEFT JOIN f ON l.key = f.key GROUP BY rid, l.doc_id
+"""
+
+SQL["op4_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, left(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 9) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(([5, 2, 1])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight FROM d GROUP BY source),
+o AS (SELECT *, CAST(sum(2 * source_size) OVER w AS DOUBLE) AS capped, sum(weight) OVER () - sum(weight) OVER w AS open, CAST(1.5 AS DOUBLE) * CAST(sum(source_size) OVER () AS DOUBLE) AS budget
+      FROM s WINDOW w AS (ORDER BY source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+u AS (SELECT *, (budget - (capped - 2 * source_size)) / (open + weight) AS level FROM o),
+z AS (SELECT source, source_size, weight, max(CASE WHEN level * weight <= 2 * source_size THEN level END) OVER () AS first_level, level, CAST(2 * source_size AS DOUBLE) AS cap FROM u),
+g AS (SELECT source, source_size, CASE WHEN cap = 0 THEN CAST(0 AS DOUBLE) ELSE least(cap, first_level * weight) END AS target FROM z),
+p AS (SELECT *, CAST(CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END AS BIGINT) AS full_copies FROM g),
+b AS (SELECT d.source AS source, h, sum(size) AS n FROM d GROUP BY d.source, h),
+c AS (SELECT b.source AS source, h, sum(n) OVER (PARTITION BY b.source ORDER BY h) - n + n / 2.0 <= target - full_copies * source_size AS taken
+      FROM b JOIN p ON b.source IS NOT DISTINCT FROM p.source)
+SELECT d.doc_id AS doc_id, CAST(d.size AS BIGINT) AS size, p.source_size AS source_size, p.target AS target,
+       CAST(d.size * (p.full_copies + CASE WHEN c.taken THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.h = c.h
+"""

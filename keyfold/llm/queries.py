@@ -9,6 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines, digest
+
+    return digest(dedup_lines(table(spark, sf_dir, "documents")))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import digest, mix
+
+    return digest(mix(table(spark, sf_dir, "documents")))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .langid import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, train(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,7 +47,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_token_counts, op10_decontamination)}
+    return {f.__name__: f for f in (op1_line_dedup, op4_mixing, op6_language_id, op9_token_counts, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
