@@ -15,12 +15,29 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(dedup_lines(table(spark, sf_dir, "documents")))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .chat import digest, format_chat, text_parts
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    added = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
+    return digest(format_chat(turns.unionByName(added).withColumn("parts", text_parts())))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import digest, mix
 
     return digest(mix(table(spark, sf_dir, "documents")))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import judge, labelled_urls, train
+
+    return judge(table(spark, sf_dir, "pages"), train(labelled_urls(spark)))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -47,7 +64,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op4_mixing, op6_language_id, op9_token_counts, op10_decontamination)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_chat_format, op4_mixing, op5_url_filter, op6_language_id, op9_token_counts, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
