@@ -180,9 +180,13 @@ class Model:
 def train(docs: DataFrame, sample_chars: int = 60_000, all_chars: int = 480_000, sample_docs: int = 200) -> Model:
     """Fit on at most ``sample_docs`` labelled texts and ``sample_chars`` characters of each language."""
     rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    # The ids first: so texts are neither sorted nor shuffled.  Ranks within parts of a language come before ranks in
+    # it, so a language of most rows isn't gathered in one task.
+    rows = rows.distinct().withColumn("part", F.pmod("h", F.lit(64)))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    # The ids first: so texts are neither sorted nor shuffled.
-    rank = {(r["lang"], r["doc_id"]): r["k"] for r in rows.distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs).select("lang", "doc_id", "k").collect()}
+    in_part = Window.partitionBy("lang", "part").orderBy("h", "doc_id")
+    rows = rows.withColumn("k", F.row_number().over(in_part)).where(F.col("k") <= sample_docs // 8 + 1)
+    rank = {(r["lang"], r["doc_id"]): r["k"] for r in rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs).select("lang", "doc_id", "k").collect()}
     ids = sorted({doc_id for _, doc_id in rank if doc_id is not None})
     if not ids:
         return Model({})

@@ -58,3 +58,24 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+def _license_sql() -> str:
+    from .licenses import TEMPLATES, bigrams_of
+
+    rows = ", ".join("('%s', [%s])" % (k, ", ".join(f"'{b}'" for b in bigrams_of(v))) for k, v in TEMPLATES.items())
+    return r"""
+WITH t(licence, g) AS (VALUES ROWS),
+u AS (SELECT rid, doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '\n|[.!?][ \t\r]+')) AS unit FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents)),
+w AS (SELECT rid, doc_id, unit, regexp_extract_all(unit, '[a-z0-9]+') AS w FROM u),
+b AS (SELECT rid, doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w),
+m AS (SELECT rid, doc_id, licence, CAST(2 * len(list_intersect(b.g, t.g)) AS DOUBLE) / (len(b.g) + len(t.g)) AS dice, row_number() OVER () AS x, b.g AS g FROM b, t),
+k AS (SELECT rid, doc_id, g, licence, dice FROM m WHERE dice >= 0.8),
+n AS (SELECT rid, licence, dice, row_number() OVER (PARTITION BY rid ORDER BY dice DESC, licence) AS r FROM k),
+c AS (SELECT rid, count(*) AS n_units FROM (SELECT b.rid AS rid, (SELECT count(*) FROM t WHERE CAST(2 * len(list_intersect(b.g, t.g)) AS DOUBLE) / (len(b.g) + len(t.g)) >= 0.8) AS hits FROM b) WHERE hits > 0 GROUP BY rid)
+SELECT d.doc_id AS doc_id, n.licence AS licence, coalesce(n.dice, CAST(0 AS DOUBLE)) AS dice, CAST(coalesce(c.n_units, 0) AS BIGINT) AS n_units
+FROM (SELECT row_number() OVER () AS rid, doc_id FROM documents) d LEFT JOIN n ON n.rid = d.rid AND n.r = 1 LEFT JOIN c ON c.rid = d.rid
+""".replace("ROWS", rows)
+
+
+SQL["op7_license_scan"] = _license_sql()

@@ -48,6 +48,21 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .vectors import build_index, search
+
+    graphs, clean = build_index(table(spark, sf_dir, "embeddings"))
+    return search(graphs, clean.where(F.col("vec_id") % 20 == 0))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,7 +79,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op3_chat_format, op4_mixing, op5_url_filter, op6_language_id, op9_token_counts, op10_decontamination)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_chat_format, op4_mixing, op5_url_filter, op6_language_id, op7_license_scan, op8_nearest, op9_token_counts, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
