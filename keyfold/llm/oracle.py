@@ -79,3 +79,14 @@ FROM (SELECT row_number() OVER () AS rid, doc_id FROM documents) d LEFT JOIN n O
 
 
 SQL["op7_license_scan"] = _license_sql()
+
+SQL["op2_near_dedup"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+r(doc_id, low) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.doc_id)
+SELECT documents.doc_id AS doc_id, coalesce(n.n, 0) AS n_shingles, m.low AS component_id, documents.doc_id = m.low AS kept
+FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id JOIN (SELECT doc_id, min(low) AS low FROM r GROUP BY doc_id) m ON m.doc_id = documents.doc_id
+"""

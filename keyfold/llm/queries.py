@@ -15,6 +15,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(dedup_lines(table(spark, sf_dir, "documents")))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -79,7 +85,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op3_chat_format, op4_mixing, op5_url_filter, op6_language_id, op7_license_scan, op8_nearest, op9_token_counts, op10_decontamination)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_chat_format, op4_mixing, op5_url_filter, op6_language_id, op7_license_scan, op8_nearest, op9_token_counts, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
