@@ -80,4 +80,23 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def keep_rows(docs: DataFrame, keep) -> DataFrame:
+    """The rows of docs that ``keep`` marks, all columns as they are.
+
+    keep() is called once in each task and gives a function from a list of texts to a list of booleans.
+    """
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def select(batches):
+        import pyarrow as pa
+
+        marks = keep()
+        for record in batches:
+            for low in range(0, record.num_rows, 2048):
+                part = record.slice(low, 2048)
+                yield part.filter(pa.array(marks(part.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(select, docs.schema)
+
+
 ship(__name__)

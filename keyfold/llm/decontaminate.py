@@ -19,13 +19,11 @@ is not listed.  Repeated rows and items each get the same result.
 
 from __future__ import annotations
 
-import hashlib
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import keep_rows, ship
 
 #: Bytes that end a word: all of ASCII but digits and lower-case letters, after lower-casing.
 _BLANK = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -106,6 +104,14 @@ def scan(words: list[bytes], matchers: list[WuManber]) -> tuple[int, set, list[t
     return sum(high - low for low, high in merged), ids, [tuple(x) for x in merged]
 
 
+def _shared_items(benchmark: DataFrame, max_benchmark_mb: int):
+    """The items as a broadcast variable; their size is checked first."""
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > max_benchmark_mb << 20:
+        raise ValueError(f"the benchmark has {size} bytes; split it and combine the results")
+    return benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in benchmark.select("item_id", "text").collect()])
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = 13, max_windows: int = 200_000, share: int = 20, max_benchmark_mb: int = 64
 ) -> DataFrame:
@@ -114,12 +120,7 @@ def contamination(
     contaminated: at least one word in ``share`` is hit.  The benchmark goes to
     every task, so its size is checked: texts beyond ``max_benchmark_mb`` are refused.
     """
-    spark = docs.sparkSession
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > max_benchmark_mb << 20:
-        raise ValueError(f"the benchmark has {size} bytes; split it and combine the results")
-    items = [tuple(r) for r in benchmark.select("item_id", "text").collect()]
-    shared = spark.sparkContext.broadcast(items)
+    shared = _shared_items(benchmark, max_benchmark_mb)
     schema = "doc_id bigint, n_words bigint, n_hit bigint, spans array<struct<low:bigint,high:bigint>>, item_ids array<string>, contaminated boolean"
     span_type = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 
@@ -141,6 +142,23 @@ def contamination(
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(search, schema)
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_windows: int = 200_000, share: int = 20, max_benchmark_mb: int = 64) -> DataFrame:
+    """The rows of docs that aren't contaminated."""
+    shared = _shared_items(benchmark, max_benchmark_mb)
+
+    def keep():
+        matchers = matchers_of(shared.value, window, max_windows)
+
+        def clean(text):
+            words = words_of(text)
+            n_hit = scan(words, matchers)[0] if words else 0
+            return not (n_hit and share * n_hit >= len(words))
+
+        return lambda texts: list(map(clean, texts))
+
+    return keep_rows(docs, keep)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The columns of the standard query."""
     return found.select(

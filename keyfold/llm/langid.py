@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import keep_rows, ship
 
 UNKNOWN = "und"
 _LIMIT = 0x110000
@@ -214,4 +214,18 @@ def identify(docs: DataFrame, model: Model, batch: int = 2048) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(predict, "doc_id bigint, lang_pred string, score double, phrase_rate double")
 
 
+def known_rows(docs: DataFrame, model: Model, most_phrases: float) -> DataFrame:
+    """The rows whose text has letters and needs at most ``most_phrases`` phrases for each normal character."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep():
+        def marks(texts):
+            lang, _, rate = shared.value.predict(texts)
+            return [x != UNKNOWN and r <= most_phrases for x, r in zip(lang, rate)]
+
+        return marks
+
+    return keep_rows(docs, keep)
+
+
 ship(__name__)

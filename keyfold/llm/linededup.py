@@ -113,8 +113,8 @@ class LineRuns:
         return self._merged(self._runs())
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept (the text that stays) of each row of docs."""
+def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
+    """gone_id, gone: the hashes whose lines a document loses, for each document that loses any."""
     spark = docs.sparkSession
     keys, _ = written(postings(docs, min_chars), "line-postings")
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
@@ -125,30 +125,66 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
         batch = keys.where((F.col("doc_id") <= top) & (F.col("doc_id") > top - step))
         runs.ingest(batch.groupBy("h").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")))
     frequent = runs.entries().where(F.col("n") >= min_docs).select("h", "keeper")
-    dropped = (
-        keys.join(frequent, "h").where(F.col("doc_id") < F.col("keeper")).groupBy("doc_id").agg(F.collect_set("h").alias("gone")).withColumnRenamed("doc_id", "gone_id")
-    )
+    return keys.join(frequent, "h").where(F.col("doc_id") < F.col("keeper")).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("h").alias("gone"))
+
+
+def cut_lines(text: str, gone: list[bytes] | None, min_chars: int) -> tuple[list[str], int]:
+    """The lines that stay, and how many there were."""
+    from xxhash import xxh3_128_digest
+
+    lines = text.split("\n")
+    if not gone:
+        return lines, len(lines)
+    lost = set(gone)
+    return [line for line, k in zip(lines, line_keys(text, min_chars)) if k is None or xxh3_128_digest(k) not in lost], len(lines)
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept (the text that stays) of each row of docs."""
+    dropped = dropped_lines(docs, min_chars, min_docs, batches, fanout)
     rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").join(dropped.hint("shuffle_hash"), F.col("doc_id") == F.col("gone_id"), "left").select("doc_id", "text", "gone")
 
     def cut(records):
-        from xxhash import xxh3_128_digest
-
         for record in records:
             out: list[list] = [[], [], []]
             for text, gone in zip(record.column(1), record.column(2).to_pylist()):
-                text = text.as_py() or ""
-                lines = text.split("\n")
-                kept = lines
-                if gone:
-                    gone = set(gone)
-                    kept = [line for line, k in zip(lines, line_keys(text, min_chars)) if k is None or xxh3_128_digest(k) not in gone]
-                for column, value in zip(out, (len(lines), len(lines) - len(kept), "\n".join(kept))):
+                kept, n = cut_lines(text.as_py() or "", gone, min_chars)
+                for column, value in zip(out, (n, n - len(kept), "\n".join(kept))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([record.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept"])
 
     return rows.mapInArrow(cut, "doc_id bigint, n_lines bigint, n_dropped bigint, kept string")
 
 
+def replace_texts(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
+    """docs with the lines gone: all rows and columns stay; text, and n_chars if there is one, are the rest's."""
+    dropped = dropped_lines(docs.select("doc_id", "text"), min_chars, min_docs, batches, fanout)
+    names = [c.lower() for c in docs.columns]
+    at, count_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    # Positions, not names: docs may have columns of any name.
+    columns = [F.col(f"d.`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.alias("d").join(dropped.hint("shuffle_hash").alias("x"), F.col("d.doc_id").cast("bigint") == F.col("x.gone_id"), "left").select(*columns, F.col("x.gone").alias("gone"))
+    schema = docs.schema
+
+    def cut(records):
+        for record in records:
+            arrays = record.columns[:-1]
+            texts, sizes = [], []
+            for text, gone in zip(record.column(at), record.column(len(arrays)).to_pylist()):
+                text = text.as_py()
+                texts.append("\n".join(cut_lines(text, gone, min_chars)[0]) if text and gone else text)
+                sizes.append(None if texts[-1] is None else len(texts[-1]))
+            touched = pa.array([bool(g) for g in record.column(len(arrays)).is_valid().to_pylist()], pa.bool_())
+            arrays[at] = pa.array(texts, pa.string())
+            if count_at is not None:
+                import pyarrow.compute as pc
+
+                arrays[count_at] = pc.if_else(touched, pa.array(sizes, pa.int64()).cast(arrays[count_at].type), arrays[count_at])
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return rows.mapInArrow(cut, schema)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The columns of the standard query."""
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))

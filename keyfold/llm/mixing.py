@@ -95,12 +95,27 @@ def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     return plan.join(found, "key", "left").withColumn("last", F.coalesce("last", F.lit(END)))
 
 
-def mix(docs: DataFrame, weights: tuple = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2) -> DataFrame:
-    """doc_id, source, h, size, source_size, target, copies (of the whole document) of each row."""
-    sizes, _ = written(docs.select("doc_id", "source", source_key().alias("key"), place().alias("h"), words().alias("size")), "mix-sizes")
+def plan_mix(docs: DataFrame, weights: tuple = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The documents' sizes and places (doc_id, key, h, size), and the sources' plan (key, source_size, target, copies, budget, last)."""
+    sizes, _ = written(docs.select("doc_id", source_key().alias("key"), place().alias("h"), words().alias("size")), "mix-sizes")
     plan, _ = written(thresholds(sizes, targets(sizes, weights, share, most)), "mix-plan")
+    return sizes, plan
+
+
+def mix(docs: DataFrame, weights: tuple = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2) -> DataFrame:
+    """doc_id, size, source_size, target, copies (of the whole document) of each row."""
+    sizes, plan = plan_mix(docs, weights, share, most)
     out = sizes.join(plan, "key")
-    return out.select("doc_id", "source", "h", "size", "source_size", "target", (F.col("copies") + (F.col("h") <= F.col("last")).cast("bigint")).alias("copies"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") + (F.col("h") <= F.col("last")).cast("bigint")).alias("copies"))
+
+
+def take(docs: DataFrame, weights: tuple = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2) -> DataFrame:
+    """The rows of docs that the mix takes, with ``copies``, how often (in place of a column of that name)."""
+    _, plan = plan_mix(docs, weights, share, most)
+    columns = [F.col(f"d.`{c}`").alias(c) for c in docs.columns if c.lower() != "copies"]
+    out = docs.alias("d").join(plan.alias("p"), source_key("d.source") == F.col("p.key"))
+    copies = F.col("p.copies") + (place("d.doc_id") <= F.col("p.last")).cast("bigint")
+    return out.where(copies > 0).select(*columns, copies.alias("copies"))
 
 
 def digest(mixed: DataFrame) -> DataFrame:
