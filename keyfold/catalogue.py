@@ -1,11 +1,379 @@
-"""All registered queries of the keyed-mutation engine, with their SQL oracles."""
+"""All registered queries of the keyed-mutation engine, with their SQL oracles.
+
+Keys and values are binary in the engine and strings at the queries' edge.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keyfold import functions as fn
+from keyfold.config import StorageConfig
+from keyfold.operators import catalog, compaction, log, runs
+
+EVERY = 100
+#: Small targets, so that the test tables reach several levels.
+SMALL = StorageConfig(level_1_bytes=64 << 10, run_bytes=16 << 10, memtable_bytes=32 << 10)
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# The logs.
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _pad(c: str):
+    return F.lpad(F.col(c).cast("string"), 10, "0")
+
+
+def events_log(spark: SparkSession, d: str) -> DataFrame:
+    return log.mutations(_table(spark, d, "events"), _pad("user_id"), F.col("event_id"), F.col("props"), F.col("event_type") == "error")
+
+
+def orders_log(spark: SparkSession, d: str) -> DataFrame:
+    return log.mutations(_table(spark, d, "orders"), _pad("o_custkey"), F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus") == "F")
+
+
+def pages_log(spark: SparkSession, d: str) -> DataFrame:
+    return log.mutations(_table(spark, d, "pages"), F.col("url"), F.col("page_id"), F.col("html"))
+
+
+def documents_log(spark: SparkSession, d: str) -> DataFrame:
+    return log.mutations(_table(spark, d, "documents"), _pad("doc_id"), F.col("doc_id"), F.col("text"))
+
+
+EVENTS = """log AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'REMOVE' ELSE 'SET' END AS op, lpad(CAST(user_id AS VARCHAR), 10, '0') AS key,
+  event_type = 'error' AS tombstone, CASE WHEN event_type = 'error' THEN NULL ELSE coalesce(props, '') END AS value FROM events)"""
+ORDERS = """log AS (SELECT o_orderkey AS seq, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS key,
+  o_orderstatus = 'F' AS tombstone, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE coalesce(o_orderpriority, '') END AS value FROM orders)"""
+LATEST = "latest AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)"
+SIZE = "octet_length(encode(key)) + 5 + CASE WHEN tombstone THEN 0 ELSE 4 + octet_length(encode(value)) END"
+
+
+def _text(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("string") for c, t in df.dtypes if t == "binary"})
+
+
+# Logs and state.
+
+
+@query(f"WITH {EVENTS} SELECT seq, op, key, value FROM log")
+def kv_log(spark: SparkSession, d: str) -> DataFrame:
+    return _text(events_log(spark, d))
+
+
+@query(f"WITH {EVENTS}, {LATEST} SELECT key, tombstone, value, seq FROM latest")
+def kv_latest(spark: SparkSession, d: str) -> DataFrame:
+    return _text(log.latest(events_log(spark, d)))
+
+
+@query(f"WITH {EVENTS}, {LATEST} SELECT key, value, seq FROM latest WHERE NOT tombstone")
+def kv_live(spark: SparkSession, d: str) -> DataFrame:
+    return _text(log.live(events_log(spark, d)))
+
+
+@query(f"WITH {EVENTS}, {LATEST} SELECT key, value, seq FROM latest WHERE NOT tombstone AND key >= '0000000010' AND key < '0000000100' ORDER BY key")
+def kv_scan(spark: SparkSession, d: str) -> DataFrame:
+    return _text(log.scan(log.live(events_log(spark, d)), b"0000000010", b"0000000100"))
+
+
+def _get_sql(key: str) -> str:
+    return f"""WITH {EVENTS}, {LATEST} SELECT 0 AS req_id, '{key}' AS key, coalesce(NOT tombstone, false) AS found, coalesce(tombstone, false) AS deleted, CAST(1 AS TINYINT) AS code,
+CAST(coalesce(octet_length(encode(value)), 0) AS BIGINT) AS value_len, value FROM (SELECT 1) LEFT JOIN latest ON key = '{key}'"""
+
+
+@query(_get_sql("0000000001"))
+def kv_get_hit(spark: SparkSession, d: str) -> DataFrame:
+    return _text(log.get(events_log(spark, d), b"0000000001"))
+
+
+@query(f"""WITH {EVENTS}, {LATEST}, k AS (SELECT key FROM latest WHERE tombstone ORDER BY key LIMIT 1)
+SELECT 0 AS req_id, key, false AS found, true AS deleted, CAST(1 AS TINYINT) AS code, CAST(0 AS BIGINT) AS value_len, CAST(NULL AS VARCHAR) AS value FROM k""")
+def kv_get_deleted(spark: SparkSession, d: str) -> DataFrame:
+    state = log.latest(events_log(spark, d))
+    probe = state.where("tombstone").orderBy("key").limit(1).select(F.lit(0).alias("req_id"), "key")
+    return _text(log.lookup(state, probe))
+
+
+@query(_get_sql("nobody"))
+def kv_get_missing(spark: SparkSession, d: str) -> DataFrame:
+    return _text(log.get(events_log(spark, d), b"nobody"))
+
+
+@query(f"""WITH {ORDERS}, {LATEST}, probe AS (SELECT c_custkey AS req_id, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS key FROM customer UNION ALL SELECT -1, 'nobody')
+SELECT req_id, probe.key AS key, coalesce(NOT tombstone, false) AS found, coalesce(tombstone, false) AS deleted, CAST(1 AS TINYINT) AS code,
+  CAST(coalesce(octet_length(encode(value)), 0) AS BIGINT) AS value_len, value FROM probe LEFT JOIN latest ON probe.key = latest.key""")
+def kv_multi_get(spark: SparkSession, d: str) -> DataFrame:
+    probes = _table(spark, d, "customer").select(F.col("c_custkey").alias("req_id"), _pad("c_custkey").cast("binary").alias("key"))
+    extra = spark.range(1).select(F.lit(-1).cast("bigint").alias("req_id"), F.lit(b"nobody").alias("key"))
+    return _text(log.lookup(log.latest(orders_log(spark, d)), probes.unionByName(extra)))
+
+
+@query(f"WITH {EVENTS}, cut AS (SELECT * FROM log WHERE seq <= 500), latest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) SELECT key, value, seq FROM latest WHERE NOT tombstone")
+def kv_as_of(spark: SparkSession, d: str) -> DataFrame:
+    return _text(log.as_of(events_log(spark, d), 500))
+
+
+_REQUESTS = """req AS (SELECT event_id AS seq, event_id % 65536 AS req_id, lpad(CAST(user_id AS VARCHAR), 10, '0') AS key,
+  CASE event_type WHEN 'error' THEN 'REMOVE' WHEN 'view' THEN 'GET' ELSE 'SET' END AS op, coalesce(props, '') AS value FROM events)"""
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    op = F.when(F.col("event_type") == "error", "REMOVE").when(F.col("event_type") == "view", "GET").otherwise("SET")
+    return _table(spark, d, "events").select(F.col("event_id").alias("seq"), (F.col("event_id") % 65536).alias("req_id"), op.alias("op"), _pad("user_id").cast("binary").alias("key"), F.coalesce("props", F.lit("")).cast("binary").alias("value"))
+
+
+@query(f"""WITH {_REQUESTS}, r AS (SELECT *, last_value(CASE WHEN op <> 'GET' THEN struct_pack(t := op = 'REMOVE', v := value) END IGNORE NULLS)
+  OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM req),
+v AS (SELECT seq, req_id, op, CASE WHEN op = 'GET' AND NOT b.t THEN b.v END AS value FROM r)
+SELECT seq, req_id, CAST(CASE WHEN op = 'GET' THEN 1 ELSE 0 END AS TINYINT) AS code, CAST(coalesce(octet_length(encode(value)), 0) AS BIGINT) AS value_len, value FROM v""")
+def kv_execute(spark: SparkSession, d: str) -> DataFrame:
+    return _text(log.execute(_requests(spark, d)))
+
+
+@query(f"WITH {_REQUESTS} SELECT seq, op, op IN ('SET', 'GET', 'REMOVE') AND key IS NOT NULL AND (op <> 'SET' OR value IS NOT NULL) AS valid FROM req")
+def kv_validate(spark: SparkSession, d: str) -> DataFrame:
+    return log.valid_requests(_requests(spark, d)).select("seq", "op", "valid")
+
+
+# Sizes and runs.
+
+
+@query("SELECT page_id AS seq, CAST(octet_length(encode(url)) + 9 + octet_length(encode(html)) AS BIGINT) AS size FROM pages")
+def kv_entry_size(spark: SparkSession, d: str) -> DataFrame:
+    return runs.sized(log.entries(pages_log(spark, d))).select("seq", "size")
+
+
+@query(f"WITH {EVENTS}, s AS (SELECT seq, key, CAST({SIZE} AS BIGINT) AS size FROM log) SELECT seq, key, size, size - lag(size, 1, 0) OVER (PARTITION BY key ORDER BY seq) AS delta FROM s")
+def kv_size_delta(spark: SparkSession, d: str) -> DataFrame:
+    return _text(runs.size_deltas(log.entries(events_log(spark, d))).select("seq", "key", "size", "delta"))
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    return runs.runs_by_count(events_log(spark, d), EVERY)
+
+
+RUNS = f"""{EVENTS}, numbered AS (SELECT *, (row_number() OVER (ORDER BY seq) - 1) // {EVERY} AS run_id FROM log),
+runs AS (SELECT run_id, key, tombstone, value, seq FROM numbered QUALIFY row_number() OVER (PARTITION BY run_id, key ORDER BY seq DESC) = 1)"""
+
+
+@query(f"WITH {RUNS} SELECT run_id, key, tombstone, value, seq FROM runs")
+def kv_runs_fixed(spark: SparkSession, d: str) -> DataFrame:
+    return _text(_runs(spark, d))
+
+
+def _levelled(spark: SparkSession, d: str) -> DataFrame:
+    """The older half of the runs merged and split by key into runs of level 1 and 2, the newer half in level 0."""
+    r = _runs(spark, d)
+    cut = r.agg(F.floor(F.max("run_id") / 2).alias("cut"))
+    marked = r.join(F.broadcast(cut))  # one row
+    old = compaction.merge(marked.where(F.col("run_id") <= F.col("cut")).withColumn("level", F.lit(0)))
+    level = F.when(F.pmod(F.col("seq"), F.lit(3)) == 0, 2).otherwise(1)
+    part = F.substring(F.col("key").cast("string"), 1, 9)
+    bottom = old.select((level * 1_000_000 + part.cast("bigint")).alias("run_id"), "key", "tombstone", "value", "seq", level.alias("level"))
+    top = marked.where(F.col("run_id") > F.col("cut")).select("run_id", "key", "tombstone", "value", "seq", F.lit(0).alias("level"))
+    return top.unionByName(bottom)
+
+
+LEVELLED = f"""{RUNS}, cut AS (SELECT max(run_id) // 2 AS cut FROM runs),
+old AS (SELECT * FROM runs, cut WHERE run_id <= cut QUALIFY row_number() OVER (PARTITION BY key ORDER BY run_id DESC) = 1),
+levelled AS (SELECT run_id, key, tombstone, value, seq, 0 AS level FROM runs, cut WHERE run_id > cut
+  UNION ALL SELECT CASE WHEN seq % 3 = 0 THEN 2000000 ELSE 1000000 END + CAST(substr(key, 1, 9) AS BIGINT), key, tombstone, value, seq, CASE WHEN seq % 3 = 0 THEN 2 ELSE 1 END FROM old),
+meta AS (SELECT run_id, level, count(*) AS entry_count, CAST(sum({SIZE}) + 2 AS BIGINT) AS size_bytes, min(key) AS min_key, max(key) AS max_key FROM levelled GROUP BY run_id, level)"""
+
+
+@query(f"WITH {LEVELLED} SELECT run_id, level, entry_count, size_bytes, min_key, max_key FROM meta")
+def kv_run_meta(spark: SparkSession, d: str) -> DataFrame:
+    return _text(runs.describe(_levelled(spark, d)))
+
+
+@query(f"WITH {LEVELLED} SELECT level, count(*) AS runs, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM meta GROUP BY level")
+def kv_level_stats(spark: SparkSession, d: str) -> DataFrame:
+    return compaction.level_stats(runs.describe(_levelled(spark, d)))
+
+
+_SCORES = f"""scores AS (SELECT level, CASE WHEN level = 0 THEN CAST(count(*) AS FLOAT) / CAST({SMALL.level_0_runs} AS FLOAT)
+  ELSE CAST(sum(size_bytes) AS FLOAT) / CAST({SMALL.level_1_bytes} * pow({SMALL.level_growth}, level - 1) AS FLOAT) END AS s FROM meta GROUP BY level)"""
+
+
+@query(f"WITH {LEVELLED}, {_SCORES} SELECT level, CAST(round(CAST(s AS DOUBLE), 4) AS DOUBLE) AS score FROM scores")
+def kv_level_scores(spark: SparkSession, d: str) -> DataFrame:
+    return compaction.level_scores(runs.describe(_levelled(spark, d)), SMALL).select("level", F.round(F.col("score").cast("double"), 4).alias("score"))
+
+
+@query(f"WITH {LEVELLED}, {_SCORES} SELECT level FROM scores WHERE s >= 1 ORDER BY s DESC, level DESC LIMIT 1")
+def kv_due_level(spark: SparkSession, d: str) -> DataFrame:
+    return compaction.due_level(runs.describe(_levelled(spark, d)), SMALL).select("level")
+
+
+@query(f"WITH {LEVELLED} SELECT run_id, min_key, max_key FROM meta WHERE level = 1 AND min_key <= '0000000090' AND max_key >= '0000000042'")
+def kv_overlap(spark: SparkSession, d: str) -> DataFrame:
+    found = runs.overlapping(runs.describe(_levelled(spark, d)), 1, F.lit(b"0000000042"), F.lit(b"0000000090"))
+    return _text(found.select("run_id", "min_key", "max_key"))
+
+
+@query(f"""WITH {LEVELLED}, span AS (SELECT min(min_key) AS low, max(max_key) AS high FROM meta WHERE level = 0)
+SELECT run_id, level FROM meta, span WHERE level = 0 OR (level = 1 AND min_key <= high AND max_key >= low)""")
+def kv_pick_l0(spark: SparkSession, d: str) -> DataFrame:
+    return compaction.pick_level_0(runs.describe(_levelled(spark, d))).select("run_id", "level")
+
+
+@query(f"""WITH {LEVELLED}, f AS (SELECT * FROM meta WHERE level = 1 ORDER BY min_key, max_key, run_id LIMIT 1)
+SELECT run_id, level FROM f UNION ALL SELECT meta.run_id, meta.level FROM meta, f WHERE meta.level = 2 AND meta.min_key <= f.max_key AND meta.max_key >= f.min_key""")
+def kv_pick_level(spark: SparkSession, d: str) -> DataFrame:
+    return compaction.pick_level(runs.describe(_levelled(spark, d)), 1).select("run_id", "level")
+
+
+_MERGE = "row_number() OVER (PARTITION BY key ORDER BY level, run_id DESC)"
+
+
+@query(f"WITH {LEVELLED} SELECT key, tombstone, value, level, run_id FROM levelled QUALIFY {_MERGE} = 1")
+def kv_merge(spark: SparkSession, d: str) -> DataFrame:
+    return _text(compaction.merge(_levelled(spark, d)).select("key", "tombstone", "value", "level", "run_id"))
+
+
+@query(f"WITH {LEVELLED}, s AS (SELECT run_id FROM levelled QUALIFY {_MERGE} > 1) SELECT run_id, count(*) AS discarded FROM s GROUP BY run_id")
+def kv_merge_stale(spark: SparkSession, d: str) -> DataFrame:
+    return compaction.stale(_levelled(spark, d)).groupBy("run_id").agg(F.count(F.lit(1)).alias("discarded"))
+
+
+_TIERED = f"""{LEVELLED}, memory AS (SELECT CASE WHEN seq % 7 = 0 THEN 'active' WHEN seq % 7 = 1 THEN 'draining' ELSE 'immutable' END AS tier, 0 AS level, 0 AS run_id, key, tombstone, value, seq
+  FROM log WHERE seq % 50 < 3 QUALIFY row_number() OVER (PARTITION BY tier, key ORDER BY seq DESC) = 1),
+tiered AS (SELECT tier, level, run_id, key, tombstone, value, seq FROM memory UNION ALL SELECT 'run', level, run_id, key, tombstone, value, seq FROM levelled)"""
+
+
+@query(f"""WITH {_TIERED} SELECT key, tier, level, run_id, tombstone, value FROM tiered
+QUALIFY row_number() OVER (PARTITION BY key ORDER BY CASE tier WHEN 'active' THEN 0 WHEN 'draining' THEN 1 WHEN 'immutable' THEN 2 ELSE 3 END, level, run_id DESC) = 1""")
+def kv_tiered_get(spark: SparkSession, d: str) -> DataFrame:
+    seq = F.col("seq")
+    tier = F.when(seq % 7 == 0, "active").when(seq % 7 == 1, "draining").otherwise("immutable")
+    held = log.entries(events_log(spark, d)).where(seq % 50 < 3).withColumns({"tier": tier, "level": F.lit(0), "run_id": F.lit(0).cast("bigint")})
+    held = log.newest(held, seq.desc(), within=("tier",))
+    every = held.unionByName(_levelled(spark, d).withColumn("tier", F.lit("run")))
+    return _text(runs.tiered_latest(every).select("key", "tier", "level", "run_id", "tombstone", "value"))
+
+
+@query(f"""WITH {LEVELLED}, probe AS (SELECT c_custkey AS req_id, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS key FROM customer WHERE c_custkey <= 200),
+tried AS (SELECT req_id, meta.level AS level, meta.run_id AS run_id, l.key IS NOT NULL AS hit FROM probe JOIN meta ON meta.level = 0 OR (min_key <= probe.key AND max_key >= probe.key)
+  LEFT JOIN levelled l ON l.key = probe.key AND l.run_id = meta.run_id),
+v AS (SELECT req_id, coalesce(bool_or(hit) OVER (PARTITION BY req_id ORDER BY level, run_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM tried)
+SELECT probe.req_id AS req_id, CAST(count(*) FILTER (NOT done) AS BIGINT) AS runs_visited FROM probe LEFT JOIN v ON v.req_id = probe.req_id GROUP BY probe.req_id""")
+def kv_read_amp(spark: SparkSession, d: str) -> DataFrame:
+    levelled = _levelled(spark, d)
+    probes = _table(spark, d, "customer").where("c_custkey <= 200").select(F.col("c_custkey").alias("req_id"), _pad("c_custkey").cast("binary").alias("key"))
+    return runs.read_cost(levelled, runs.describe(levelled), probes)
+
+
+# Catalogue, replay, routing.
+
+
+@query(f"""WITH {LEVELLED}, e AS (SELECT run_id, 'ADD' AS action, run_id AS edit_seq FROM meta UNION ALL SELECT run_id, 'REMOVE', 5000000 FROM meta WHERE run_id % 3 = 0
+  UNION ALL SELECT run_id, 'ADD', 5000001 FROM meta WHERE run_id % 6 = 0), l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY edit_seq DESC) = 1)
+SELECT m.run_id AS run_id, m.level AS level, m.entry_count AS entry_count, m.size_bytes AS size_bytes, m.min_key AS min_key, m.max_key AS max_key FROM l JOIN meta m ON m.run_id = l.run_id WHERE action = 'ADD'""")
+def kv_catalog_replay(spark: SparkSession, d: str) -> DataFrame:
+    meta = runs.describe(_levelled(spark, d))
+    first = catalog.additions(meta, 0).withColumn("edit_seq", F.col("run_id"))
+    edits = first.unionByName(catalog.removals(meta.where("run_id % 3 = 0"), 5_000_000)).unionByName(catalog.additions(meta.where("run_id % 6 = 0"), 5_000_001))
+    return _text(catalog.replay(edits))
+
+
+_SEGMENTS = """seg AS (SELECT (o_orderkey * 7) % 16 AS segment_order, o_orderkey AS pos, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS key,
+  o_orderstatus = 'F' AS tombstone, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE coalesce(o_orderpriority, '') END AS value FROM orders)"""
+
+
+@query(f"WITH {_SEGMENTS} SELECT key, tombstone, value, segment_order, pos FROM seg QUALIFY row_number() OVER (PARTITION BY key ORDER BY segment_order DESC, pos DESC) = 1")
+def kv_wal_replay(spark: SparkSession, d: str) -> DataFrame:
+    segments = orders_log(spark, d).select(((F.col("seq") * 7) % 16).alias("segment_order"), F.col("seq").alias("pos"), "op", "key", "value")
+    state = log.latest(log.recover(segments))
+    return _text(state.select("key", "tombstone", "value", "seq.segment_order", "seq.pos"))
+
+
+_MD5 = "CAST('0x' || substr(md5(key), 1, 15) AS BIGINT) % 8 + 1"
+
+
+@query(f"WITH {EVENTS} SELECT seq, key, CAST({_MD5} AS INTEGER) AS shard FROM log")
+def kv_route(spark: SparkSession, d: str) -> DataFrame:
+    rows = events_log(spark, d)
+    return _text(log.route(rows, 8, hashed=fn.md5_hash(F.col("key"))).select("seq", "key", "shard"))
+
+
+@query(f"WITH {EVENTS} SELECT CAST({_MD5} AS INTEGER) AS shard, {_MD5} <> 3 AS mismatch, count(*) AS n FROM log GROUP BY ALL")
+def kv_shard_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    rows = log.route(events_log(spark, d), 8, here=3, hashed=fn.md5_hash(F.col("key")))
+    return rows.groupBy("shard", "mismatch").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def kv_route_exact(spark: SparkSession, d: str) -> DataFrame:
+    return _text(events_log(spark, d).select("seq", "key", fn.xxh3_shard(8)("key").alias("shard")))
+
+
+@query("SELECT CAST(a AS INTEGER) AS attempt, CAST(least(100 * pow(2, a), 5000) AS BIGINT) AS cap_ms FROM range(0, 12) t(a)")
+def kv_backoff_cap(spark: SparkSession, d: str) -> DataFrame:
+    return spark.range(12).select(F.col("id").cast("int").alias("attempt"), fn.backoff_cap(F.col("id")).alias("cap_ms"))
+
+
+# Folds.
+
+
+@query(f"""WITH RECURSIVE {LEVELLED}, m AS (SELECT key, CAST({SIZE} AS BIGINT) AS size FROM levelled QUALIFY {_MERGE} = 1),
+n AS (SELECT key, size, row_number() OVER (ORDER BY key) AS i FROM m),
+f AS (SELECT i, key, CAST(0 AS BIGINT) AS output, 2 + size AS bytes FROM n WHERE i = 1
+  UNION ALL SELECT n.i, n.key, CASE WHEN f.bytes >= 2048 THEN f.output + 1 ELSE f.output END, CASE WHEN f.bytes >= 2048 THEN 2 + n.size ELSE f.bytes + n.size END FROM f JOIN n ON n.i = f.i + 1)
+SELECT key, output, bytes FROM f""")
+def kv_split_outputs(spark: SparkSession, d: str) -> DataFrame:
+    return _text(runs.split_outputs(compaction.merge(_levelled(spark, d)), 2048))
+
+
+@query()
+def kv_rotation_exact(spark: SparkSession, d: str) -> DataFrame:
+    return runs.rotate(events_log(spark, d), SMALL.memtable_bytes, fn.shard_of(F.col("key"), 4))
+
+
+@query()
+def kv_group_commit(spark: SparkSession, d: str) -> DataFrame:
+    ms = F.unix_micros(F.col("ts").cast("timestamp")) / 1000
+    commands = _table(spark, d, "events").select(F.col("event_id").alias("seq"), F.floor(ms).alias("at_ms"))
+    return runs.group_commits(commands, batch_commands=64, window_ms=3_600_000)
+
+
+@query(f"WITH {EVENTS}, {LATEST} SELECT key, value, seq FROM latest WHERE NOT tombstone")
+def kv_stream_live(spark: SparkSession, d: str) -> DataFrame:
+    """The events log as a stream, folded into state batch by batch."""
+    from keyfold.streaming.ingest import fold_events
+
+    return _text(fold_events(spark, f"{d}/events.parquet"))
+
+
+@query(f"WITH {EVENTS}, {LATEST} SELECT key, value, seq FROM latest WHERE NOT tombstone")
+def kv_store_live(spark: SparkSession, d: str) -> DataFrame:
+    """The events log written through the store (rotated, flushed, compacted) and read back from its runs."""
+    from keyfold.plans.store import Store, scratch_folder
+
+    store = Store(spark, scratch_folder(spark, "store"), SMALL)
+    store.apply(events_log(spark, d))
+    store.compact()
+    return _text(store.scan())
