@@ -15,15 +15,16 @@ of a candidate pair are counted over all coordinates.
 
 A list of near copies would still give all its pairs.  So lists are merged in
 two steps.  First every node of a list meets only the list's hub, its most
-central node (whose tokens are the most frequent); candidates are confirmed on
+central node (see ``hubbed_lists``); candidates are confirmed on
 the full sets, and links make first components.  Then pairs within a list are
 formed only if they are in different components and can still be linked:
   - sizes within the ratio;
   - coordinates before the common token, in either order, can't match, so their
     union leaves room for 42;
-  - if both have a known overlap with the hub, a pair with no other common
-    shingle has at most the smaller overlap in common; unless that is enough,
-    they must share a shingle that the hub lacks, and are found under it.
+  - if both have a known overlap with the centre of the hub's candidates (the
+    shingles that most of them have), a pair with no other common shingle has at
+    most the smaller overlap in common; unless that is enough, they must share a
+    shingle that the centre lacks, and are found under it.
 These drop no pair that could be linked, so components are those of all links
 (but for the odds above).
 
@@ -38,7 +39,7 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship, written
@@ -127,7 +128,7 @@ def token_counters(nodes: DataFrame) -> np.ndarray:
 
 
 def postings(nodes: DataFrame, counters: np.ndarray, match: int) -> DataFrame:
-    """token, node, n, mask (coordinates before it in the node's order), central of each prefix token."""
+    """token, node, n, mask (coordinates before it in the node's order) of each prefix token."""
     shared = nodes.sparkSession.sparkContext.broadcast(counters)
     prefix = COORDINATES - match + 1
 
@@ -142,18 +143,17 @@ def postings(nodes: DataFrame, counters: np.ndarray, match: int) -> DataFrame:
                 order = np.argsort(rank, axis=1, kind="stable")
                 bits = _U(1) << order.astype(np.uint64)
                 before = np.cumsum(bits, axis=1, dtype=np.uint64) - bits
-                central = np.log2(often).sum(axis=1).astype(np.float32)
                 first = order[:, :prefix]
                 rows = np.repeat(np.arange(part.num_rows), prefix)
                 # A token that fills its counter alone collides with nothing.
                 real = (np.take_along_axis(often, first, 1) > 1).ravel()
                 rows = pa.array(rows[real])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.take_along_axis(token, first, 1).astype(np.int64).ravel()[real]), part.column(0).take(rows), part.column(1).take(rows), pa.array(before[:, :prefix].astype(np.int64).ravel()[real]), pa.array(central).take(rows)],
-                    names=["token", "node", "n", "mask", "central"],
+                    [pa.array(np.take_along_axis(token, first, 1).astype(np.int64).ravel()[real]), part.column(0).take(rows), part.column(1).take(rows), pa.array(before[:, :prefix].astype(np.int64).ravel()[real])],
+                    names=["token", "node", "n", "mask"],
                 )
 
-    return nodes.select("node", "n", "sig").mapInArrow(post, "token bigint, node binary, n bigint, mask bigint, central float")
+    return nodes.select("node", "n", "sig").mapInArrow(post, "token bigint, node binary, n bigint, mask bigint")
 
 
 def colliding(pairs: DataFrame, nodes: DataFrame, match: int) -> DataFrame:
@@ -171,7 +171,7 @@ def colliding(pairs: DataFrame, nodes: DataFrame, match: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, b, n_a, n_b, common, linked, more (the fingerprints of b that a lacks) of each pair, from the whole texts."""
+    """a, b, n_a, n_b, common, linked, more and less (the fingerprints that only b and only a has) of each pair, from the whole texts."""
     pairs = pairs.select("a", "b")
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     holders = nodes.join(needed, "node").select("node", F.col("rep").alias("holder"))
@@ -201,7 +201,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
             return s
 
         for record in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for a, text_a, b, text_b in zip(record.column(0).to_pylist(), record.column(1), record.column(2).to_pylist(), record.column(3)):
                 x, y = of(a, text_a), of(b, text_b)
                 if x is None or y is None:
@@ -209,13 +209,15 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
                 at = np.searchsorted(x, y)
                 shared = x[np.minimum(at, len(x) - 1)] == y
                 common = int(shared.sum())
-                row = (a, b, len(x), len(y), common, 100 * common >= percent * (len(x) + len(y) - common), y[~shared].astype(np.int64))
+                left = np.ones(len(x), bool)
+                left[at[shared]] = False
+                row = (a, b, len(x), len(y), common, 100 * common >= percent * (len(x) + len(y) - common), y[~shared].astype(np.int64), x[left].astype(np.int64))
                 for column, value in zip(out, row):
                     column.append(value)
-            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["a", "b", "n_a", "n_b", "common", "linked", "more"])
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["a", "b", "n_a", "n_b", "common", "linked", "more", "less"])
 
-    found = both.mapInArrow(compare, "a binary, b binary, n_a bigint, n_b bigint, common bigint, linked boolean, more array<bigint>")
+    found = both.mapInArrow(compare, "a binary, b binary, n_a bigint, n_b bigint, common bigint, linked boolean, more array<bigint>, less array<bigint>")
     return written(found, "pairs")[0]
 
 
@@ -223,27 +225,106 @@ def _like_sizes(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def residual_pairs(lists: DataFrame, known: DataFrame, roots: DataFrame, match: int, percent: int) -> DataFrame:
+def hubbed_lists(posted: DataFrame) -> DataFrame:
+    """token, node, n, mask, hub, hub_n of each posting in a list of two or more.
+
+    A posting is central if most of its node's postings stand in lists at least
+    half as long as its own: an edited or extended copy has postings in short
+    lists, its family's original none.  A list's first hub is its most central
+    node.  But an original may have other tokens in its prefix, so a hub gives way
+    to the most central hub of all the lists that it is in itself.
+    """
+    sizes, _ = written(posted.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "list-sizes")
+    shared = posted.join(sizes, "token").groupBy("node", "n").agg(F.collect_list(F.struct("token", "mask", "size")).alias("own"))
+    central = lambda x: F.size(F.filter("own", lambda y: 2 * y["size"] >= x["size"]))
+    shared = shared.select("node", "n", F.explode(F.transform("own", lambda x: F.struct(x["token"].alias("token"), x["mask"].alias("mask"), central(x).alias("central")))).alias("p"))
+    shared, _ = written(shared.select("p.token", "node", "n", "p.mask", "p.central"), "shared-lists")
+    hubs, _ = written(shared.groupBy("token").agg(F.max(F.struct("central", "node", "n")).alias("hub")), "hubs")
+    lists, _ = written(shared.drop("central").join(hubs, "token"), "lists")
+    own = hubs.select(F.col("hub.node").alias("node")).distinct()
+    better, _ = written(lists.join(own, "node", "left_semi").groupBy(F.col("node").alias("old")).agg(F.max("hub").alias("better")), "better-hubs")
+    moved = lists.join(better, F.col("hub.node") == F.col("old"), "left").withColumn("hub", F.coalesce("better", "hub"))
+    return written(moved.select("token", "node", "n", "mask", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "hubbed-lists")[0]
+
+
+def around_centres(known: DataFrame) -> DataFrame:
+    """hub, node, n, size, more, miss: each candidate against the centre of its hub's candidates.
+
+    The centre holds the shingles that most candidates have; size is its size,
+    more and miss are the fingerprints that only the candidate and only the centre
+    has.  (If a family's original is not in the table, its hub is an edited copy,
+    and all others share what the hub lacks.)  The hub is a candidate as well.
+    """
+    sided = known.select("a", F.posexplode(F.array("more", "less")).alias("side", "list")).select("a", "side", F.explode("list").alias("shingle"))
+    sizes = known.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
+    usual = sided.groupBy("a", "side", "shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1).join(sizes, "a").where(2 * F.col("df") > F.col("k"))
+    pick = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("shingle")))
+    centres, _ = written(usual.groupBy("a").agg(pick(0).alias("usual"), pick(1).alias("odd")), "centres")
+    nothing = F.array().cast("array<bigint>")
+    hubs = known.groupBy("a").agg(F.max("n_a").alias("n_a")).select("a", F.col("a").alias("b"), "n_a", F.col("n_a").alias("n_b"), nothing.alias("more"), nothing.alias("less"))
+    both = known.select("a", "b", "n_a", "n_b", "more", "less").unionByName(hubs).join(centres, "a", "left")
+    both = both.withColumns({"usual": F.coalesce("usual", nothing), "odd": F.coalesce("odd", nothing)})
+    more = F.concat(F.array_except("more", "usual"), F.array_except("odd", "less"))
+    miss = F.concat(F.array_except("less", "odd"), F.array_except("usual", "more"))
+    size = F.col("n_a") - F.size("odd") + F.size("usual")
+    out = both.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("n_b").alias("n"), size.cast("bigint").alias("size"), more.alias("more"), miss.alias("miss"))
+    return written(out, "around-centres")[0]
+
+
+def _enough(common, n_x, n_y, percent: int):
+    return 100 * common >= percent * (n_x + n_y - common)
+
+
+def central_links(around: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of each hub's candidates to the one nearest to their centre, from exact overlaps.
+
+    x and y have the centre less what either misses in common, and what they
+    have beyond it both: size - |miss| - |miss| + shared of miss and of more.
+    """
+    nearest = around.groupBy("hub").agg(F.min(F.struct((F.size("more") + F.size("miss")).alias("far"), "node", "n", "more", "miss")).alias("z"))
+    nearest, _ = written(nearest, "nearest")
+    both = around.join(nearest, "hub").where(F.col("node") != F.col("z.node"))
+    common = F.col("size") - F.size("miss") - F.size("z.miss") + F.size(F.array_intersect("miss", "z.miss")) + F.size(F.array_intersect("more", "z.more"))
+    return both.where(_enough(common, F.col("n"), F.col("z.n"), percent)).select(F.col("z.node").alias("a"), F.col("node").alias("b"))
+
+
+def residual_pairs(lists: DataFrame, around: DataFrame, roots: DataFrame, match: int, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that the hubs leave open; see the module's text."""
-    overlap = known.select(F.col("a").alias("hub"), F.col("b").alias("node"), "common")
+    placed = around.select("hub", "node", "n", "size", F.size("miss").alias("m"), F.size("more").alias("p"), "more", "miss").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = lists.where(F.col("node") != F.col("hub")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = own.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("token")
-    own, _ = written(own.join(open_, "token", "left_semi").join(overlap, ["hub", "node"], "left").select("token", "node", "n", "mask", "root", "common"), "open-lists")
+    known = around.select("hub", "node", "size", F.size("miss").alias("m"))
+    own, _ = written(own.join(open_, "token", "left_semi").join(known, ["hub", "node"], "left").select("token", "node", "n", "mask", "root", "size", "m"), "open-lists")
     x, y = own.alias("x"), own.alias("y")
-    least = F.least("x.common", "y.common")
-    # Nulls: an overlap that isn't known bounds nothing.
-    enough = F.coalesce(100 * least >= percent * (F.col("x.n") + F.col("y.n") - least), F.lit(True)) | F.col("x.common").isNull() | F.col("y.common").isNull()
+    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _like_sizes("x.n", "y.n", percent)
+    base = F.col("x.size") - F.col("x.m") - F.col("y.m")
     room = F.bit_count(F.col("x.mask").bitwiseOR(F.col("y.mask"))) <= COORDINATES - match
-    in_lists = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _like_sizes("x.n", "y.n", percent) & room & enough)
-    in_lists = in_lists.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-
-    around = known.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("n_b").alias("n"), "common", "more").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = around.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("hub")
-    beyond, _ = written(around.join(mixed, "hub", "left_semi").select("hub", "node", "n", "common", "root", F.explode("more").alias("shingle")), "beyond-hubs")
-    x, y = beyond.alias("x"), beyond.alias("y")
-    most = F.least("x.common", "y.common") + F.least(F.col("x.n") - F.col("x.common"), F.col("y.n") - F.col("y.common"))
-    under_shingle = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _like_sizes("x.n", "y.n", percent) & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)))
-    return in_lists.unionByName(under_shingle.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).distinct()
+    # A candidate that isn't around the hub has no such bound.
+    free = F.col("x.m").isNull() | F.col("y.m").isNull() | _enough(base, F.col("x.n"), F.col("y.n"), percent)
+    in_lists = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & room & free).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+    mixed = placed.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("hub")
+    items = placed.join(mixed, "hub", "left_semi").select("hub", "node", "n", "size", "m", "p", "root", F.posexplode(F.array("more", "miss")).alias("side", "list"))
+    items, _ = written(items.select("hub", "node", "n", "size", "m", "p", "root", "side", F.explode("list").alias("item")), "beyond-centres")
+    often = items.groupBy("hub", "side", "item").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+    # Rare items first: what two candidates share can't be before the first that they share.
+    place = F.row_number().over(Window.partitionBy("hub", "node", "side").orderBy("df", "item")) - 1
+    items = items.join(often, ["hub", "side", "item"], "left").withColumn("place", place.cast("int")).where(F.col("df").isNotNull())
+    items, _ = written(items, "placed-items")
+    x, y = items.alias("x"), items.alias("y")
+    same = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.side") == F.col("y.side")) & (F.col("x.item") == F.col("y.item"))
+    left = lambda total: F.least(F.col(f"x.{total}") - F.col("x.place"), F.col(f"y.{total}") - F.col("y.place"))
+    fewest = F.least("x.m", "y.m")
+    # With a common item beyond the centre, what they miss both is only bounded; without one, it is all.
+    bound = F.when(F.col("x.side") == 0, base + fewest + left("p")).otherwise(base + left("m"))
+    met = x.join(y, same & apart & _enough(bound, F.col("x.n"), F.col("y.n"), percent))
+    met = met.select(F.col("x.hub").alias("hub"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    # The two candidates' lists give their whole overlap.
+    side = lambda s: placed.select("hub", F.col("node").alias(s), F.struct("n", "size", "m", "more", "miss").alias(f"at_{s}"))
+    both = met.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"])
+    common = F.col("at_a.size") - F.col("at_a.m") - F.col("at_b.m") + F.size(F.array_intersect("at_a.miss", "at_b.miss")) + F.size(F.array_intersect("at_a.more", "at_b.more"))
+    met = both.where(_enough(common, F.col("at_a.n"), F.col("at_b.n"), percent)).select("a", "b")
+    return in_lists.unionByName(met).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, match: int = 42) -> DataFrame:
@@ -252,13 +333,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, match: i
     full = sets.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     nodes, _ = written(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("sig").alias("sig")), "nodes")
     posted, _ = written(postings(nodes, token_counters(nodes), match), "postings")
-    hubs = posted.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("central", "node", "n")).alias("hub")).where(F.col("size") > 1)
-    lists, _ = written(posted.join(hubs.select("token", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "token"), "lists")
+    lists = hubbed_lists(posted)
     spokes = lists.where((F.col("node") != F.col("hub")) & _like_sizes("n", "hub_n", percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     known = confirmed(written(colliding(spokes, nodes, match), "spokes")[0], nodes, docs, words, percent)
-    links = known.where("linked").select("a", "b")
+    around = around_centres(known)
+    links = known.where("linked").select("a", "b").unionByName(central_links(around, percent))
     first = written(components(links), "first-roots")[0]
-    more = written(colliding(residual_pairs(lists, known, first, match, percent), nodes, match), "more-pairs")[0]
+    more = written(colliding(residual_pairs(lists, around, first, match, percent), nodes, match), "more-pairs")[0]
     links = links.unionByName(confirmed(more, nodes, docs, words, percent).where("linked").select("a", "b"))
     roots = components(links)
     placed = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
