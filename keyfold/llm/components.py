@@ -4,7 +4,7 @@ Each round hangs a node's larger neighbours on its smallest one (large star),
 then its smaller neighbours (small star), until the edges stay the same: every
 node then hangs on its component's smallest node.  Rounds grow with the
 logarithm of the nodes.  A round is aggregates and equi-joins, so a node of very
-many edges is split like any skewed key.  Each round's edges are a table in the
+many edges is split like any skewed join key.  Each round's edges are a table in the
 shared folder: lineage stays short and a lost executor costs one round at most.
 """
 
@@ -23,7 +23,8 @@ def _fingerprint(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("m", "u").alias("m"))
+    # Written, so that the join's sides are plain exchanges and a node of very many edges can be split.
+    least, _ = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("m", "u").alias("m")), "least")
     return both.join(least, F.col("u") == F.col("c")).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 

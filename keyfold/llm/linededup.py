@@ -124,7 +124,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batch
         top = high - k * step if low is not None else 0
         batch = keys.where((F.col("doc_id") <= top) & (F.col("doc_id") > top - step))
         runs.ingest(batch.groupBy("h").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")))
-    frequent = runs.entries().where(F.col("n") >= min_docs).select("h", "keeper")
+    # A table of its own, so that the join's sides are plain exchanges and a very common line's postings can be split.
+    frequent, _ = written(runs.entries().where(F.col("n") >= min_docs).select("h", "keeper"), "frequent-lines")
     return keys.join(frequent, "h").where(F.col("doc_id") < F.col("keeper")).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("h").alias("gone"))
 
 
