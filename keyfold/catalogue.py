@@ -188,16 +188,19 @@ def kv_runs_fixed(spark: SparkSession, d: str) -> DataFrame:
 def _levelled(spark: SparkSession, d: str) -> DataFrame:
     """The older half of the runs merged and split by key into runs of level 1 and 2, the newer half in level 0."""
     r = _runs(spark, d)
-    cut = r.agg(F.floor(F.max("run_id") / 2).alias("cut"))
-    marked = r.join(F.broadcast(cut))  # one row
-    old = compaction.merge(marked.where(F.col("run_id") <= F.col("cut")).withColumn("level", F.lit(0)))
+    cut = r.agg(F.floor(F.max("run_id") / 2)).scalar()
+    old = compaction.merge(r.where(F.col("run_id") <= cut).withColumn("level", F.lit(0)))
     level = F.when(F.pmod(F.col("seq"), F.lit(3)) == 0, 2).otherwise(1)
-    part = F.substring(F.col("key").cast("string"), 1, 9)
-    bottom = old.select((level * 1_000_000 + part.cast("bigint")).alias("run_id"), "key", "tombstone", "value", "seq", level.alias("level"))
-    top = marked.where(F.col("run_id") > F.col("cut")).select("run_id", "key", "tombstone", "value", "seq", F.lit(0).alias("level"))
+    bottom = old.select(_range_run(level), "key", "tombstone", "value", "seq", level.alias("level"))
+    top = r.where(F.col("run_id") > cut).select("run_id", "key", "tombstone", "value", "seq", F.lit(0).alias("level"))
     return top.unionByName(bottom)
 
 
+def _range_run(level):
+    """A run for each ten keys of a level."""
+    return (level * 1_000_000 + F.substring(F.col("key").cast("string"), 1, 9).cast("bigint")).alias("run_id")
+
+
 LEVELLED = f"""{RUNS}, cut AS (SELECT max(run_id) // 2 AS cut FROM runs),
 old AS (SELECT * FROM runs, cut WHERE run_id <= cut QUALIFY row_number() OVER (PARTITION BY key ORDER BY run_id DESC) = 1),
 levelled AS (SELECT run_id, key, tombstone, value, seq, 0 AS level FROM runs, cut WHERE run_id > cut
@@ -260,44 +263,50 @@ def kv_merge_stale(spark: SparkSession, d: str) -> DataFrame:
     return compaction.stale(_levelled(spark, d)).groupBy("run_id").agg(F.count(F.lit(1)).alias("discarded"))
 
 
-_TIERED = f"""{LEVELLED}, memory AS (SELECT CASE WHEN seq % 7 = 0 THEN 'active' WHEN seq % 7 = 1 THEN 'draining' ELSE 'immutable' END AS tier, 0 AS level, 0 AS run_id, key, tombstone, value, seq
-  FROM log WHERE seq % 50 < 3 QUALIFY row_number() OVER (PARTITION BY tier, key ORDER BY seq DESC) = 1),
-tiered AS (SELECT tier, level, run_id, key, tombstone, value, seq FROM memory UNION ALL SELECT 'run', level, run_id, key, tombstone, value, seq FROM levelled)"""
+_TIERED = f"""{LEVELLED}, newest AS (SELECT max(run_id) AS top FROM levelled WHERE level = 0),
+tiered AS (SELECT CASE WHEN level > 0 THEN 'run' WHEN run_id = top THEN 'active' WHEN run_id = top - 1 THEN 'draining' WHEN run_id = top - 2 THEN 'immutable' ELSE 'run' END AS tier,
+  level, run_id, key, tombstone, value FROM levelled, newest)"""
 
 
 @query(f"""WITH {_TIERED} SELECT key, tier, level, run_id, tombstone, value FROM tiered
 QUALIFY row_number() OVER (PARTITION BY key ORDER BY CASE tier WHEN 'active' THEN 0 WHEN 'draining' THEN 1 WHEN 'immutable' THEN 2 ELSE 3 END, level, run_id DESC) = 1""")
 def kv_tiered_get(spark: SparkSession, d: str) -> DataFrame:
-    seq = F.col("seq")
-    tier = F.when(seq % 7 == 0, "active").when(seq % 7 == 1, "draining").otherwise("immutable")
-    held = log.entries(events_log(spark, d)).where(seq % 50 < 3).withColumns({"tier": tier, "level": F.lit(0), "run_id": F.lit(0).cast("bigint")})
-    held = log.newest(held, seq.desc(), within=("tier",))
-    every = held.unionByName(_levelled(spark, d).withColumn("tier", F.lit("run")))
-    return _text(runs.tiered_latest(every).select("key", "tier", "level", "run_id", "tombstone", "value"))
+    """The newest three runs stand for the active, draining and immutable memtables."""
+    levelled = _levelled(spark, d)
+    top = levelled.where("level = 0").agg(F.max("run_id")).scalar()
+    behind = F.when(F.col("level") == 0, top - F.col("run_id"))
+    tier = F.when(behind == 0, "active").when(behind == 1, "draining").when(behind == 2, "immutable").otherwise("run")
+    return _text(runs.tiered_latest(levelled.withColumn("tier", tier)).select("key", "tier", "level", "run_id", "tombstone", "value"))
 
 
-@query(f"""WITH {LEVELLED}, probe AS (SELECT c_custkey AS req_id, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS key FROM customer WHERE c_custkey <= 200),
+@query(f"""WITH {LEVELLED}, probe AS (SELECT c_custkey AS req_id, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS key FROM customer),
 tried AS (SELECT req_id, meta.level AS level, meta.run_id AS run_id, l.key IS NOT NULL AS hit FROM probe JOIN meta ON meta.level = 0 OR (min_key <= probe.key AND max_key >= probe.key)
   LEFT JOIN levelled l ON l.key = probe.key AND l.run_id = meta.run_id),
 v AS (SELECT req_id, coalesce(bool_or(hit) OVER (PARTITION BY req_id ORDER BY level, run_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM tried)
 SELECT probe.req_id AS req_id, CAST(count(*) FILTER (NOT done) AS BIGINT) AS runs_visited FROM probe LEFT JOIN v ON v.req_id = probe.req_id GROUP BY probe.req_id""")
 def kv_read_amp(spark: SparkSession, d: str) -> DataFrame:
     levelled = _levelled(spark, d)
-    probes = _table(spark, d, "customer").where("c_custkey <= 200").select(F.col("c_custkey").alias("req_id"), _pad("c_custkey").cast("binary").alias("key"))
+    probes = _table(spark, d, "customer").select(F.col("c_custkey").alias("req_id"), _pad("c_custkey").cast("binary").alias("key"))
     return runs.read_cost(levelled, runs.describe(levelled), probes)
 
 
 # Catalogue, replay, routing.
 
 
-@query(f"""WITH {LEVELLED}, e AS (SELECT run_id, 'ADD' AS action, run_id AS edit_seq FROM meta UNION ALL SELECT run_id, 'REMOVE', 5000000 FROM meta WHERE run_id % 3 = 0
-  UNION ALL SELECT run_id, 'ADD', 5000001 FROM meta WHERE run_id % 6 = 0), l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY edit_seq DESC) = 1)
-SELECT m.run_id AS run_id, m.level AS level, m.entry_count AS entry_count, m.size_bytes AS size_bytes, m.min_key AS min_key, m.max_key AS max_key FROM l JOIN meta m ON m.run_id = l.run_id WHERE action = 'ADD'""")
+_COMMITTED = f"""{LEVELLED}, merged AS (SELECT 3000000 + CAST(substr(key, 1, 9) AS BIGINT) AS run_id, key, tombstone, value FROM levelled WHERE level < 2
+  QUALIFY row_number() OVER (PARTITION BY key ORDER BY level, run_id DESC) = 1),
+fresh AS (SELECT run_id, 1 AS level, count(*) AS entry_count, CAST(sum({SIZE}) + 2 AS BIGINT) AS size_bytes, min(key) AS min_key, max(key) AS max_key FROM merged GROUP BY run_id)"""
+
+
+@query(f"WITH {_COMMITTED} SELECT run_id, level, entry_count, size_bytes, min_key, max_key FROM meta WHERE level = 2 UNION ALL SELECT run_id, level, entry_count, size_bytes, min_key, max_key FROM fresh")
 def kv_catalog_replay(spark: SparkSession, d: str) -> DataFrame:
-    meta = runs.describe(_levelled(spark, d))
+    """Replay of one addition a run, then one commit that puts a merge in place of levels 0 and 1."""
+    levelled = _levelled(spark, d)
+    meta, upper = runs.describe(levelled), levelled.where("level < 2")
+    merged = compaction.merge(upper).select(_range_run(F.lit(3)), "key", "tombstone", "value", F.lit(1).alias("level"))
     first = catalog.additions(meta, 0).withColumn("edit_seq", F.col("run_id"))
-    edits = first.unionByName(catalog.removals(meta.where("run_id % 3 = 0"), 5_000_000)).unionByName(catalog.additions(meta.where("run_id % 6 = 0"), 5_000_001))
-    return _text(catalog.replay(edits))
+    commit = catalog.removals(meta.where("level < 2"), 5_000_000).unionByName(catalog.additions(runs.describe(merged), 5_000_000))
+    return _text(catalog.replay(first.unionByName(commit)))
 
 
 _SEGMENTS = """seg AS (SELECT (o_orderkey * 7) % 16 AS segment_order, o_orderkey AS pos, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS key,

@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyfold.config import StorageConfig
 from keyfold.errors import OversizedEntry
 from keyfold.functions import entry_size
 from keyfold.operators.log import entries, newest
@@ -35,16 +34,18 @@ def size_deltas(rows: DataFrame, *within: str) -> DataFrame:
 def runs_by_count(log: DataFrame, every: int) -> DataFrame:
     """Run entries, a new run after so many mutations: the last entry of each key and run.
 
-    Numbers come from per-block counts, so only a block's counts meet in one
-    task; the log itself is never gathered.  seq must be unique.
+    Numbers come from counts of blocks of seq, summed in two levels, so neither
+    the log nor the list of blocks is gathered in one task.  seq must be unique.
     """
-    blocks = F.floor(F.col("seq") / every)
-    rows = entries(log).withColumn("block", blocks)
-    upto = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).select("block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start"))
+    rows = entries(log).withColumn("block", F.floor(F.col("seq") / every))
+    upto = lambda *within: Window.partitionBy(*within).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).withColumn("large", F.floor(F.col("block") / 4096))
+    larges = counts.groupBy("large").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("large").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("block", "large", F.coalesce(F.sum("n").over(upto("large")), F.lit(0)).alias("inside")).join(larges.select("large", before.alias("before")), "large")
     place = F.row_number().over(Window.partitionBy("block").orderBy("seq"))
-    numbered = rows.withColumn("place_in_block", place).join(starts, "block")
-    run = F.floor((F.col("start") + F.col("place_in_block") - 1) / every).cast("bigint")
+    numbered = rows.withColumn("place", place).join(starts.select("block", (F.col("before") + F.col("inside")).alias("start")), "block")
+    run = F.floor((F.col("start") + F.col("place") - 1) / every).cast("bigint")
     return newest(numbered.select("key", "tombstone", "value", "seq", run.alias("run_id")), F.col("seq").desc(), within=("run_id",))
 
 

@@ -58,13 +58,16 @@ class Files:
         return p, p.getFileSystem(self.conf)
 
     def create(self, path: str, text: str) -> None:
+        self.create_bytes(path, text.encode())
+
+    def create_bytes(self, path: str, data: bytes) -> None:
         """Writes a file aside and renames it; a file of that name is a conflict."""
         p, fs = self._at(path)
         aside = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
         if fs.exists(p):
             raise CommitConflict(path)
         out = fs.create(aside, True)
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(data))
         out.close()
         if fs.exists(p) or not fs.rename(aside, p):
             fs.delete(aside, False)
@@ -108,8 +111,10 @@ class Store:
 
     def next_run_id(self) -> int:
         """Above all runs ever written, listed or not."""
-        on_disk = [int(n.split("=")[1]) for n in self.files.names(f"{self.path}/runs") if n.startswith("run_id=")]
-        return max([r["run_id"] for r in self.live_runs()] + on_disk, default=0) + 1
+        return max([r["run_id"] for r in self.live_runs()] + self._on_disk(), default=0) + 1
+
+    def _on_disk(self) -> list[int]:
+        return [int(n.split("=")[1]) for n in self.files.names(f"{self.path}/runs") if n.startswith("run_id=")]
 
     # Runs.
 
@@ -122,33 +127,33 @@ class Store:
         # One short row a run: far below any broadcast limit for the runs that one plan can list.
         return frame.join(levels, "run_id") if len({r["level"] for r in listed}) > 1 else frame.withColumn("level", F.lit(listed[0]["level"]))
 
-    def _write(self, frame: DataFrame, level: int) -> list[dict]:
-        """Writes entries with a run_id, sorted by key inside each run, and describes the runs."""
+    def _write(self, frame: DataFrame, level: int, first_id: int) -> list[dict]:
+        """Writes entries with a run_id of first_id or more, sorted by key inside each run, and describes the runs."""
         frame.select("key", "tombstone", "value", "seq", "run_id").repartition("run_id").sortWithinPartitions("run_id", "key").write.mode("append").partitionBy("run_id").parquet(f"{self.path}/runs")
-        ids = [r["run_id"] for r in frame.select("run_id").distinct().collect()]
+        ids = [i for i in self._on_disk() if i >= first_id]
         if not ids:
             return []
         meta = runs.describe(self._read([{"run_id": i, "level": level} for i in ids])).collect()
         return [{"run_id": r["run_id"], "level": level, "entry_count": r["entry_count"], "size_bytes": r["size_bytes"], "min_key": bytes(r["min_key"]).hex(), "max_key": bytes(r["max_key"]).hex()} for r in meta]
 
     def _cut(self, rows: DataFrame, first_id: int, target: int, order: str) -> DataFrame:
-        """Numbers runs of about ``target`` bytes along an order: in parallel, by the bytes of range partitions and running sums inside them."""
+        """Numbers runs of about ``target`` bytes along an order, in parallel: by range partitions and running sums inside them.
+
+        Numbers rise along the order but have gaps.
+        """
         sized = runs.sized(rows)
         total = sized.agg(F.sum("size").alias("b")).first()["b"] or 0
-        parts = max(1, -(-total // target))
-        ranged = sized.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id())
+        ranged = sized.repartitionByRange(max(1, -(-total // target)), order).withColumn("part", F.spark_partition_id())
         inside = Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        cut = ranged.withColumn("file", F.floor(F.coalesce(F.sum("size").over(inside), F.lit(0)) / target))
-        files = cut.select("part", "file").distinct().withColumn("number", F.row_number().over(Window.orderBy("part", "file")) - 1)
-        return cut.join(files, ["part", "file"]).withColumn("run_id", (F.col("number") + first_id).cast("bigint"))
+        file = F.floor(F.coalesce(F.sum("size").over(inside), F.lit(0)) / target)
+        return ranged.withColumn("run_id", (F.lit(first_id) + F.col("part") * F.lit(1 << 20) + file).cast("bigint"))
 
     def apply(self, log: DataFrame) -> None:
         """Writes a batch of mutations as runs of level 0.  Its seq must be above all earlier ones."""
-        rows = entries(log)
-        cut = self._cut(rows, self.next_run_id(), self.config.memtable_bytes, "seq")
-        fresh = newest(cut, F.col("seq").desc(), within=("run_id",))
-        added = self._write(fresh, 0)
-        self._commit(set(), added, self.version())
+        base, first_id = self.version(), self.next_run_id()
+        cut = self._cut(entries(log), first_id, self.config.memtable_bytes, "seq")
+        added = self._write(newest(cut, F.col("seq").desc(), within=("run_id",)), 0, first_id)
+        self._commit(set(), added, base)
 
     def compact(self, policy: RetryPolicy = RetryPolicy()) -> int:
         """Compacts until no level is due; levels that fail for good are left out.  Returns the merges made."""
@@ -189,9 +194,9 @@ class Store:
         return chosen + [r for r in listed if r["level"] == level + 1 and r["min_key"] <= high and r["max_key"] >= low]
 
     def _merge(self, level: int) -> None:
-        base, chosen = self.version(), self.pick(level)
+        base, chosen, first_id = self.version(), self.pick(level), self.next_run_id()
         merged = compaction.merge(self._read(chosen))
-        added = self._write(self._cut(merged, self.next_run_id(), self.config.run_bytes, "key"), level + 1)
+        added = self._write(self._cut(merged, first_id, self.config.run_bytes, "key"), level + 1, first_id)
         self._commit({r["run_id"] for r in chosen}, added, base)
 
     # Reads.
