@@ -15,16 +15,18 @@ of a candidate pair are counted over all coordinates.
 
 A list of near copies would still give all its pairs.  So lists are merged in
 two steps.  First every node of a list meets only the list's hub, its most
-central node (see ``hubbed_lists``); candidates are confirmed on
-the full sets, and links make first components.  Then pairs within a list are
-formed only if they are in different components and can still be linked:
-  - sizes within the ratio;
+central node (see ``hubbed_lists``), and their overlap is counted on the full
+sets.  Overlaps also give the centre of a hub's near candidates, the shingles
+that most of them have, and exact links to the candidate nearest to it.  These
+links make first components.  Then pairs within a list are formed only if they
+are in different components and can still be linked:
+  - sizes are within the ratio;
   - coordinates before the common token, in either order, can't match, so their
     union leaves room for 42;
-  - if both have a known overlap with the centre of the hub's candidates (the
-    shingles that most of them have), a pair with no other common shingle has at
-    most the smaller overlap in common; unless that is enough, they must share a
-    shingle that the centre lacks, and are found under it.
+  - overlaps with the hub and with the centre bound their overlap: two nodes
+    near the centre with nothing else in common have what is left of it.  What
+    more they share is found under the shingles that they have beyond it or miss.
+Collisions are counted for all these pairs, and those retained are confirmed.
 These drop no pair that could be linked, so components are those of all links
 (but for the odds above).
 
@@ -170,8 +172,11 @@ def colliding(pairs: DataFrame, nodes: DataFrame, match: int) -> DataFrame:
     return both.mapInArrow(count, "a binary, b binary")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, b, n_a, n_b, common, linked, more and less (the fingerprints that only b and only a has) of each pair, from the whole texts."""
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, near: int = 60) -> DataFrame:
+    """a, b, n_a, n_b, common, linked, near, more and less of each pair, from the whole texts.
+
+    near: a similarity of ``near`` per cent; such pairs have the fingerprints that only b (more) and only a (less) has.
+    """
     pairs = pairs.select("a", "b")
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     holders = nodes.join(needed, "node").select("node", F.col("rep").alias("holder"))
@@ -201,7 +206,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
             return s
 
         for record in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(9)]
             for a, text_a, b, text_b in zip(record.column(0).to_pylist(), record.column(1), record.column(2).to_pylist(), record.column(3)):
                 x, y = of(a, text_a), of(b, text_b)
                 if x is None or y is None:
@@ -209,15 +214,17 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
                 at = np.searchsorted(x, y)
                 shared = x[np.minimum(at, len(x) - 1)] == y
                 common = int(shared.sum())
+                union = len(x) + len(y) - common
+                close = 100 * common >= near * union
                 left = np.ones(len(x), bool)
                 left[at[shared]] = False
-                row = (a, b, len(x), len(y), common, 100 * common >= percent * (len(x) + len(y) - common), y[~shared].astype(np.int64), x[left].astype(np.int64))
+                row = (a, b, len(x), len(y), common, 100 * common >= percent * union, close, y[~shared].astype(np.int64) if close else [], x[left].astype(np.int64) if close else [])
                 for column, value in zip(out, row):
                     column.append(value)
-            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["a", "b", "n_a", "n_b", "common", "linked", "more", "less"])
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["a", "b", "n_a", "n_b", "common", "linked", "near", "more", "less"])
 
-    found = both.mapInArrow(compare, "a binary, b binary, n_a bigint, n_b bigint, common bigint, linked boolean, more array<bigint>, less array<bigint>")
+    found = both.mapInArrow(compare, "a binary, b binary, n_a bigint, n_b bigint, common bigint, linked boolean, near boolean, more array<bigint>, less array<bigint>")
     return written(found, "pairs")[0]
 
 
@@ -288,37 +295,62 @@ def central_links(around: DataFrame, percent: int) -> DataFrame:
     return both.where(_enough(common, F.col("n"), F.col("z.n"), percent)).select(F.col("z.node").alias("a"), F.col("node").alias("b"))
 
 
-def residual_pairs(lists: DataFrame, around: DataFrame, roots: DataFrame, match: int, percent: int) -> DataFrame:
+def _mixed(rows: DataFrame, *keys: str) -> DataFrame:
+    """The keys under which several components meet, and the component with most rows (``main``)."""
+    each = rows.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("k"))
+    main = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main"))
+    # Written, so that joins with it have plain exchanges on both sides.
+    return written(main.where(F.col("roots") > 1).drop("roots"), "mixed")[0]
+
+
+def _meet(rows: DataFrame, keys: tuple, condition, percent: int) -> DataFrame:
+    """Pairs (x, y) of rows with equal keys, unlike components and like sizes, each once; x is outside the keys' main component.
+
+    A family that is one component already is never paired with itself.
+    """
+    rows = rows.join(_mixed(rows, *keys), list(keys))
+    rows, _ = written(rows, "meeting")
+    x, y = rows.where(F.col("root") != F.col("main")).alias("x"), rows.alias("y")
+    same = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+    for k in keys:
+        same &= F.col(f"x.{k}") == F.col(f"y.{k}")
+    return x.join(y, same & _like_sizes("x.n", "y.n", percent) & condition)
+
+
+def residual_pairs(lists: DataFrame, known: DataFrame, around: DataFrame, roots: DataFrame, match: int, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that the hubs leave open; see the module's text."""
-    placed = around.select("hub", "node", "n", "size", F.size("miss").alias("m"), F.size("more").alias("p"), "more", "miss").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    own = lists.where(F.col("node") != F.col("hub")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = own.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("token")
-    known = around.select("hub", "node", "size", F.size("miss").alias("m"))
-    own, _ = written(own.join(open_, "token", "left_semi").join(known, ["hub", "node"], "left").select("token", "node", "n", "mask", "root", "size", "m"), "open-lists")
-    x, y = own.alias("x"), own.alias("y")
-    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _like_sizes("x.n", "y.n", percent)
+    rooted = lambda rows: rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     base = F.col("x.size") - F.col("x.m") - F.col("y.m")
-    room = F.bit_count(F.col("x.mask").bitwiseOR(F.col("y.mask"))) <= COORDINATES - match
-    # A candidate that isn't around the hub has no such bound.
-    free = F.col("x.m").isNull() | F.col("y.m").isNull() | _enough(base, F.col("x.n"), F.col("y.n"), percent)
-    in_lists = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & room & free).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    ends = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
-    mixed = placed.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("hub")
-    items = placed.join(mixed, "hub", "left_semi").select("hub", "node", "n", "size", "m", "p", "root", F.posexplode(F.array("more", "miss")).alias("side", "list"))
+    overlap = known.select(F.col("a").alias("hub"), F.col("b").alias("node"), "common")
+    centred = around.select("hub", "node", "size", F.size("miss").alias("m"))
+    own = rooted(lists.where(F.col("node") != F.col("hub"))).join(overlap, ["hub", "node"], "left").join(centred, ["hub", "node"], "left")
+    own = own.select("token", "node", "n", "mask", "root", "common", "size", "m")
+    room = F.bit_count(F.col("x.mask").bitwiseOR(F.col("y.mask"))) <= COORDINATES - match
+    # Bounds by the hub's set and by the centre's; a node of another size or far from the centre lacks one.
+    by_hub = F.least("x.common", "y.common") + F.least(F.col("x.n") - F.col("x.common"), F.col("y.n") - F.col("y.common"))
+    free = F.lit(True)
+    for missing, bound in ((F.col("x.common").isNull() | F.col("y.common").isNull(), by_hub), (F.col("x.m").isNull() | F.col("y.m").isNull(), base)):
+        free &= missing | _enough(bound, F.col("x.n"), F.col("y.n"), percent)
+    in_lists = _meet(own, ("token",), room & free, percent).select(*ends)
+
+    placed = rooted(around.select("hub", "node", "n", "size", F.size("miss").alias("m"), F.size("more").alias("p"), "more", "miss"))
+    placed, _ = written(placed.join(_mixed(placed, "hub").select("hub"), "hub", "left_semi"), "around-open")
+    items = placed.select("hub", "node", "n", "size", "m", "p", "root", F.posexplode(F.array("more", "miss")).alias("side", "list"))
     items, _ = written(items.select("hub", "node", "n", "size", "m", "p", "root", "side", F.explode("list").alias("item")), "beyond-centres")
-    often = items.groupBy("hub", "side", "item").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+    often, _ = written(items.groupBy("hub", "side", "item").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1), "often")
     # Rare items first: what two candidates share can't be before the first that they share.
     place = F.row_number().over(Window.partitionBy("hub", "node", "side").orderBy("df", "item")) - 1
     items = items.join(often, ["hub", "side", "item"], "left").withColumn("place", place.cast("int")).where(F.col("df").isNotNull())
-    items, _ = written(items, "placed-items")
-    x, y = items.alias("x"), items.alias("y")
-    same = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.side") == F.col("y.side")) & (F.col("x.item") == F.col("y.item"))
+    # Whatever the partner: what both miss only counts if the first common item stands early.
+    reach = F.col("size") * 100 - percent * F.col("n")
+    items = items.where((F.col("side") == 0) | ((100 + percent) * F.col("place") <= reach))
     left = lambda total: F.least(F.col(f"x.{total}") - F.col("x.place"), F.col(f"y.{total}") - F.col("y.place"))
-    fewest = F.least("x.m", "y.m")
     # With a common item beyond the centre, what they miss both is only bounded; without one, it is all.
-    bound = F.when(F.col("x.side") == 0, base + fewest + left("p")).otherwise(base + left("m"))
-    met = x.join(y, same & apart & _enough(bound, F.col("x.n"), F.col("y.n"), percent))
-    met = met.select(F.col("x.hub").alias("hub"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    bound = F.when(F.col("x.side") == 0, base + F.least("x.m", "y.m") + left("p")).otherwise(base + left("m"))
+    met = _meet(items, ("hub", "side", "item"), _enough(bound, F.col("x.n"), F.col("y.n"), percent), percent)
+    met = met.select(F.col("x.hub").alias("hub"), *ends).distinct()
     # The two candidates' lists give their whole overlap.
     side = lambda s: placed.select("hub", F.col("node").alias(s), F.struct("n", "size", "m", "more", "miss").alias(f"at_{s}"))
     both = met.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"])
@@ -335,11 +367,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, match: i
     posted, _ = written(postings(nodes, token_counters(nodes), match), "postings")
     lists = hubbed_lists(posted)
     spokes = lists.where((F.col("node") != F.col("hub")) & _like_sizes("n", "hub_n", percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    known = confirmed(written(colliding(spokes, nodes, match), "spokes")[0], nodes, docs, words, percent)
-    around = around_centres(known)
+    known = confirmed(written(spokes, "spokes")[0], nodes, docs, words, percent)
+    around = around_centres(known.where("near"))
     links = known.where("linked").select("a", "b").unionByName(central_links(around, percent))
     first = written(components(links), "first-roots")[0]
-    more = written(colliding(residual_pairs(lists, around, first, match, percent), nodes, match), "more-pairs")[0]
+    more = written(colliding(residual_pairs(lists, known, around, first, match, percent), nodes, match), "more-pairs")[0]
     links = links.unionByName(confirmed(more, nodes, docs, words, percent).where("linked").select("a", "b"))
     roots = components(links)
     placed = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
