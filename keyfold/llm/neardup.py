@@ -9,7 +9,7 @@ expected and under 42 come about once in 50,000 pairs).
 
 Prefix: with tokens in one order for all nodes, rare ones first, two nodes with
 42 common tokens share one among their first 64 - 42 + 1; only these are posted.
-Rarity is read from a histogram of 2^18 hashed counters, a fixed size.  So the
+Rarity is read from a histogram of 2^20 hashed counters, a fixed size.  So the
 long lists of shared passages are skipped, and only looked up when the collisions
 of a candidate pair are counted over all coordinates.
 
@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from .common import ship, written
 from .components import components
 
-COORDINATES, COUNTERS = 64, 1 << 18
+COORDINATES, COUNTERS = 64, 1 << 20
 _U = np.uint64
 _rng = np.random.default_rng(20_240_501)
 _A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * _U(2) + _U(1)
@@ -91,7 +91,7 @@ def _tokens(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each coordinate's token and its counter."""
     token = (np.arange(COORDINATES, dtype=np.uint64)[None, :] << _U(32)) | sig.astype(np.uint64)
     mixed = (token ^ (token >> _U(31))) * _STEP
-    return token, (mixed >> _U(46)).astype(np.int64)
+    return token, (mixed >> _U(44)).astype(np.int64)
 
 
 def document_sets(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -113,7 +113,7 @@ def document_sets(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def token_counters(nodes: DataFrame) -> np.ndarray:
-    """How often each counter's tokens occur: 2^18 numbers whatever the input."""
+    """How often each counter's tokens occur: 2^20 numbers whatever the input."""
 
     def count(batches):
         total = np.zeros(COUNTERS, np.int64)
