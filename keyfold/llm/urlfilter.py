@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, blank_if_null, ship
 
-DIMENSIONS, NGRAM, EPOCHS, RATE, PENALTY = 1024, 3, 300, 2.0, 1e-4
+DIMENSIONS, NGRAM, EPOCHS, RATE, PENALTY = 1024, 3, 600, 2.0, 1e-4
 MAX_LABELLED, MAX_RULES = 1000, 1000
 
 #: The standard rules, (host, path prefix, verdict).
