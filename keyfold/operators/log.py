@@ -78,6 +78,21 @@ def lookup(state: DataFrame, probes: DataFrame) -> DataFrame:
     )
 
 
+def carried(rows: DataFrame, keys: list[str], value: Column, name: str, stretch: int = 1 << 20) -> DataFrame:
+    """Adds the last value that is not null before each row, by seq within the keys.
+
+    Rows meet in stretches of seq, and each stretch's last value is handed on to
+    the next: so a key with most of the rows is many tasks.
+    """
+    rows = rows.withColumns({"stretch": F.floor(F.col("seq") / stretch), name: value})
+    inside = Window.partitionBy(*keys, "stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*keys, "stretch").agg(F.max_by(name, F.when(F.col(name).isNotNull(), F.col("seq"))).alias("end"))
+    ends = ends.select(*keys, "stretch", F.last("end", ignorenulls=True).over(earlier).alias("handed"))
+    near = rows.withColumn(name, F.last(name, ignorenulls=True).over(inside))
+    return near.join(ends, [*keys, "stretch"], "left").withColumn(name, F.coalesce(name, "handed")).drop("stretch", "handed")
+
+
 def execute(requests: DataFrame, shards: int = 1, here: int = 1) -> DataFrame:
     """Responses (req_id, code, value_len, value) to a sequence of requests (seq, req_id, op, key, value).
 
@@ -85,10 +100,9 @@ def execute(requests: DataFrame, shards: int = 1, here: int = 1) -> DataFrame:
     shards get the mismatch code and do nothing.
     """
     routed = requests.withColumn("mismatch", shard_of(F.col("key"), shards) != here)
-    own = Window.partitionBy("mismatch", "key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     is_get = F.col("op") == "GET"
     written = F.when(~is_get, F.struct((F.col("op") == "REMOVE").alias("tombstone"), "value"))
-    before = routed.withColumn("before", F.last(written, ignorenulls=True).over(own))
+    before = carried(routed, ["mismatch", "key"], written, "before")
     seen = is_get & ~F.col("mismatch") & F.col("before").isNotNull() & ~F.col("before.tombstone")
     value = F.when(seen, F.col("before.value"))
     return before.select("seq", "req_id", response_code(is_get, F.col("mismatch")).alias("code"), F.coalesce(F.octet_length(value), F.lit(0)).cast("bigint").alias("value_len"), value.alias("value"))

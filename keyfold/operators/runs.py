@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from keyfold.errors import OversizedEntry
 from keyfold.functions import entry_size
-from keyfold.operators.log import entries, newest
+from keyfold.operators.log import carried, entries, newest
 
 #: Bytes of a run's header.
 HEADER = 2
@@ -27,8 +27,8 @@ def sized(rows: DataFrame) -> DataFrame:
 
 def size_deltas(rows: DataFrame, *within: str) -> DataFrame:
     """What each write adds to a memtable: its size less that of the key's last one."""
-    before = F.lag("size", 1, 0).over(Window.partitionBy(*within, "key").orderBy("seq"))
-    return sized(rows).withColumn("delta", F.col("size") - before)
+    before = carried(sized(rows), [*within, "key"], F.col("size"), "before")
+    return before.withColumn("delta", F.col("size") - F.coalesce("before", F.lit(0))).drop("before")
 
 
 def runs_by_count(log: DataFrame, every: int) -> DataFrame:
