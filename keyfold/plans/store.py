@@ -100,14 +100,22 @@ class Store:
         found = [int(n[:-5]) for n in self.files.names(f"{self.path}/catalogue") if n.endswith(".json")]
         return max(found, default=0)
 
-    def live_runs(self, version: int | None = None) -> list[dict]:
+    def _listing(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
-        return json.loads(self.files.read(f"{self.path}/catalogue/{version:012d}.json")) if version else []
+        return json.loads(self.files.read(f"{self.path}/catalogue/{version:012d}.json")) if version else {"runs": [], "batch": None}
+
+    def live_runs(self, version: int | None = None) -> list[dict]:
+        return self._listing(version)["runs"]
 
-    def _commit(self, removed: set[int], added: list[dict], base: int) -> None:
-        """One version: removals and additions together."""
-        listed = [r for r in self.live_runs(base) if r["run_id"] not in removed] + added
-        self.files.create(f"{self.path}/catalogue/{base + 1:012d}.json", json.dumps(listed))
+    def last_batch(self) -> int | None:
+        """The number of the last batch applied with one."""
+        return self._listing()["batch"]
+
+    def _commit(self, removed: set[int], added: list[dict], base: int, batch: int | None = None) -> None:
+        """One version: removals and additions together, and the batch they come from."""
+        before = self._listing(base)
+        listed = [r for r in before["runs"] if r["run_id"] not in removed] + added
+        self.files.create(f"{self.path}/catalogue/{base + 1:012d}.json", json.dumps({"runs": listed, "batch": before["batch"] if batch is None else batch}))
 
     def next_run_id(self) -> int:
         """Above all runs ever written, listed or not."""
@@ -148,12 +156,17 @@ class Store:
         file = F.floor(F.coalesce(F.sum("size").over(inside), F.lit(0)) / target)
         return ranged.withColumn("run_id", (F.lit(first_id) + F.col("part") * F.lit(1 << 20) + file).cast("bigint"))
 
-    def apply(self, log: DataFrame) -> None:
-        """Writes a batch of mutations as runs of level 0.  Its seq must be above all earlier ones."""
+    def apply(self, log: DataFrame, batch: int | None = None) -> None:
+        """Writes a batch of mutations as runs of level 0.  Its seq must be above all earlier ones.
+
+        A numbered batch is applied once: its number is part of the version, and numbers only rise.
+        """
+        if batch is not None and (last := self.last_batch()) is not None and batch <= last:
+            return
         base, first_id = self.version(), self.next_run_id()
         cut = self._cut(entries(log), first_id, self.config.memtable_bytes, "seq")
         added = self._write(newest(cut, F.col("seq").desc(), within=("run_id",)), 0, first_id)
-        self._commit(set(), added, base)
+        self._commit(set(), added, base, batch)
 
     def compact(self, policy: RetryPolicy = RetryPolicy()) -> int:
         """Compacts until no level is due; levels that fail for good are left out.  Returns the merges made."""

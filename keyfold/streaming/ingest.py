@@ -1,8 +1,8 @@
 """Mutation streams folded into state.
 
 ``stream_into`` applies each micro-batch of a stream to a store: a batch is one
-catalogue version, so a batch that is replayed after a failure is found by its
-number and skipped.  ``fold_latest`` is the plain form: the newest entry of each
+catalogue version that holds the batch's number, so a batch that is replayed
+after a failure is skipped.  ``fold_latest`` is the plain form: the newest entry of each
 key as the stream's own state, tombstones included, kept without a time limit.
 """
 
@@ -19,14 +19,10 @@ from keyfold.plans.store import Store, scratch_folder
 
 def stream_into(store: Store, stream: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Starts a query that applies a stream of log rows (seq, op, key, value) to the store."""
-    marks = f"{store.path}/batches"
 
     def apply(batch: DataFrame, number: int) -> None:
-        if f"{number:012d}" in store.files.names(marks):
-            return
         if not batch.isEmpty():
-            store.apply(batch)
-        store.files.create(f"{marks}/{number:012d}", "")
+            store.apply(batch, number)
 
     options = trigger or {"processingTime": f"{store.config.batch_window_ms} milliseconds"}
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**options).start()

@@ -36,3 +36,14 @@ def test_a_version_is_taken_once(spark, tmp_path):
     with pytest.raises(CommitConflict):
         store._commit(set(), [], 0)
     assert store.version() == 1 and Files(spark).names(str(tmp_path / "none")) == []
+
+
+def test_a_numbered_batch_is_applied_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "b"))
+    frame = spark.createDataFrame([(0, "SET", b"a", b"1")], "seq bigint, op string, key binary, value binary")
+    store.apply(frame, 4)
+    store.apply(frame, 4)
+    store.apply(frame, 3)
+    assert store.version() == 1 and store.last_batch() == 4 and len(store.live_runs()) == 1
+    store.compact()
+    assert store.last_batch() == 4
