@@ -177,7 +177,7 @@ class Model:
         return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known)], np.where(known, score, 0.0).tolist(), np.where(known, rate, 0.0).tolist()
 
 
-def train(docs: DataFrame, sample_chars: int = 60_000, all_chars: int = 480_000, sample_docs: int = 200) -> Model:
+def train(docs: DataFrame, sample_chars: int = 30_000, all_chars: int = 240_000, sample_docs: int = 200) -> Model:
     """Fit on at most ``sample_docs`` labelled texts and ``sample_chars`` characters of each language."""
     rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
     # The ids first: so texts are neither sorted nor shuffled.  Ranks within parts of a language come before ranks in
