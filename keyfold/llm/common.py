@@ -6,6 +6,7 @@ import atexit
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,15 +72,41 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
+#: For each open ``temporary``, the paths written inside.
+_open: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write a table to the shared folder and read it again: cuts the lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    if _open:
+        _open[-1].append(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def temporary(spark: SparkSession):
+    """Tables written inside go at the end, but for those that ``keep`` writes."""
+    _open.append([])
+    kept: list[tuple[DataFrame, str]] = []
+
+    def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        kept.append(written(df, name))
+        return kept[-1]
+
+    try:
+        yield keep
+    finally:
+        paths = _open.pop()
+        for path in paths:
+            if path not in {p for _, p in kept}:
+                remove(spark, path)
+        if _open:
+            _open[-1] += [p for _, p in kept]
+
+
 def keep_rows(docs: DataFrame, keep) -> DataFrame:
     """The rows of docs that ``keep`` marks, all columns as they are.
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, ship, written
+from .common import remove, ship, temporary, written
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -44,7 +44,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now, path = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = _fingerprint(now)
     for _ in range(most_rounds if before[0] else 0):
-        after, after_path = written(_small_star(_large_star(now)), "edges")
+        with temporary(spark) as keep:
+            after, after_path = keep(_small_star(_large_star(now)), "edges")
         remove(spark, path)
         now, path, last = after, after_path, before
         before = _fingerprint(now)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, ship, written
+from .common import remove, ship, temporary, written
 
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -116,17 +116,19 @@ class LineRuns:
 def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
     """gone_id, gone: the hashes whose lines a document loses, for each document that loses any."""
     spark = docs.sparkSession
-    keys, _ = written(postings(docs, min_chars), "line-postings")
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    runs = LineRuns(spark, fanout)
     step = ((high - low) // batches + 1) if low is not None else 1
-    for k in range(batches if low is not None else 1):
-        top = high - k * step if low is not None else 0
-        batch = keys.where((F.col("doc_id") <= top) & (F.col("doc_id") > top - step))
-        runs.ingest(batch.groupBy("h").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")))
-    # A table of its own, so that the join's sides are plain exchanges and a very common line's postings can be split.
-    frequent, _ = written(runs.entries().where(F.col("n") >= min_docs).select("h", "keeper"), "frequent-lines")
-    return keys.join(frequent, "h").where(F.col("doc_id") < F.col("keeper")).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("h").alias("gone"))
+    with temporary(spark) as keep:
+        keys, _ = written(postings(docs, min_chars), "line-postings")
+        runs = LineRuns(spark, fanout)
+        for k in range(batches if low is not None else 1):
+            top = high - k * step if low is not None else 0
+            batch = keys.where((F.col("doc_id") <= top) & (F.col("doc_id") > top - step))
+            runs.ingest(batch.groupBy("h").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")))
+        # A table of its own, so that the join's sides are plain exchanges and a very common line's postings can be split.
+        frequent, _ = written(runs.entries().where(F.col("n") >= min_docs).select("h", "keeper"), "frequent-lines")
+        gone = keys.join(frequent, "h").where(F.col("doc_id") < F.col("keeper")).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("h").alias("gone"))
+        return keep(gone, "dropped-lines")[0]
 
 
 def cut_lines(text: str, gone: list[bytes] | None, min_chars: int) -> tuple[list[str], int]:

@@ -5,7 +5,7 @@ node, named by a 128-bit digest, so a group of exact copies is one node however
 large.  A node's signature has 64 coordinates; nodes are posted under
 (coordinate, value) pairs, called tokens, and two nodes can only be linked if
 they collide in at least ``match`` coordinates (at the limit of 0.85, 54 are
-expected and under 42 come about once in 50,000 pairs).
+expected and under 42 come about once in 33,000 pairs).
 
 Prefix: with tokens in one order for all nodes, rare ones first, two nodes with
 42 common tokens share one among their first 64 - 42 + 1; only these are posted.
@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import ship, temporary, written
 from .components import components
 
 COORDINATES, COUNTERS = 64, 1 << 20
@@ -362,21 +362,22 @@ def residual_pairs(lists: DataFrame, known: DataFrame, around: DataFrame, roots:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, match: int = 42) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs."""
     sets, _ = written(document_sets(docs, words), "document-sets")
-    full = sets.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    nodes, _ = written(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("sig").alias("sig")), "nodes")
-    posted, _ = written(postings(nodes, token_counters(nodes), match), "postings")
-    lists = hubbed_lists(posted)
-    spokes = lists.where((F.col("node") != F.col("hub")) & _like_sizes("n", "hub_n", percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    known = confirmed(written(spokes, "spokes")[0], nodes, docs, words, percent)
-    around = around_centres(known.where("near"))
-    links = known.where("linked").select("a", "b").unionByName(central_links(around, percent))
-    first = written(components(links), "first-roots")[0]
-    more = written(colliding(residual_pairs(lists, known, around, first, match, percent), nodes, match), "more-pairs")[0]
-    links = links.unionByName(confirmed(more, nodes, docs, words, percent).where("linked").select("a", "b"))
-    roots = components(links)
-    placed = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named, _ = written(placed.join(ids, "root").select("node", "component_id"), "named")
+    with temporary(docs.sparkSession) as keep:
+        full = sets.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
+        nodes, _ = written(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("sig").alias("sig")), "nodes")
+        posted, _ = written(postings(nodes, token_counters(nodes), match), "postings")
+        lists = hubbed_lists(posted)
+        spokes = lists.where((F.col("node") != F.col("hub")) & _like_sizes("n", "hub_n", percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        known = confirmed(written(spokes, "spokes")[0], nodes, docs, words, percent)
+        around = around_centres(known.where("near"))
+        links = known.where("linked").select("a", "b").unionByName(central_links(around, percent))
+        first = written(components(links), "first-roots")[0]
+        more = written(colliding(residual_pairs(lists, known, around, first, match, percent), nodes, match), "more-pairs")[0]
+        links = links.unionByName(confirmed(more, nodes, docs, words, percent).where("linked").select("a", "b"))
+        roots = components(links)
+        placed = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        ids = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+        named, _ = keep(placed.join(ids, "root").select("node", "component_id"), "named")
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
