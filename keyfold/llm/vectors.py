@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import ship, temporary, written
 
 DEGREE, BUILD_BEAM, BEAM, ALPHA = 24, 64, 160, 1.2
 
@@ -166,31 +166,31 @@ def build_index(vectors: DataFrame, top: int = 20, shard_size: int = 4096) -> tu
     """The shards' graphs (dim, shard, graph), and the clean vectors (vec_id, embedding)."""
     clean = vectors.where(F.col("vec_id").isNotNull() & usable()).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
     clean, _ = written(clean.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
-    ranked = clean.withColumn("k", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("k") <= top + 1)
-    nodes = ranked.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
-    nodes, _ = written(nodes, "vector-nodes")
-    shards = max(1, -(-nodes.count() // shard_size))
-    placed = nodes.withColumns({"dim": F.size("embedding"), "shard": F.pmod(F.xxhash64(F.element_at("members", 1)), F.lit(shards)).cast("int")})
+    with temporary(vectors.sparkSession) as keep:
+        ranked = clean.withColumn("k", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("k") <= top + 1)
+        nodes = ranked.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
+        nodes, _ = written(nodes, "vector-nodes")
+        shards = max(1, -(-nodes.count() // shard_size))
+        placed = nodes.withColumns({"dim": F.size("embedding"), "shard": F.pmod(F.xxhash64(F.element_at("members", 1)), F.lit(shards)).cast("int")})
 
-    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(first=[m[0] for m in pdf["members"]]).sort_values("first")
-        graph = Graph(np.stack(pdf["embedding"].to_list()).astype(np.float32))
-        counts = np.array([len(m) for m in pdf["members"]], np.int32)
-        np.savez(out := io.BytesIO(), raw=graph.raw, edges=graph.edges, counts=counts, members=np.concatenate(pdf["members"].to_list()).astype(np.int64))
-        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "graph": [out.getvalue()]})
+        def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.assign(first=[m[0] for m in pdf["members"]]).sort_values("first")
+            graph = Graph(np.stack(pdf["embedding"].to_list()).astype(np.float32))
+            counts = np.array([len(m) for m in pdf["members"]], np.int32)
+            np.savez(out := io.BytesIO(), raw=graph.raw, edges=graph.edges, counts=counts, members=np.concatenate(pdf["members"].to_list()).astype(np.int64))
+            return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "graph": [out.getvalue()]})
 
-    graphs = placed.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, graph binary")
-    return written(graphs, "vector-graphs")[0], clean
+        graphs = placed.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, graph binary")
+        return keep(graphs, "vector-graphs")[0], clean
 
 
 def search(graphs: DataFrame, queries: DataFrame, top: int = 20, block_size: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score of the ``top`` nearest found of each query (vec_id, embedding)."""
     blocks = max(1, -(-queries.count() // block_size))
-    shards = graphs.select("dim", "shard")
+    last = graphs.agg(F.max("shard")).first()[0] or 0
     asked = queries.select("vec_id", "embedding", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"))
-    # Each block of queries meets each shard once; the list of shards is one short row for each dimension.
-    lists = shards.groupBy("dim").agg(F.collect_list("shard").alias("shards"))
-    asked = asked.join(lists, "dim").withColumn("shard", F.explode("shards")).drop("shards")
+    # Each block of queries meets each shard once.
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last))))
     served = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def answer(key: tuple, held: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
