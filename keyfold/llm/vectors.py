@@ -5,11 +5,13 @@ shard, points are inserted in batches: a greedy beam search over the graph so
 far proposes neighbours, and relaxed distance pruning keeps the near and diverse
 ones: a candidate goes if a kept neighbour is nearer to it, by the factor
 ``alpha``, than the point is.  Edges are mirrored and full nodes pruned again.
+All points are inserted twice, and nodes that no start reaches get an
+edge from the nearest that one does.  Searches start at 64 nodes of the shard.
 Inner products become distances by one more coordinate that gives all vectors of
 a shard the same length.
 
 Queries are cut into blocks; each block meets each shard's graph once, and a beam
-search from its middle finds candidates, scored exactly (double precision, in
+search finds candidates, scored exactly (double precision, in
 order of the coordinates) on the original vectors.  Then the best of all shards
 are merged.
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import ship, temporary, written
 
-DEGREE, BUILD_BEAM, BEAM, ALPHA = 24, 64, 160, 1.2
+DEGREE, BUILD_BEAM, BEAM, ALPHA, STARTS = 24, 80, 160, 1.2, 64
 
 
 def usable(v: str = "embedding") -> Column:
@@ -49,8 +51,8 @@ class Graph:
         last = np.sqrt(np.maximum(squares.max() - squares, 0))
         self.x = np.concatenate([x, last[:, None].astype(np.float32)], axis=1)
         self.sq = (self.x**2).sum(axis=1)
-        middle = self.x.mean(axis=0)
-        self.start = int((((self.x - middle) ** 2).sum(axis=1)).argmin())
+        #: Where searches start: a tight cluster is easily entered but not left, so they start all over the shard.
+        self.starts = np.unique(np.linspace(0, len(x) - 1, STARTS).astype(np.int32))
         self.edges = self._build() if edges is None else edges
 
     def _build(self, batch: int = 256) -> np.ndarray:
@@ -58,22 +60,58 @@ class Graph:
         rng = np.random.default_rng(7)
         #: Neighbours of each node, filled up with the node itself.
         self.edges = np.repeat(np.arange(n, dtype=np.int32)[:, None], DEGREE, axis=1)
-        order = rng.permutation(n)
-        order = np.concatenate([[self.start], order[order != self.start]])
-        done = 1
+        order = np.concatenate([self.starts, np.setdiff1d(rng.permutation(n), self.starts)])
+        order[len(self.starts) :] = rng.permutation(order[len(self.starts) :])
+        done = len(self.starts)
+        self.edges[self.starts] = self.prune(self.starts, np.repeat(self.starts[None, :], done, axis=0))
         while done < n:
-            new = order[done : done + min(batch, max(8, done))]
-            ids, _ = self.beam(self.x[new], BUILD_BEAM)
-            self.edges[new] = self.prune(new, ids)
-            self._mirror(new)
+            new = order[done : done + batch]
+            self._insert(new)
             done += len(new)
+        # Once more, now that every point has all the others to choose from.
+        self._connect()
+        for at in range(0, n, batch):
+            self._insert(order[at : at + batch])
+        self._connect()
         return self.edges
 
+    def _insert(self, new: np.ndarray) -> None:
+        ids, _ = self.beam(self.x[new], BUILD_BEAM)
+        self.edges[new, :DEGREE] = self.prune(new, np.concatenate([ids, self.edges[new]], axis=1))
+        self._mirror(new)
+
+    def _connect(self) -> None:
+        """Gives every node that no start reaches an edge from the nearest that one does: a tight cluster can lose its last one."""
+        self.edges = self.edges[:, :DEGREE]
+        n = len(self.x)
+        reached = np.zeros(n, bool)
+        self._reach(self.starts, reached)
+        bridges: dict[int, list[int]] = {}
+        while not reached.all():
+            node = int(np.flatnonzero(~reached)[0])
+            inside = np.flatnonzero(reached)
+            gap = self.sq[inside] - 2 * self.x[inside] @ self.x[node]
+            bridges.setdefault(int(inside[gap.argmin()]), []).append(node)
+            self._reach(np.array([node]), reached)
+        if bridges:
+            more = np.repeat(np.arange(n, dtype=np.int32)[:, None], max(map(len, bridges.values())), axis=1)
+            for node, far in bridges.items():
+                more[node, : len(far)] = far
+            self.edges = np.concatenate([self.edges, more], axis=1)
+
+    def _reach(self, front: np.ndarray, reached: np.ndarray) -> None:
+        while len(front):
+            reached[front] = True
+            front = np.unique(self.edges[front])
+            front = front[~reached[front]]
+
     def _mirror(self, new: np.ndarray) -> None:
-        target = self.edges[new].ravel()
+        target = self.edges[new, :DEGREE].ravel()
         source = np.repeat(new, DEGREE).astype(np.int32)
         real = target != source
         target, source = target[real], source[real]
+        if not len(target):
+            return
         order = np.argsort(target, kind="stable")
         target, source = target[order], source[order]
         nodes, first, counts = np.unique(target, return_index=True, return_counts=True)
@@ -82,7 +120,7 @@ class Graph:
         pool = np.concatenate([self.edges[nodes], pool], axis=1)
         for at in range(0, len(nodes), 512):
             part = slice(at, at + 512)
-            self.edges[nodes[part]] = self.prune(nodes[part], pool[part])
+            self.edges[nodes[part], :DEGREE] = self.prune(nodes[part], pool[part])
 
     def prune(self, points: np.ndarray, pool: np.ndarray, widest: int = 96) -> np.ndarray:
         """Of each row's candidates, the near and diverse ones; candidates may repeat or be the point itself."""
@@ -110,12 +148,14 @@ class Graph:
         """The ids and distances of each query's nearest nodes met; ids repeat the last where fewer were met."""
         n, q = len(self.x), len(queries)
         seen = np.zeros((q, n), bool)
-        ids = np.full((q, width), self.start, np.int32)
+        k = min(width, len(self.starts))
+        first = self.sq[self.starts] - 2 * queries @ self.x[self.starts].T
+        order = np.argsort(first, axis=1, kind="stable")[:, :k]
+        ids = np.full((q, width), self.starts[0], np.int32)
         far = np.full((q, width), np.inf, np.float32)
-        far[:, 0] = self.sq[self.start] - 2 * queries @ self.x[self.start]
-        seen[:, self.start] = True
-        open_ = np.zeros((q, width), bool)
-        open_[:, 0] = True
+        ids[:, :k], far[:, :k] = self.starts[order], np.take_along_axis(first, order, 1)
+        seen[:, self.starts] = True
+        open_ = np.isfinite(far)
         rows = np.arange(q)
         while True:
             active = open_.any(axis=1)
@@ -128,7 +168,7 @@ class Graph:
             nodes = np.take_along_axis(ids[own], pick, 1)
             open_[own[:, None], pick] = False
             reach = self.edges[nodes].reshape(len(own), -1)
-            reach = np.where(np.repeat(chosen, DEGREE, axis=1), reach, nodes[:, :1])
+            reach = np.where(np.repeat(chosen, self.edges.shape[1], axis=1), reach, nodes[:, :1])
             reach.sort(axis=1)
             fresh = ~seen[own[:, None], reach]
             fresh[:, 1:] &= reach[:, 1:] != reach[:, :-1]

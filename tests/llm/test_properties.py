@@ -47,3 +47,17 @@ def test_signatures_estimate_similarity():
     other = np.concatenate([base[:1840], rng.integers(0, 1 << 62, 160, dtype=np.uint64)])
     equal = (neardup.signature(np.unique(base)) == neardup.signature(np.unique(other))).sum()
     assert 42 <= equal <= 64
+
+
+def test_tight_clusters_don_t_trap_the_search():
+    from keyfold.llm.vectors import Graph
+
+    rng = np.random.default_rng(5)
+    spread = rng.normal(size=(1200, 32))
+    tight = rng.normal(size=32) * 3 + rng.normal(size=(400, 32)) * 0.05
+    x = np.concatenate([spread, tight]).astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    q = x[::16]
+    near = Graph(x).nearest(q)
+    best = np.argsort(-(q.astype(np.float64) @ x.T.astype(np.float64)), axis=1, kind="stable")[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(best, near)]) >= 0.95
