@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import ship, temporary, written
 
-DEGREE, BUILD_BEAM, BEAM, ALPHA, STARTS = 24, 80, 160, 1.2, 64
+DEGREE, BUILD_BEAM, BEAM, ALPHA, STARTS = 24, 80, 256, 1.2, 64
 
 
 def usable(v: str = "embedding") -> Column:
