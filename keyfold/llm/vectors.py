@@ -202,7 +202,7 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return total
 
 
-def build_index(vectors: DataFrame, top: int = 20, shard_size: int = 4096) -> tuple[DataFrame, DataFrame]:
+def build_index(vectors: DataFrame, top: int = 20, shard_size: int = 8192) -> tuple[DataFrame, DataFrame]:
     """The shards' graphs (dim, shard, graph), and the clean vectors (vec_id, embedding)."""
     clean = vectors.where(F.col("vec_id").isNotNull() & usable()).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
     clean, _ = written(clean.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
