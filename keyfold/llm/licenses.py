@@ -5,6 +5,9 @@ unit is normalised (lower case, words of a-z and 0-9) and its set of word
 bigrams compared with a template's: 2 |A & B| / (|A| + |B|) of at least
 ``threshold``.
 
+A licence has several templates: notices, usual headers, and passages of its
+text.  A whole text is recognised by the passages that it holds.
+
 Two bounds prune without loss.  Sizes: the coefficient can only reach t if
 |A| lies between t/(2-t) and (2-t)/t times |B|.  Anchors: at least t/(2-t) of a
 template's bigrams must be in the unit, so a set of words that touch more than
@@ -42,6 +45,73 @@ TEMPLATES = {
 }
 
 
+#: Besides TEMPLATES, which the SQL knows: usual headers, and passages that stand in each copy of the licence's text.
+MORE = {
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "Licensed under the GNU Affero General Public License, version 3",
+        "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software",
+    ],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License",
+        "Distributed under the Apache License 2.0",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+        "each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form",
+    ],
+    "BSD": [
+        "Licensed under the BSD License",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    ],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0", "Licensed under the Creative Commons Attribution 4.0 International License"],
+    "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0"],
+    "CC0-1.0": [
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+        "the person associating CC0 with a Work (the \"Affirmer\"), to the extent that he or she is an owner of Copyright and Related Rights in the Work, voluntarily elects to apply CC0 to the Work",
+    ],
+    "GPL-2.0": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+        "This work is licensed under the GNU General Public License, version 2",
+        "Licensed under the GNU General Public License, version 2",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "You may modify your copy or copies of the Program or any portion of it, thus forming a work based on the Program, and copy and distribute such modifications or work under the terms of Section 1 above",
+    ],
+    "GPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "Licensed under the GNU General Public License, version 3",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works",
+    ],
+    "ISC": ["Licensed under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "LGPL-2.1": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+        "Licensed under the GNU Lesser General Public License, version 2.1",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    ],
+    "LGPL-3.0": [
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "Licensed under the GNU Lesser General Public License, version 3",
+        "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below",
+    ],
+    "MIT": [
+        "Licensed under the MIT License",
+        "Distributed under the MIT License",
+        "This project is licensed under the MIT License",
+        "This project is released under the MIT License",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+        "Licensed under the Mozilla Public License, version 2.0",
+    ],
+}
+ALL = {k: [*([TEMPLATES[k]] if k in TEMPLATES else []), *MORE.get(k, [])] for k in sorted({*TEMPLATES, *MORE})}
+
+
 def bigrams_of(text: str) -> list[str]:
     words = re.findall("[a-z0-9]+", text.lower())
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
@@ -67,14 +137,15 @@ def _bigrams(unit: Column) -> Column:
     return F.array_distinct(F.array_compact(pairs))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str | list[str]] = ALL, threshold: float = 0.8) -> DataFrame:
     """doc_id, licence, dice (of the best unit), n_units (that match some template) of each document."""
-    if not 0 < len(templates) <= MAX_TEMPLATES:
+    texts = [(k, t) for k, v in sorted(templates.items()) for t in ([v] if isinstance(v, str) else v)]
+    if not 0 < len(texts) <= MAX_TEMPLATES:
         raise ValueError(f"between 1 and {MAX_TEMPLATES} templates are possible")
-    sets = {k: bigrams_of(v) for k, v in sorted(templates.items())}
-    if not all(sets.values()):
+    sets = [(k, bigrams_of(t)) for k, t in texts]
+    if not all(b for _, b in sets):
         raise ValueError("a template needs two words at least")
-    words = sorted({w for b in sets.values() for w in anchors(b, threshold)})
+    words = sorted({w for _, b in sets for w in anchors(b, threshold)})
     pattern = rf"(?<![a-z0-9])({'|'.join(words)})(?![a-z0-9])"
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     lower = F.lower(F.coalesce("text", F.lit("")))
@@ -83,7 +154,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     def best(bigrams: Column) -> Column:
         size = F.size(bigrams)
         scored = []
-        for name, template in sets.items():
+        for name, template in sets:
             dice = 2.0 * F.size(F.array_intersect(bigrams, F.lit(template))) / (size + len(template))
             scored.append(F.struct(F.when((size >= low * len(template)) & (size <= high * len(template)), dice).otherwise(0.0).alias("dice"), F.lit(name).alias("licence")))
         return F.reduce(F.array(*scored), F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("licence")), lambda a, b: F.when(b["dice"] > a["dice"], b).otherwise(a))

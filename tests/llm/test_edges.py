@@ -156,6 +156,25 @@ def test_licenses(spark, mixed, empty):
     assert licenses.scan(empty).count() == 0 and licenses.scan(mixed).count() == len(ROWS)
 
 
+MIT_TEXT = """Copyright (c) 2019 A. Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+"""
+
+
+def test_licence_texts_and_wordings(spark):
+    want = {
+        "Licensed under the MIT License": "MIT", "Distributed under the MIT License": "MIT", "This project is released under the MIT License": "MIT", MIT_TEXT: "MIT",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.": "Apache-2.0",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.": "BSD",
+        "He was granted permission to copy the software licence": None,
+    }
+    got = {r["doc_id"]: r["licence"] for r in licenses.scan(docs(spark, [(i, t, "en", "a") for i, t in enumerate(want)])).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+
+
 @pytest.mark.parametrize("url, host, path", [
     ("http://A.Example.com/en/7?x#y", "a.example.com", "/en/7"), ("no scheme", "", ""), (None, "", ""), ("", "", ""), ("x://h", "h", ""), ("x://É.de#f", "É.de", ""), ("a://b://c/d", "b:", "//c/d"),
 ])
