@@ -5,6 +5,12 @@ unit is normalised (lower case, words of a-z and 0-9) and its set of word
 bigrams compared with a template's: 2 |A & B| / (|A| + |B|) of at least
 ``threshold``.
 
+Units that are no template in full (coefficient 1) are searched again over line
+and sentence ends: their words in order, with a gap for each full unit.  There each window
+of consecutive bigrams, from a template's bigram to another, up to (2-t)/t times
+the template's length, is compared.  All windows are, so wrapped notices and
+those in longer sentences are found with their best coefficient.
+
 A licence has several templates: notices, usual headers, and passages of its
 text.  A whole text is recognised by the passages that it holds.
 
@@ -12,7 +18,8 @@ Two bounds prune without loss.  Sizes: the coefficient can only reach t if
 |A| lies between t/(2-t) and (2-t)/t times |B|.  Anchors: at least t/(2-t) of a
 template's bigrams must be in the unit, so a set of words that touch more than
 the rest of its bigrams must have a word there; one pass of a pattern of these
-words leaves few units.
+words leaves few units.  For windows, t/(2-t) of a template's bigrams must be in
+the rest of the text, and in the longest window from a start.
 
 Templates are a list on the driver (at most ``MAX_TEMPLATES``) and become
 expressions.  Null and empty texts, and texts without a licence, have licence
@@ -22,6 +29,7 @@ alone, with no shuffle, so repeated rows need no rule.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -72,6 +80,10 @@ MORE = {
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
         "the person associating CC0 with a Work (the \"Affirmer\"), to the extent that he or she is an owner of Copyright and Related Rights in the Work, voluntarily elects to apply CC0 to the Work",
     ],
+    "GPL-1.0": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version",
+        "GNU GENERAL PUBLIC LICENSE Version 1, February 1989",
+    ],
     "GPL-2.0": [
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
         "This work is licensed under the GNU General Public License, version 2",
@@ -86,6 +98,10 @@ MORE = {
         "The GNU General Public License is a free, copyleft license for software and other kinds of works",
     ],
     "ISC": ["Licensed under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "LGPL-2.0": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+        "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991",
+    ],
     "LGPL-2.1": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
         "Licensed under the GNU Lesser General Public License, version 2.1",
@@ -122,6 +138,7 @@ def anchors(bigrams: list[str], threshold: float) -> list[str]:
     need = len(bigrams) - threshold / (2 - threshold) * len(bigrams)
     left, chosen = set(bigrams), []
     common = {"the", "of", "in", "is", "a", "to", "and", "under", "with", "are", "that", "this", "or", "by", "from"}
+    common |= {"all", "an", "any", "as", "at", "be", "can", "each", "for", "has", "he", "if", "it", "mit", "no", "not", "on", "one", "shall", "she", "such", "was", "which", "without", "you"}
     while len(bigrams) - len(left) <= need:
         words = sorted({w for b in left for w in b.split()})
         best = max(words, key=lambda w: ((w not in common) * sum(w in b.split() for b in left), -words.index(w)))
@@ -130,15 +147,56 @@ def anchors(bigrams: list[str], threshold: float) -> list[str]:
     return chosen
 
 
-def _bigrams(unit: Column) -> Column:
-    words = F.regexp_extract_all(unit, F.lit("[a-z0-9]+"), F.lit(0))
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def _pairs(words: Column) -> Column:
     # Positions up to the last but one; the shifted list pairs each word with its follower.
-    pairs = F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.array_compact(pairs))
+    return F.array_compact(F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def _bigrams(unit: Column) -> Column:
+    return F.array_distinct(_pairs(_words(unit)))
+
+
+def length_of(text: str) -> int:
+    """Bigrams of a template, repeated ones too."""
+    return max(0, len(re.findall("[a-z0-9]+", text.lower())) - 1)
+
+
+WINDOW = "array<struct<low:int,high:int,dice:double,licence:string>>"
+
+
+def _windows(pairs: Column, known_pairs: Column, licence: str, template: list[str], length: int, threshold: float) -> Column:
+    """Each window of ``pairs`` that matches the template: first and last position, dice, licence.  ``known_pairs`` are those in any template."""
+    # A shade lower and longer, against rounding; the coefficient itself decides.
+    need = max(1, math.ceil(threshold / (2 - threshold) * len(template) - 1e-9))
+    longest = math.floor((2 - threshold) / threshold * length + 1e-9)
+    known = F.lit(template)
+
+    def common(bigrams: Column) -> Column:
+        return F.size(F.array_intersect(bigrams, known))
+
+    def measured(low: Column, high: Column) -> Column:
+        window = F.slice(pairs, low + 1, high - low + 1)
+        dice = 2.0 * common(window) / (F.size(F.array_distinct(window)) + len(template))
+        return F.struct(low.alias("low"), high.alias("high"), dice.alias("dice"), F.lit(licence).alias("licence"))
+
+    def search(at: Column) -> Column:
+        def ends(low: Column, k: Column) -> Column:
+            near = F.filter(F.slice(at, k + need, longest), lambda high: high - low < longest)
+            found = F.filter(F.transform(near, lambda high: measured(low, high)), lambda m: m["dice"] >= threshold)
+            return F.when(common(F.slice(pairs, low + 1, longest)) >= need, found).otherwise(F.array().cast(WINDOW))
+
+        return F.flatten(F.transform(at, ends))
+
+    hits = F.array_compact(F.transform(pairs, lambda p, i: F.when(p.isin(template), i)))
+    return F.when(common(known_pairs) >= need, F.flatten(F.transform(F.array(hits), search))).otherwise(F.array().cast(WINDOW))
 
 
 def scan(docs: DataFrame, templates: dict[str, str | list[str]] = ALL, threshold: float = 0.8) -> DataFrame:
-    """doc_id, licence, dice (of the best unit), n_units (that match some template) of each document."""
+    """doc_id, licence, dice (of the best match), n_units (units and places between them that match some template) of each document."""
     texts = [(k, t) for k, v in sorted(templates.items()) for t in ([v] if isinstance(v, str) else v)]
     if not 0 < len(texts) <= MAX_TEMPLATES:
         raise ValueError(f"between 1 and {MAX_TEMPLATES} templates are possible")
@@ -149,7 +207,8 @@ def scan(docs: DataFrame, templates: dict[str, str | list[str]] = ALL, threshold
     pattern = rf"(?<![a-z0-9])({'|'.join(words)})(?![a-z0-9])"
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     lower = F.lower(F.coalesce("text", F.lit("")))
-    units = F.when(lower.rlike(pattern), F.filter(F.split(lower, UNIT), lambda u: u.rlike(pattern))).otherwise(F.array().cast("array<string>"))
+    units = F.when(lower.rlike(pattern), F.split(lower, UNIT)).otherwise(F.array().cast("array<string>"))
+    none = F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("licence"))
 
     def best(bigrams: Column) -> Column:
         size = F.size(bigrams)
@@ -159,10 +218,20 @@ def scan(docs: DataFrame, templates: dict[str, str | list[str]] = ALL, threshold
             scored.append(F.struct(F.when((size >= low * len(template)) & (size <= high * len(template)), dice).otherwise(0.0).alias("dice"), F.lit(name).alias("licence")))
         return F.reduce(F.array(*scored), F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("licence")), lambda a, b: F.when(b["dice"] > a["dice"], b).otherwise(a))
 
-    matches = F.filter(F.transform(F.transform(units, _bigrams), best), lambda m: m["dice"] >= threshold)
-    found = docs.select("doc_id", matches.alias("m"))
-    top = F.reduce("m", F.struct(F.lit(0.0).alias("dice"), F.lit(None).cast("string").alias("licence")), lambda a, b: F.when((b["dice"] > a["dice"]) | ((b["dice"] == a["dice"]) & (b["licence"] < a["licence"])), b).otherwise(a))
-    return found.select("doc_id", F.size("m").cast("bigint").alias("n_units"), top.alias("t")).select("doc_id", F.col("t.licence").alias("licence"), F.col("t.dice").alias("dice"), "n_units")
+    judged = F.transform(units, lambda u: F.when(u.rlike(pattern), F.transform(F.array(_bigrams(u)), best)[0]).otherwise(none))
+    split = docs.select("doc_id", units.alias("u"), judged.alias("m"))
+    # An empty word stands for a full unit; it is in no template.
+    rest = F.flatten(F.zip_with("u", "m", lambda u, m: F.when(m["dice"] == 1, F.array(F.lit(""))).otherwise(_words(u))))
+    split = split.select("doc_id", F.filter("m", lambda m: m["dice"] >= threshold).alias("m"), _pairs(rest).alias("p"))
+    split = split.withColumn("k", F.array_distinct(F.filter("p", lambda p: p.isin(sorted({x for _, b in sets for x in b})))))
+    windows = F.flatten(F.array(*[_windows(F.col("p"), F.col("k"), k, b, length_of(t), threshold) for (k, t), (_, b) in zip(texts, sets)]))
+    found = split.select("doc_id", "m", F.when(F.size("k") > 0, F.array_sort(windows)).otherwise(F.array().cast(WINDOW)).alias("w"))
+    # Windows that overlap are one place; they hold what matched in units that aren't full.
+    places = F.reduce("w", F.struct(F.lit(-1).alias("end"), F.lit(0).alias("n")), lambda a, w: F.struct(F.greatest(a["end"], w["high"]).alias("end"), (a["n"] + (w["low"] > a["end"]).cast("int")).alias("n")), lambda a: a["n"])
+    every = F.concat("m", F.transform("w", lambda w: F.struct(w["dice"].alias("dice"), w["licence"].alias("licence"))))
+    top = F.reduce(every, F.struct(F.lit(0.0).alias("dice"), F.lit(None).cast("string").alias("licence")), lambda a, b: F.when((b["dice"] > a["dice"]) | ((b["dice"] == a["dice"]) & (b["licence"] < a["licence"])), b).otherwise(a))
+    full = F.size(F.filter("m", lambda m: m["dice"] == 1))
+    return found.select("doc_id", F.greatest(full + places, F.least(F.size("m"), F.lit(1))).cast("bigint").alias("n_units"), top.alias("t")).select("doc_id", F.col("t.licence").alias("licence"), F.col("t.dice").alias("dice"), "n_units")
 
 
 ship(__name__)

@@ -1,6 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import hashlib
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,6 +177,40 @@ def test_licence_texts_and_wordings(spark):
     assert [got[i] for i in range(len(want))] == list(want.values())
 
 
+def test_licences_over_line_ends(spark):
+    texts = {
+        "/* Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following\n * conditions are met:": ("BSD", 1),
+        "MIT\nThis is a long line of other words before it is released\nunder the MIT License, and it goes on for as long as nobody ends it": ("MIT", 1),
+        "Released under the MIT License.\nThis library is licensed under the GNU Lesser\nGeneral Public License, version 3": ("LGPL-3.0", 2),
+        "Released under. The weather. Under the sea, a MIT. License": (None, 0),
+        MIT_TEXT.replace(" ", "\n"): ("MIT", 2),
+        "Under the LGPL, version 2.1:\nThis Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.": ("MPL-2.0", 1),
+    }
+    got = {r["doc_id"]: (r["licence"], r["n_units"], r["dice"]) for r in licenses.scan(docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert [got[i][:2] for i in range(len(texts))] == list(texts.values())
+    assert [got[i][2] for i in (0, 1, 4, 5)] == [1.0] * 4
+
+
+def test_licence_windows_miss_none(spark):
+    rng = random.Random(7)
+    templates = {"A": ["a b c d e", "c a b c a b d"], "B": "e d c a"}
+    texts = [re.sub(" ", lambda _: rng.choice(" \n"), " ".join(rng.choices("abcdex", k=rng.randrange(30)))) for _ in range(150)]
+    got = {r["doc_id"]: (r["licence"], r["dice"]) for r in licenses.scan(docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), templates, 0.7).collect()}
+    for i, text in enumerate(texts):
+        # Units first, then all windows over the words of the others.
+        found, words = [], []
+        every = [(k, licenses.bigrams_of(t), licenses.length_of(t)) for k, v in templates.items() for t in ([v] if isinstance(v, str) else v)]
+        dice = lambda x, y: 2 * len(set(x) & set(y)) / (len(set(x)) + len(y))
+        for unit in text.split("\n"):
+            hit = [(-d, k) for k, b, _ in every if (d := dice(licenses.bigrams_of(unit), b)) >= 0.7]
+            found += hit
+            words += [""] if (-1, "A") in hit or (-1, "B") in hit else re.findall("[a-z0-9]+", unit)
+        pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+        found += [(-d, k) for k, b, n in every for low in range(len(pairs)) for high in range(low, low + int(1.3 / 0.7 * n)) if high < len(pairs) and (d := dice(pairs[low : high + 1], b)) >= 0.7]
+        want = min(found, default=(0, None))
+        assert got[i] == (want[1], pytest.approx(-want[0])), text
+
+
 @pytest.mark.parametrize("url, host, path", [
     ("http://A.Example.com/en/7?x#y", "a.example.com", "/en/7"), ("no scheme", "", ""), (None, "", ""), ("", "", ""), ("x://h", "h", ""), ("x://É.de#f", "É.de", ""), ("a://b://c/d", "b:", "//c/d"),
 ])
