@@ -8,7 +8,9 @@ long phrases; the language with the fewest phrases for each character wins.
 The automaton is flattened to one table, next[state, letter], in which a letter
 that ends a phrase leads to the state that the next phrase starts in and carries
 a mark.  So parsing is a walk, and all blocks of a batch walk all languages'
-tables together in numpy.  Texts are parsed whole, in blocks of ``block``
+tables together in numpy.  Each letter of a language's sample has a class of its
+own; a language of many letters has its transitions as a sorted list, searched at
+each step, since a table of all states and letters would be too large.  Texts are parsed whole, in blocks of ``block``
 letters; a phrase ends at a block's end, in all languages alike.
 
 Bounds: the sample has at most ``sample_chars`` characters of each language, and
@@ -85,37 +87,42 @@ def suffix_automaton(letters: list[int]) -> list[dict[int, int]]:
 
 
 class Model:
-    """The languages' tables, one behind the other."""
+    """The languages' tables."""
 
     def __init__(self, samples: dict[str, str], symbols: int = 63) -> None:
+        """A language of more than ``symbols`` letters has a sorted list for its table."""
         self.langs = sorted(samples)
         coded = {lang: normal_codes(samples[lang]) for lang in self.langs}
-        joined = np.concatenate([*coded.values(), np.array([], "<u4")])
-        values, counts = np.unique(joined, return_counts=True)
-        common = sorted(values[np.argsort(-counts, kind="stable")][:symbols].tolist())
+        letters = np.unique(np.concatenate([*coded.values(), np.array([], "<u4")]))
         #: Class of each code point; 0 is a letter that no sample has.
-        self.classes = np.zeros(_LIMIT, np.uint8)
-        self.classes[common] = np.arange(1, len(common) + 1)
-        self.width = width = len(common) + 1
-        tables, base, self.roots = [], 0, []
+        self.classes = np.zeros(_LIMIT, np.uint16 if len(letters) < 1 << 16 else np.int32)
+        self.classes[letters] = np.arange(1, len(letters) + 1)
+        #: For each language: class in the language of each class (0: not in its sample), the table, and the list's keys or None.
+        self.tables = []
         for lang in self.langs:
-            nexts = suffix_automaton(self.classes[coded[lang]].tolist())
-            step = np.zeros((len(nexts), width), np.int64)
+            own = np.unique(coded[lang])
+            width = len(own) + 1
+            local = np.zeros(len(letters) + 1, np.int32)
+            local[self.classes[own]] = np.arange(1, width)
+            nexts = suffix_automaton(local[self.classes[coded[lang]]].tolist())
+            if len(nexts) * width >= 1 << 62 or (width <= symbols + 1 and len(nexts) * width >= 1 << 30):
+                raise ValueError("the sample is too large for the table")
             root = np.zeros(width, np.int64)
             for c, to in nexts[0].items():
                 root[c] = to
             # A letter that ends a phrase starts the next one: from the root.
-            step[:] = ((base + root * width) << 1) | 1
-            for state, known in enumerate(nexts):
-                for c, to in known.items():
-                    if c:
-                        step[state, c] = (base + to * width) << 1
-            tables.append(step.ravel())
-            self.roots.append(base)
-            base += len(nexts) * width
-        if base >= 1 << 30:
-            raise ValueError("the sample is too large for the table")
-        self.table = np.concatenate(tables).astype(np.int32) if tables else np.zeros(0, np.int32)
+            fresh = ((root * width) << 1) | 1
+            if width <= symbols + 1:
+                step = np.tile(fresh, (len(nexts), 1))
+                for state, known in enumerate(nexts):
+                    for c, to in known.items():
+                        step[state, c] = (to * width) << 1
+                self.tables.append((local, step.ravel().astype(np.int32), None))
+            else:
+                # The keys are in order by state and letter; what isn't among them is fresh, at the end.
+                pairs = [(state * width + c, (to * width) << 1) for state, known in enumerate(nexts) for c, to in sorted(known.items())]
+                keys, to = np.array(pairs, np.int64).T
+                self.tables.append((local, np.concatenate([to, fresh]), np.ascontiguousarray(keys)))
 
     def phrases(self, texts: list[str | None], block: int = 1024, lanes: int = 8192) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text (rows) by language (columns), and the texts' lengths in normal characters, 0 without letters."""
@@ -149,13 +156,18 @@ class Model:
         columns = np.ascontiguousarray(grid.T)
         alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # blocks longer than each position
         owner = np.asarray(owners)[order]
-        for k, root in enumerate(self.roots):
-            state = np.full(len(pieces), root, np.int32)
+        for k, (local, table, keys) in enumerate(self.tables):
+            state = np.zeros(len(pieces), table.dtype)
             count = np.ones(len(pieces), np.int32)
             for t in range(lengths[0]):
                 n = alive[t]
-                to = self.table[state[:n] + columns[t, :n]]
-                count[:n] += to & 1
+                letter = local[columns[t, :n]]
+                at = state[:n] + letter
+                if keys is not None:
+                    found_at = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
+                    at = np.where(keys[found_at] == at, found_at, len(keys) + letter)
+                to = table[at]
+                count[:n] += (to & 1).astype(np.int32)
                 state[:n] = to >> 1
             np.add.at(found[:, k], owner, count)
 

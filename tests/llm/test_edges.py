@@ -111,6 +111,22 @@ def test_suffix_automaton_parses_greedily():
         assert abs(int(found[0, 0]) - phrases) <= 1 and size[0] == len(text)
 
 
+def test_languages_of_many_letters():
+    rng = random.Random(3)
+    alphabets = {"zh": range(0x4E00, 0x5000), "ja": [*range(0x3041, 0x3097), *range(0x4F00, 0x5080)], "ru": range(0x430, 0x450), "en": range(97, 123), "ar": range(0x621, 0x63B)}
+    words = {k: ["".join(chr(rng.choice(v)) for _ in range(rng.randrange(1, 5))) for _ in range(300)] for k, v in alphabets.items()}
+    text = lambda k, n: " ".join(rng.choices(words[k], k=n))
+    samples = {k: text(k, 2000) for k in words}
+    model = langid.Model(samples)
+    held = [(k, text(k, 8)) for k in words for _ in range(20)]
+    lang, _, rate = model.predict([t for _, t in held])
+    assert lang == [k for k, _ in held] and max(rate) <= 0.6
+    sparse, dense = langid.Model(samples, 10), langid.Model(samples, 4000)
+    texts = [t for _, t in held] + ["中 xyz \u0e01 ü", "".join(t for _, t in held), None, "1 2"]
+    for other in (sparse, dense):
+        assert (model.phrases(texts)[0] == other.phrases(texts)[0]).all()
+
+
 def test_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = langid.identify(d, langid.train(d)).join(d.select("doc_id", "lang"), "doc_id").where(langid.held_out(F.col("doc_id")) & F.col("lang").isNotNull())
