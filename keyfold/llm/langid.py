@@ -2,24 +2,34 @@
 
 For each language, a bounded sample of labelled text becomes a suffix
 automaton.  A text is parsed against it greedily: each phrase is the longest
-match in the sample from where the last phrase ended.  Related text needs few,
-long phrases; the language with the fewest phrases for each character wins.
+match in the sample from where the last phrase ended, and one letter where
+nothing matches.  Related text needs few, long phrases.
 
-The automaton is flattened to one table, next[state, letter], in which a letter
-that ends a phrase leads to the state that the next phrase starts in and carries
-a mark.  So parsing is a walk, and all blocks of a batch walk all languages'
-tables together in numpy.  Each letter of a language's sample has a class of its
-own; a language of many letters has its transitions as a sorted list, searched at
-each step, since a table of all states and letters would be too large.  Texts are parsed whole, in blocks of ``block``
-letters; a phrase ends at a block's end, in all languages alike.
+Phrases are normalised: by the text's length, and by the phrases a letter that
+other labelled text of the language needs (a fifth of the sample, which is not
+in the automaton; the second half of a language's only text).  So a language
+with little labelled text, which needs more phrases for anything, isn't beaten
+by one with much.  The language with the fewest normalised phrases wins.
 
-Bounds: the sample has at most ``sample_chars`` characters of each language, and
-of all languages ``all_chars``; it is drawn in an order that only depends on
-doc_id and text.  Predictions never see lang, source or doc_id.
+The automaton is flattened to one table, next[state, letter], in which a letter
+that ends phrases leads to the state that the next phrase starts in, and carries
+how many it ends.  So parsing is a walk, and all texts of a batch walk a
+language's table together in numpy.  Long texts are walked in blocks at once, as
+if each began a phrase, and then again from the state that the block before ends
+in, until the states agree with those of the first walk: the parse is that of
+the whole text.  Each letter of a language's sample has a class of its own; a
+language of many letters has its transitions as a sorted list, searched at each
+step, since a table of all states and letters would be too large.
+
+Bounds of the fit: ``max_langs`` languages (those with most labelled documents),
+``sample_docs`` texts and ``sample_chars`` characters of each, evenly from all
+its texts, and ``all_chars`` of all.  The sample only depends on the set of
+labelled rows.  Predictions never see lang, source or doc_id.
 
 Null texts and texts without a letter are ``und`` with score 0.  If nothing is
-labelled, all are.  Ties go to the language that sorts first.  Rows are
-independent; a table without rows gives none.
+labelled, all are.  Ties go to the language that sorts first.  Labelled rows
+that repeat a doc_id give the least of their texts.  Rows are judged alone; a
+table without rows gives none.
 """
 
 from __future__ import annotations
@@ -48,7 +58,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def normal_codes(text: str) -> np.ndarray:
-    """Lower-cased code points; each run of other characters than letters becomes one space."""
+    """Lower-cased code points; each run of other characters than letters becomes one space, and none at the beginning."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
     letter = _letters()[codes]
     keep = letter.copy()
@@ -87,11 +97,12 @@ def suffix_automaton(letters: list[int]) -> list[dict[int, int]]:
 
 
 class Model:
-    """The languages' tables."""
+    """The languages' tables.  samples: text of each; rates: phrases a letter that its own text needs (1 if not given)."""
 
-    def __init__(self, samples: dict[str, str], symbols: int = 63) -> None:
+    def __init__(self, samples: dict[str, str], rates: dict[str, float] | None = None, symbols: int = 63) -> None:
         """A language of more than ``symbols`` letters has a sorted list for its table."""
-        self.langs = sorted(samples)
+        self.langs, self.samples = sorted(samples), samples
+        self.rates = np.array([(rates or {}).get(lang, 1.0) for lang in self.langs])
         coded = {lang: normal_codes(samples[lang]) for lang in self.langs}
         letters = np.unique(np.concatenate([*coded.values(), np.array([], "<u4")]))
         #: Class of each code point; 0 is a letter that no sample has.
@@ -105,30 +116,35 @@ class Model:
             local = np.zeros(len(letters) + 1, np.int32)
             local[self.classes[own]] = np.arange(1, width)
             nexts = suffix_automaton(local[self.classes[coded[lang]]].tolist())
-            if len(nexts) * width >= 1 << 62 or (width <= symbols + 1 and len(nexts) * width >= 1 << 30):
-                raise ValueError("the sample is too large for the table")
+            # A letter that ends a phrase starts the next one, from the root.  One that no phrase has is a phrase itself.
             root = np.zeros(width, np.int64)
             for c, to in nexts[0].items():
                 root[c] = to
-            # A letter that ends a phrase starts the next one: from the root.
-            fresh = ((root * width) << 1) | 1
+            fresh = ((root * width) << 2) | np.where(root > 0, 1, 2)
             if width <= symbols + 1:
+                if len(nexts) * width >= 1 << 29:
+                    raise ValueError("the sample is too large for the table")
                 step = np.tile(fresh, (len(nexts), 1))
                 for state, known in enumerate(nexts):
                     for c, to in known.items():
-                        step[state, c] = (to * width) << 1
+                        step[state, c] = (to * width) << 2
+                step[0, root == 0] = 1
                 self.tables.append((local, step.ravel().astype(np.int32), None))
             else:
                 # The keys are in order by state and letter; what isn't among them is fresh, at the end.
-                pairs = [(state * width + c, (to * width) << 1) for state, known in enumerate(nexts) for c, to in sorted(known.items())]
-                keys, to = np.array(pairs, np.int64).T
+                pairs = [(state * width + c, (to * width) << 2) for state, known in enumerate(nexts) for c, to in sorted((known if state else {c: 0 for c in range(width)} | known).items())]
+                keys, to = np.array(pairs, np.int64).T.copy()
+                to[:width][root == 0] = 1
                 self.tables.append((local, np.concatenate([to, fresh]), np.ascontiguousarray(keys)))
 
     def phrases(self, texts: list[str | None], block: int = 1024, lanes: int = 8192) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text (rows) by language (columns), and the texts' lengths in normal characters, 0 without letters."""
         sizes = np.zeros(len(texts), np.int64)
         found = np.zeros((len(texts), len(self.langs)), np.int64)
-        pieces, owners, held = [], [], 0
+        pieces: list[np.ndarray] = []
+        owners: list[int] = []
+        ends: list[bool] = []
+        entry: list[int] = [0] * len(self.langs)
         letter = _letters()
         for i, text in enumerate(texts):
             codes = normal_codes(text) if text else np.zeros(0, "<u4")
@@ -139,14 +155,16 @@ class Model:
             for at in range(0, len(classes), block):
                 pieces.append(classes[at : at + block])
                 owners.append(i)
-            if len(pieces) >= lanes:
-                self._walk(pieces, owners, found)
-                pieces, owners = [], []
+                ends.append(at + block >= len(classes))
+                if len(pieces) >= lanes:
+                    entry = self._walk(pieces, owners, ends, found, entry)
+                    pieces, owners, ends = [], [], []
         if pieces:
-            self._walk(pieces, owners, found)
+            self._walk(pieces, owners, ends, found, entry)
         return found, sizes
 
-    def _walk(self, pieces: list[np.ndarray], owners: list[int], found: np.ndarray) -> None:
+    def _walk(self, pieces: list[np.ndarray], owners: list[int], ends: list[bool], found: np.ndarray, entry: list[int]) -> list[int]:
+        """Adds the phrases of the pieces to found.  entry: for each language, the state in which the first piece starts; returns that of a next one."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         order = np.argsort(-lengths, kind="stable")
         lengths = lengths[order]
@@ -154,65 +172,129 @@ class Model:
         for row, k in enumerate(order):
             grid[row, : lengths[row]] = pieces[k]
         columns = np.ascontiguousarray(grid.T)
-        alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # blocks longer than each position
-        owner = np.asarray(owners)[order]
+        alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # pieces longer than each position
+        owner, last = np.asarray(owners)[order], np.asarray(ends)[order]
+        place = np.empty(len(pieces), np.int64)
+        place[order] = np.arange(len(pieces))
+        # The row of the piece before, of the same text; -1 for a text's first piece and the batch's.
+        before = np.full(len(pieces), -1)
+        before[place[1:]] = np.where(np.asarray(ends)[:-1], -1, place[:-1])
+        out = []
         for k, (local, table, keys) in enumerate(self.tables):
-            state = np.zeros(len(pieces), table.dtype)
-            count = np.ones(len(pieces), np.int32)
-            for t in range(lengths[0]):
-                n = alive[t]
-                letter = local[columns[t, :n]]
-                at = state[:n] + letter
+
+            def step(state, letters, keys=keys, local=local, table=table):
+                letters = local[letters]
+                at = state + letters
                 if keys is not None:
                     found_at = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
-                    at = np.where(keys[found_at] == at, found_at, len(keys) + letter)
-                to = table[at]
-                count[:n] += (to & 1).astype(np.int32)
-                state[:n] = to >> 1
-            np.add.at(found[:, k], owner, count)
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-        """Language, score and phrases a character of each text.
+                    at = np.where(keys[found_at] == at, found_at, len(keys) + letters)
+                return table[at]
 
-        The score is the runner-up's share of the phrases of the best two: 0.5
+            started = np.zeros(len(pieces), table.dtype)
+            started[place[0]] = entry[k]
+            state, count = started.copy(), np.zeros(len(pieces), np.int64)
+            walked = np.zeros(columns.shape, table.dtype)
+            for t in range(lengths[0]):
+                n = alive[t]
+                to = step(state[:n], columns[t, :n])
+                walked[t, :n] = to
+                count[:n] += to & 3
+                state[:n] = to >> 2
+            while True:
+                true = np.where(before >= 0, state[before], started)
+                wrong = np.flatnonzero(true != started)
+                if not len(wrong):
+                    break
+                started, now, t = true, true[wrong], 0
+                while len(wrong):
+                    to = step(now, columns[t, wrong])
+                    differs = (to >> 2) != (walked[t, wrong] >> 2)
+                    count[wrong] += (to & 3).astype(np.int64) - (walked[t, wrong] & 3)
+                    walked[t, wrong] = to
+                    t += 1
+                    over = differs & (lengths[wrong] == t)
+                    state[wrong[over]] = to[over] >> 2
+                    left = differs & ~over
+                    wrong, now = wrong[left], to[left] >> 2
+            # The phrase that a text ends in.
+            np.add.at(found[:, k], owner, count + (last & (state != 0)))
+            out.append(0 if ends[-1] else int(state[place[-1]]))
+        return out
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[int]]:
+        """Language, score, normalised phrases and length in normal characters of each text.
+
+        The score is the runner-up's share of the normalised phrases of the best two: 0.5
         if they tie, 1 with one language only.
         """
         if not self.langs:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts), [0] * len(texts)
         found, sizes = self.phrases(texts)
-        best = found.argmin(axis=1)
-        ordered = np.sort(found, axis=1)
-        first = ordered[:, 0]
-        score = ordered[:, 1] / np.maximum(ordered[:, :2].sum(axis=1), 1) if len(self.langs) > 1 else np.ones(len(texts))
+        cost = found / np.maximum(sizes, 1)[:, None] / self.rates[None, :]
+        best = cost.argmin(axis=1)
+        ordered = np.sort(cost, axis=1)
         known = sizes > 0
-        rate = first / np.maximum(sizes, 1)
-        return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known)], np.where(known, score, 0.0).tolist(), np.where(known, rate, 0.0).tolist()
-
-
-def train(docs: DataFrame, sample_chars: int = 30_000, all_chars: int = 240_000, sample_docs: int = 200) -> Model:
+        score = ordered[:, 1] / np.where(known, ordered[:, :2].sum(axis=1), 1.0) if len(self.langs) > 1 else np.ones(len(texts))
+        return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known)], np.where(known, score, 0.0).tolist(), np.where(known, ordered[:, 0], 0.0).tolist(), sizes.tolist()
+
+
+def _evenly(texts: list[str], most: int) -> str:
+    """At most ``most`` characters: the beginnings of all texts, as long as fits."""
+    level, left = 0, most
+    for k, n in enumerate(sorted(map(len, texts))):
+        level = left // (len(texts) - k)
+        if n > level:
+            break
+        left -= n
+    return "\n".join(t[: max(1, level)] for t in texts)[:most]
+
+
+def fit(texts: dict[str, list[str]], sample_chars: int) -> Model:
+    """The model of each language's texts."""
+    samples, held = {}, {}
+    for lang, own in texts.items():
+        if len(own) > 1:
+            inside, outside = [t for k, t in enumerate(own) if k % 5], [t for k, t in enumerate(own) if k % 5 == 0]
+        else:
+            cut = (len(own[0]) + 1) // 2
+            inside, outside = [own[0][:cut]], [own[0][cut:]]
+        samples[lang], held[lang] = _evenly(inside, sample_chars), _evenly(outside, sample_chars // 4)
+    model = Model(samples)
+    if held:
+        found, sizes = model.phrases([held[lang] for lang in model.langs])
+        own = np.diagonal(found) / np.maximum(sizes, 1)
+        model.rates = np.where(sizes > 0, own, 1.0)
+    return model
+
+
+def train(docs: DataFrame, sample_chars: int = 30_000, all_chars: int = 240_000, sample_docs: int = 200, max_langs: int = 250) -> Model:
     """Fit on at most ``sample_docs`` labelled texts and ``sample_chars`` characters of each language."""
-    rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    langs = [r["lang"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_langs).collect()]
+    if not langs:
+        return Model({})
+    most = min(sample_chars, all_chars // len(langs))
     # The ids first: so texts are neither sorted nor shuffled.  Ranks within parts of a language come before ranks in
     # it, so a language of most rows isn't gathered in one task.
+    rows = labelled.where(F.col("lang").isin(langs)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
     rows = rows.distinct().withColumn("part", F.pmod("h", F.lit(64)))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     in_part = Window.partitionBy("lang", "part").orderBy("h", "doc_id")
-    rows = rows.withColumn("k", F.row_number().over(in_part)).where(F.col("k") <= sample_docs // 8 + 1)
+    rows = rows.withColumn("k", F.row_number().over(in_part)).where(F.col("k") <= sample_docs)
     rank = {(r["lang"], r["doc_id"]): r["k"] for r in rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs).select("lang", "doc_id", "k").collect()}
     ids = sorted({doc_id for _, doc_id in rank if doc_id is not None})
-    if not ids:
-        return Model({})
-    taken = docs.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).select("lang", "doc_id", F.substring("text", 1, sample_chars).alias("text"))
+    begun = labelled.where(F.col("lang").isin(langs) & (F.col("doc_id").isin(ids) | F.col("doc_id").isNull()))
+    # One bounded text for each language and id: rows may repeat an id.
+    taken = begun.groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, max(200, most // 10))).alias("text"))
     drawn = [(r["lang"], rank[r["lang"], r["doc_id"]], r["text"]) for r in taken.collect() if (r["lang"], r["doc_id"]) in rank]
     texts: dict[str, list[str]] = {}
     for lang, _, text in sorted(drawn):
         texts.setdefault(lang, []).append(text)
-    most = min(sample_chars, all_chars // max(1, len(texts)))
-    return Model({lang: "\n".join(t)[:most] for lang, t in texts.items()})
+    return fit(texts, most)
 
 
 def identify(docs: DataFrame, model: Model, batch: int = 2048) -> DataFrame:
-    """doc_id, lang_pred, score, phrase_rate (phrases a normal character) of each document, from its text only."""
+    """doc_id, lang_pred, score, phrase_rate (normalised phrases) of each document, from its text only."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches):
@@ -220,24 +302,46 @@ def identify(docs: DataFrame, model: Model, batch: int = 2048) -> DataFrame:
         for record in batches:
             for at in range(0, record.num_rows, batch):
                 part = record.slice(at, batch)
-                lang, score, rate = own.predict(part.column(1).to_pylist())
+                lang, score, rate, _ = own.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=["doc_id", "lang_pred", "score", "phrase_rate"])
 
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(predict, "doc_id bigint, lang_pred string, score double, phrase_rate double")
 
 
-def known_rows(docs: DataFrame, model: Model, most_phrases: float) -> DataFrame:
-    """The rows whose text has letters and needs at most ``most_phrases`` phrases for each normal character."""
+def known_rows(docs: DataFrame, model: Model, most_phrases: float, judged: int = 0) -> DataFrame:
+    """The rows in a learned language: their text has letters, and at most ``most_phrases`` normalised phrases if it has ``judged`` normal characters or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep():
         def marks(texts):
-            lang, _, rate = shared.value.predict(texts)
-            return [x != UNKNOWN and r <= most_phrases for x, r in zip(lang, rate)]
+            lang, _, rate, size = shared.value.predict(texts)
+            return [x != UNKNOWN and (n < judged or r <= most_phrases) for x, r, n in zip(lang, rate, size)]
 
         return marks
 
     return keep_rows(docs, keep)
 
 
+def brute_force(sample: str, text: str) -> int:
+    """Phrases of a text by searching the sample for each; for tests."""
+
+    def normal(t: str) -> str:
+        out = ""
+        for c in t.lower():
+            if c.isalpha():
+                out += c
+            elif out and out[-1] != " ":
+                out += " "
+        return out
+
+    known, rest, phrases = normal(sample), normal(text), 0
+    at = 0
+    while at < len(rest):
+        n = 1
+        while at + n < len(rest) and rest[at : at + n + 1] in known:
+            n += 1
+        at, phrases = at + n, phrases + 1
+    return phrases
+
+
 ship(__name__)
