@@ -137,7 +137,7 @@ class Model:
                 to[:width][root == 0] = 1
                 self.tables.append((local, np.concatenate([to, fresh]), np.ascontiguousarray(keys)))
 
-    def phrases(self, texts: list[str | None], block: int = 1024, lanes: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    def phrases(self, texts: list[str | None], block: int = 1024, lanes: int = 4096) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text (rows) by language (columns), and the texts' lengths in normal characters, 0 without letters."""
         sizes = np.zeros(len(texts), np.int64)
         found = np.zeros((len(texts), len(self.langs)), np.int64)
@@ -163,61 +163,79 @@ class Model:
             self._walk(pieces, owners, ends, found, entry)
         return found, sizes
 
-    def _walk(self, pieces: list[np.ndarray], owners: list[int], ends: list[bool], found: np.ndarray, entry: list[int]) -> list[int]:
+    def _walk(self, pieces: list[np.ndarray], owners: list[int], ends: list[bool], found: np.ndarray, entry: list[int], together: int = 64) -> list[int]:
         """Adds the phrases of the pieces to found.  entry: for each language, the state in which the first piece starts; returns that of a next one."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         order = np.argsort(-lengths, kind="stable")
         lengths = lengths[order]
-        grid = np.zeros((len(pieces), lengths[0]), np.int32)
+        columns = np.zeros((lengths[0], len(pieces)), self.classes.dtype)
         for row, k in enumerate(order):
-            grid[row, : lengths[row]] = pieces[k]
-        columns = np.ascontiguousarray(grid.T)
+            columns[: lengths[row], row] = pieces[k]
         alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # pieces longer than each position
         owner, last = np.asarray(owners)[order], np.asarray(ends)[order]
         place = np.empty(len(pieces), np.int64)
         place[order] = np.arange(len(pieces))
-        # The row of the piece before, of the same text; -1 for a text's first piece and the batch's.
-        before = np.full(len(pieces), -1)
+        # The rows of the pieces before and after, of the same text; -1 for none in this batch.
+        before, after = np.full(len(pieces), -1), np.full(len(pieces), -1)
         before[place[1:]] = np.where(np.asarray(ends)[:-1], -1, place[:-1])
+        after[place[:-1]] = np.where(np.asarray(ends)[:-1], -1, place[1:])
         out = []
         for k, (local, table, keys) in enumerate(self.tables):
 
-            def step(state, letters, keys=keys, local=local, table=table):
-                letters = local[letters]
+            def step(state, letters, keys=keys, table=table):
                 at = state + letters
                 if keys is not None:
                     found_at = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
                     at = np.where(keys[found_at] == at, found_at, len(keys) + letters)
                 return table[at]
 
+            letters = local[columns]
             started = np.zeros(len(pieces), table.dtype)
             started[place[0]] = entry[k]
-            state, count = started.copy(), np.zeros(len(pieces), np.int64)
+            state = started.copy()
             walked = np.zeros(columns.shape, table.dtype)
             for t in range(lengths[0]):
                 n = alive[t]
-                to = step(state[:n], columns[t, :n])
-                walked[t, :n] = to
-                count[:n] += to & 3
-                state[:n] = to >> 2
-            while True:
-                true = np.where(before >= 0, state[before], started)
-                wrong = np.flatnonzero(true != started)
+                walked[t, :n] = step(state[:n], letters[t, :n])
+                np.right_shift(walked[t, :n], 2, out=state[:n])
+            # Again from the state that the piece before ends in, until the states agree: first some steps of all together ...
+            true = np.where(before >= 0, state[before], started)
+            wrong = np.flatnonzero(true != started)
+            started, now = true, true[wrong]
+            open_: dict[int, tuple[int, int]] = {}
+            for t in range(together):
+                ended = lengths[wrong] <= t
+                open_ |= {int(w): (t, int(s)) for w, s in zip(wrong[ended], now[ended])}
+                wrong, now = wrong[~ended], now[~ended]
                 if not len(wrong):
                     break
-                started, now, t = true, true[wrong], 0
-                while len(wrong):
-                    to = step(now, columns[t, wrong])
-                    differs = (to >> 2) != (walked[t, wrong] >> 2)
-                    count[wrong] += (to & 3).astype(np.int64) - (walked[t, wrong] & 3)
-                    walked[t, wrong] = to
-                    t += 1
-                    over = differs & (lengths[wrong] == t)
-                    state[wrong[over]] = to[over] >> 2
-                    left = differs & ~over
-                    wrong, now = wrong[left], to[left] >> 2
-            # The phrase that a text ends in.
-            np.add.at(found[:, k], owner, count + (last & (state != 0)))
+                to = step(now, letters[t, wrong])
+                differs = (to >> 2) != (walked[t, wrong] >> 2)
+                walked[t, wrong] = to
+                wrong, now = wrong[differs], to[differs] >> 2
+            open_ |= {int(w): (together, int(s)) for w, s in zip(wrong, now)}
+            # ... then one by one, in order, on into the pieces after.
+            for row in sorted(open_, key=lambda row: order[row]):
+                if row not in open_:
+                    continue
+                t, s = open_.pop(row)
+                while row >= 0:
+                    for t in range(t, lengths[row]):
+                        if row in open_ and open_[row][0] == t:
+                            del open_[row]
+                        to = step(s, letters[t, row])
+                        agrees, walked[t, row], s = (to >> 2) == (walked[t, row] >> 2), to, to >> 2
+                        if agrees:
+                            row = -1
+                            break
+                    else:
+                        open_.pop(row, None)
+                        state[row], row, t = s, after[row], 0
+                        if row >= 0 and started[row] == s:
+                            break
+                        started[row] = s if row >= 0 else started[row]
+            # What ended in each piece, and the phrase that a text ends in.
+            np.add.at(found[:, k], owner, (walked & 3).sum(axis=0, dtype=np.int64) + (last & (state != 0)))
             out.append(0 if ends[-1] else int(state[place[-1]]))
         return out
 
@@ -280,7 +298,7 @@ def train(docs: DataFrame, sample_chars: int = 30_000, all_chars: int = 240_000,
     rows = rows.distinct().withColumn("part", F.pmod("h", F.lit(64)))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     in_part = Window.partitionBy("lang", "part").orderBy("h", "doc_id")
-    rows = rows.withColumn("k", F.row_number().over(in_part)).where(F.col("k") <= sample_docs)
+    rows = rows.withColumn("k", F.row_number().over(in_part)).where(F.col("k") <= sample_docs // 8 + 1)
     rank = {(r["lang"], r["doc_id"]): r["k"] for r in rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs).select("lang", "doc_id", "k").collect()}
     ids = sorted({doc_id for _, doc_id in rank if doc_id is not None})
     begun = labelled.where(F.col("lang").isin(langs) & (F.col("doc_id").isin(ids) | F.col("doc_id").isNull()))
