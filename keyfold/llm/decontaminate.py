@@ -8,9 +8,12 @@ patterns that end with a block, and a direct comparison confirms.  Words of
 ordinary text are mostly in no pattern, so the search reads about one block in
 ``window - 1`` words.
 
-The tables are built on the driver from the benchmark, in blocks of at most
-``max_windows`` windows: a larger benchmark is searched in further passes over
-the same rows inside one task, so no table outgrows its bound.
+The driver reads the benchmark item by item and builds the tables of a block of
+at most ``max_windows`` (window, item) pairs, some 400 bytes each; they are sent
+to the tasks, and all rows are searched.  A larger benchmark has further blocks,
+each a pass over the rows, which carry what they hit from pass to pass as a
+table in the shared folder.  So no table outgrows its bound, on the driver or in
+a task, and none of the benchmark is left out.
 
 Null or wordless texts have no words and are never contaminated; null or
 wordless items have no windows.  An item without an id still marks words, but
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, ship
+from .common import keep_rows, remove, ship, written
 
 #: Bytes that end a word: all of ASCII but digits and lower-case letters, after lower-casing.
 _BLANK = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -73,90 +76,112 @@ class WuManber:
                     yield end, ids
 
 
-def matchers_of(items: list[tuple], window: int, max_windows: int) -> list[WuManber]:
+def pattern_blocks(items, window: int, max_windows: int):
+    """Yields the matchers of each block of the items (id, text); one without patterns if there are none."""
     by_length: dict[int, dict] = {}
+    n = blocks = 0
     for item_id, text in items:
         words = words_of(text)
         length = min(window, len(words))
         for at in range(len(words) - length + 1 if length else 0):
-            by_length.setdefault(length, {}).setdefault(tuple(words[at : at + length]), set()).add(item_id)
-    found = []
-    for length, patterns in sorted(by_length.items()):
-        keys = list(patterns)
-        for at in range(0, len(keys), max_windows):
-            found.append(WuManber({k: patterns[k] for k in keys[at : at + max_windows]}, length))
-    return found
+            if n >= max_windows:
+                yield [WuManber(patterns, k) for k, patterns in sorted(by_length.items())]
+                by_length, n, blocks = {}, 0, blocks + 1
+            ids = by_length.setdefault(length, {}).setdefault(tuple(words[at : at + length]), set())
+            n += item_id not in ids
+            ids.add(item_id)
+    if n or not blocks:
+        yield [WuManber(patterns, k) for k, patterns in sorted(by_length.items())]
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same positions as disjoint spans in order."""
+    out: list[list[int]] = []
+    for low, high in sorted(spans):
+        if out and low <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], high)
+        else:
+            out.append([low, high])
+    return [tuple(x) for x in out]
 
 
-def scan(words: list[bytes], matchers: list[WuManber]) -> tuple[int, set, list[tuple[int, int]]]:
-    """Words hit, ids with an occurring window, and the hit spans, merged."""
+def scan(words: list[bytes], matchers: list[WuManber]) -> tuple[list[tuple[int, int]], set]:
+    """The spans of words hit, merged, and the ids with an occurring window."""
     spans, ids = [], set()
     for m in matchers:
         for end, found in m.search(words):
             spans.append((end - m.length, end))
             ids |= found
-    merged: list[list[int]] = []
-    for low, high in sorted(spans):
-        if merged and low <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], high)
-        else:
-            merged.append([low, high])
-    return sum(high - low for low, high in merged), ids, [tuple(x) for x in merged]
-
-
-def _shared_items(benchmark: DataFrame, max_benchmark_mb: int):
-    """The items as a broadcast variable; their size is checked first."""
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > max_benchmark_mb << 20:
-        raise ValueError(f"the benchmark has {size} bytes; split it and combine the results")
-    return benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in benchmark.select("item_id", "text").collect()])
-
-
-def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = 13, max_windows: int = 200_000, share: int = 20, max_benchmark_mb: int = 64
-) -> DataFrame:
+    return merged(spans), ids
+
+
+def _passes(rows: DataFrame, benchmark: DataFrame, window: int, max_windows: int, one_pass, name: str) -> DataFrame:
+    """rows after one_pass(rows, matchers as a broadcast variable) with each block of the benchmark."""
+    blocks = pattern_blocks((tuple(r) for r in benchmark.select("item_id", "text").toLocalIterator()), window, max_windows)
+    path = shared = None
+    for k, matchers in enumerate(blocks):
+        if k:
+            # The pass before, so that its tables can go.
+            rows, at = written(rows, name)
+            shared.destroy()
+            if path:
+                remove(rows.sparkSession, path)
+            path = at
+        shared = rows.sparkSession.sparkContext.broadcast(matchers)
+        rows = one_pass(rows, shared)
+    return rows
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_windows: int = 200_000, share: int = 20) -> DataFrame:
     """doc_id, n_words, n_hit, spans (word offsets), item_ids, contaminated of each document.
 
-    contaminated: at least one word in ``share`` is hit.  The benchmark goes to
-    every task, so its size is checked: texts beyond ``max_benchmark_mb`` are refused.
+    contaminated: at least one word in ``share`` is hit.
     """
-    shared = _shared_items(benchmark, max_benchmark_mb)
-    schema = "doc_id bigint, n_words bigint, n_hit bigint, spans array<struct<low:bigint,high:bigint>>, item_ids array<string>, contaminated boolean"
+    carried = "doc_id bigint, text string, n_words bigint, spans array<struct<low:bigint,high:bigint>>, item_ids array<string>"
     span_type = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 
-    def search(batches):
-        matchers = matchers_of(shared.value, window, max_windows)
-        for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for text in batch.column(1):
-                words = words_of(text.as_py())
-                n_hit, ids, spans = scan(words, matchers) if words else (0, set(), [])
-                row = (len(words), n_hit, [{"low": a, "high": b} for a, b in spans], sorted(str(x) for x in ids if x is not None), n_hit > 0 and share * n_hit >= len(words))
-                for column, value in zip(out, row):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], span_type), pa.array(out[3], pa.list_(pa.string())), pa.array(out[4], pa.bool_())],
-                names=["doc_id", "n_words", "n_hit", "spans", "item_ids", "contaminated"],
-            )
+    def search(rows: DataFrame, shared) -> DataFrame:
+        def one(batches):
+            matchers = shared.value
+            for batch in batches:
+                out: list[list] = [[], [], []]
+                for text, spans, ids in zip(batch.column(1), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                    words = words_of(text.as_py())
+                    found, hit = scan(words, matchers)
+                    every = merged([(s["low"], s["high"]) for s in spans] + found)
+                    row = (len(words), [{"low": a, "high": b} for a, b in every], sorted({*ids, *(str(x) for x in hit if x is not None)}))
+                    for column, value in zip(out, row):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], span_type), pa.array(out[2], pa.list_(pa.string()))],
+                    names=["doc_id", "text", "n_words", "spans", "item_ids"],
+                )
+
+        return rows.mapInArrow(one, carried)
+
+    start = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<struct<low:bigint,high:bigint>>").alias("spans"), F.array().cast("array<string>").alias("item_ids"))
+    found = _passes(start, benchmark, window, max_windows, search, "benchmark-pass")
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["high"] - s["low"])
+    found = found.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "item_ids")
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(search, schema)
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_windows: int = 200_000) -> DataFrame:
+    """The rows of docs in which no window occurs, however long the text around it."""
 
-def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_windows: int = 200_000, share: int = 20, max_benchmark_mb: int = 64) -> DataFrame:
-    """The rows of docs that aren't contaminated."""
-    shared = _shared_items(benchmark, max_benchmark_mb)
+    def search(rows: DataFrame, shared) -> DataFrame:
+        def keep():
+            matchers = shared.value
 
-    def keep():
-        matchers = matchers_of(shared.value, window, max_windows)
+            def clean(text):
+                words = words_of(text)
+                return next((False for m in matchers for _ in m.search(words)), True)
 
-        def clean(text):
-            words = words_of(text)
-            n_hit = scan(words, matchers)[0] if words else 0
-            return not (n_hit and share * n_hit >= len(words))
+            return lambda texts: list(map(clean, texts))
 
-        return lambda texts: list(map(clean, texts))
+        return keep_rows(rows, keep)
 
-    return keep_rows(docs, keep)
+    return _passes(docs, benchmark, window, max_windows, search, "clean-pass")
 
 
 def digest(found: DataFrame) -> DataFrame:

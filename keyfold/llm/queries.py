@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
@@ -74,8 +72,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .tokens import token_counts
 
-    path = os.environ.get("KEYFOLD_TOKENIZER", public_tokenizers.path("byte_bpe_50k.json"))
-    return token_counts(table(spark, sf_dir, "documents"), path)
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,40 +91,67 @@ def test_languages(mixed, empty):
     assert all(0 <= r["score"] <= 1 for r in got.values()) and got[4]["lang_pred"] == "en"
     assert langid.identify(empty, langid.train(empty)).count() == 0
     assert {r["lang_pred"] for r in langid.identify(mixed, langid.train(empty)).collect()} == {"und"}
-    kept = langid.known_rows(mixed, model, 0.6)
+    kept = langid.known_rows(mixed, model, 3.5, 40)
     assert kept.schema == mixed.schema and kept.where("doc_id in (1, 2, 3)").count() == 0
+    assert kept.where("doc_id in (4, 6)").count() == 2
 
 
-def test_suffix_automaton_parses_greedily():
-    sample = "banana bandana"
-    model = langid.Model({"x": sample})
-    for text in ("ban", "bananas", "zebra", "anan band", "dddd"):
-        at, phrases = 0, 0
-        norm = text
-        while at < len(norm):
-            n = 0
-            while at + n < len(norm) and norm[at : at + n + 1] in sample:
-                n += 1
-            at, phrases = at + max(n, 1), phrases + 1
-        found, size = model.phrases([text])
-        # A letter that no phrase can start with ends one and starts the next at once.
-        assert abs(int(found[0, 0]) - phrases) <= 1 and size[0] == len(text)
+def test_phrases_are_those_of_a_plain_search():
+    rng = random.Random(1)
+    for _ in range(60):
+        sample = "".join(rng.choice("abcd  é.A") for _ in range(rng.randrange(60)))
+        text = "".join(rng.choice("abcdx  é.A1") for _ in range(rng.randrange(80)))
+        texts = [text, None, text * 3, "zz ", "a"]
+        want = [langid.brute_force(sample, t) if t and any(c.isalpha() for c in t) else 0 for t in texts]
+        for symbols in (63, 2):
+            model = langid.Model({"x": sample}, symbols=symbols)
+            for block, lanes in ((1024, 8192), (3, 8192), (2, 3), (7, 2)):
+                assert model.phrases(texts, block, lanes)[0][:, 0].tolist() == want
 
 
-def test_languages_of_many_letters():
+def test_long_texts_are_parsed_whole():
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(200)]
+    sample, text = " ".join(rng.choices(words, k=300)), " ".join(rng.choices(words, k=900))
+    for part in (text[:1024], text[:1025], text):
+        assert langid.Model({"x": sample}).phrases([part])[0][0, 0] == langid.brute_force(sample, part)
+
+
+ALPHABETS = {"zh": range(0x4E00, 0x5000), "ja": [*range(0x3041, 0x3097), *range(0x4F00, 0x5080)], "ru": range(0x430, 0x450), "en": range(97, 123), "ar": range(0x621, 0x63B), "ko": range(0xAC00, 0xAD80)}
+
+
+def written_in(rng, words, lang, n):
+    return " ".join(rng.choices(words[lang], k=n))
+
+
+def test_languages_of_many_letters(spark):
     rng = random.Random(3)
-    alphabets = {"zh": range(0x4E00, 0x5000), "ja": [*range(0x3041, 0x3097), *range(0x4F00, 0x5080)], "ru": range(0x430, 0x450), "en": range(97, 123), "ar": range(0x621, 0x63B)}
-    words = {k: ["".join(chr(rng.choice(v)) for _ in range(rng.randrange(1, 5))) for _ in range(300)] for k, v in alphabets.items()}
-    text = lambda k, n: " ".join(rng.choices(words[k], k=n))
-    samples = {k: text(k, 2000) for k in words}
-    model = langid.Model(samples)
-    held = [(k, text(k, 8)) for k in words for _ in range(20)]
-    lang, _, rate = model.predict([t for _, t in held])
-    assert lang == [k for k, _ in held] and max(rate) <= 0.6
-    sparse, dense = langid.Model(samples, 10), langid.Model(samples, 4000)
-    texts = [t for _, t in held] + ["中 xyz \u0e01 ü", "".join(t for _, t in held), None, "1 2"]
-    for other in (sparse, dense):
-        assert (model.phrases(texts)[0] == other.phrases(texts)[0]).all()
+    words = {k: ["".join(chr(rng.choice(v)) for _ in range(rng.randrange(1, 5))) for _ in range(300)] for k, v in ALPHABETS.items()}
+    rows = [(100 * i + n, written_in(rng, words, k, 60), k, "s") for i, k in enumerate(words) for n in range(80)]
+    frame = docs(spark, rows)
+    model = langid.train(frame)
+    held = [(k, written_in(rng, words, k, 12)) for k in words for _ in range(20)]
+    lang, _, rate, _ = model.predict([t for _, t in held])
+    assert sum(a == k for a, (k, _) in zip(lang, held)) >= 0.95 * len(held) and max(rate) <= 3.5
+    assert langid.known_rows(frame, model, 3.5, 40).count() == len(rows)
+    foreign = docs(spark, [(1, "ανθρωπος λογος " * 10, "el", "s"), (2, "λογος", "el", "s"), (3, "12 34", "el", "s")])
+    assert [r["doc_id"] for r in langid.known_rows(foreign, model, 3.5, 40).collect()] == [2]
+
+
+def test_little_labelled_text_is_no_handicap(spark):
+    rng = random.Random(4)
+    letters = {"aa": "abcdefgh", "bb": "bcdefghi"}
+    words = {k: ["".join(rng.choice(v) for _ in range(rng.randrange(2, 7))) for _ in range(60)] for k, v in letters.items()}
+    rows = [(i, written_in(rng, words, "aa", 200), "aa", "s") for i in range(100)] + [(1000 + i, written_in(rng, words, "bb", 20), "bb", "s") for i in range(7)]
+    model = langid.train(docs(spark, rows))
+    held = [(k, written_in(rng, words, k, 80)) for k in words for _ in range(30)]
+    assert sum(a == k for a, (k, _) in zip(model.predict([t for _, t in held])[0], held)) >= 0.95 * len(held)
+
+
+def test_the_fit_collects_one_bounded_text_for_each_id(spark):
+    rows = [(1, f"text number {i} " * 300, "en", "s") for i in range(400)] + [(None, "ohne nummer " * 50, "de", "s"), (7, "x", "q", "s")]
+    model = langid.train(docs(spark, rows), sample_chars=500, max_langs=2)
+    assert model.langs == ["de", "en"]
 
 
 def test_held_out_accuracy(spark):
@@ -164,7 +191,28 @@ def test_decontamination(spark, mixed, empty):
             assert (r["n_words"], r["n_hit"], r["item_ids"]) == want[r["doc_id"]]
     assert decontaminate.digest(decontaminate.contamination(mixed, bench.where("false"))).where(F.col("items_sha256") != hashlib.sha256(b"").hexdigest()).count() == 0
     assert decontaminate.contamination(empty, bench).count() == 0
-    assert decontaminate.clean_rows(mixed, bench).schema == mixed.schema
+    for most in (1, 200_000):
+        kept = decontaminate.clean_rows(mixed, bench, max_windows=most)
+        assert kept.schema == mixed.schema
+        assert sorted(r["doc_id"] or 0 for r in kept.collect()) == sorted(i or 0 for i, *_ in ROWS if want[i][1] == 0)
+
+
+def test_a_passage_in_a_long_document_is_contamination(spark):
+    rng = random.Random(5)
+    filler = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    passage = filler(40)
+    bench = spark.createDataFrame([(1, passage)], "item_id bigint, text string")
+    frame = docs(spark, [(1, f"{filler(1500)} {' '.join(passage.split()[5:25])} {filler(500)}", "en", "a"), (2, filler(2000), "en", "a"), (3, " ".join(passage.split()[:12]), "en", "a")])
+    assert sorted(r["doc_id"] for r in decontaminate.clean_rows(frame, bench).collect()) == [2, 3]
+    assert {r["doc_id"]: (r["n_hit"], r["contaminated"]) for r in decontaminate.contamination(frame, bench).collect()} == {1: (20, False), 2: (0, False), 3: (0, False)}
+
+
+def test_blocks_bound_the_tables():
+    items = [(k, " ".join(f"w{i}" for i in range(k, k + 100))) for k in range(50)]
+    blocks = list(decontaminate.pattern_blocks(iter(items), 13, 300))
+    pairs = [sum(len(ids) for m in b for bucket in m.buckets.values() for ids in bucket.values()) for b in blocks]
+    assert max(pairs) <= 300 and sum(pairs) == 50 * 88
+    assert [[m.buckets for m in b] for b in decontaminate.pattern_blocks(iter([(1, None)]), 13, 300)] == [[]]
 
 
 def test_licenses(spark, mixed, empty):

@@ -15,12 +15,12 @@ TEXT = st.lists(WORD, max_size=14).map(" ".join)
 @given(st.lists(TEXT, min_size=1, max_size=4), st.lists(TEXT, min_size=1, max_size=4), st.integers(1, 5), st.integers(1, 3))
 def test_multi_pattern_search(texts, items, window, most):
     docs, bench = list(enumerate(texts)), list(enumerate(items))
-    matchers = decontaminate.matchers_of(bench, window, most)
+    blocks = list(decontaminate.pattern_blocks(bench, window, most))
     want = decontaminate.brute_force(docs, bench, window)
     for i, text in docs:
-        n_hit, ids, spans = decontaminate.scan(decontaminate.words_of(text), matchers)
-        assert (n_hit, sorted(map(str, ids))) == want[i][1:]
-        assert sum(b - a for a, b in spans) == n_hit
+        found = [decontaminate.scan(decontaminate.words_of(text), matchers) for matchers in blocks]
+        spans, ids = decontaminate.merged([s for spans, _ in found for s in spans]), {x for _, ids in found for x in ids}
+        assert (sum(b - a for a, b in spans), sorted(map(str, ids))) == want[i][1:]
 
 
 @settings(max_examples=100, deadline=None)
