@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from keyfold.llm import decontaminate, langid, linededup, mixing, neardup
 from keyfold.llm.common import table, written
 
-#: A text is in no learned language if it needs more phrases than this for each normal character.
-#: Texts of the learned languages need 0.15 in the middle and under 0.45 at most; unknown letters need 1.
-MOST_PHRASES = 0.6
+#: A text of JUDGED normal characters or more is in no learned language if it needs more than MOST_PHRASES times the phrases
+#: that labelled text of that language needs.  Text of a learned language needs about once as many, unknown letters six times.
+MOST_PHRASES, JUDGED = 3.5, 40
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those that are in no learned language."""
-    return langid.known_rows(docs, langid.train(docs), MOST_PHRASES)
+    return langid.known_rows(docs, langid.train(docs), MOST_PHRASES, JUDGED)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Documents in which a window of the benchmark occurs go, however long they are."""
     return decontaminate.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
