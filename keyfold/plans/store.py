@@ -3,9 +3,16 @@
 A batch of mutations is de-duplicated, cut into runs of about a memtable's size
 and written as level 0; the catalogue's next version lists the new runs.
 Compaction merges runs level by level.  Readers see one version: all of a commit
-or nothing of it.  A version is one small file, created only if absent, so two
-writers can't both take a number.  Files that a version no longer lists stay
-until ``vacuum``.
+or nothing of it.
+
+A version is one small file of edits: what it removes, what it adds, and the
+batch it comes from.  Every ``CHECKPOINT_EVERY`` versions the whole listing is
+written beside it, so a commit costs what it changes and a reader replays few
+edits.  A version's file is created only if absent, in one step, so two writers
+can't both take a number.  Each attempt to write runs has a folder of its own,
+which only the version that commits it lists; a writer that loses removes its
+folder and tries again on the new version.  Files that a version no longer lists
+stay until ``vacuum``.
 
 Run metadata (one row a run, some 100 bytes) is the only data on the driver.
 """
@@ -14,18 +21,21 @@ from __future__ import annotations
 
 import atexit
 import json
+import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyfold.config import StorageConfig
-from keyfold.errors import CommitConflict, RetryPolicy, retry_if
+from keyfold.errors import CommitConflict, RetryPolicy, is_transient, retry_if
 from keyfold.operators import compaction, runs
 from keyfold.operators.log import entries, lookup, newest, scan
 
 ENTRY = "key binary, tombstone boolean, value binary, seq bigint"
+CHECKPOINT_EVERY = 16
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
@@ -51,7 +61,7 @@ class Files:
     """Small files through Hadoop's file system, wherever the store is."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self.spark, self.jvm, self.conf = spark, spark._jvm, spark._jsc.hadoopConfiguration()
 
     def _at(self, path: str):
         p = self.jvm.org.apache.hadoop.fs.Path(path)
@@ -61,17 +71,32 @@ class Files:
         self.create_bytes(path, text.encode())
 
     def create_bytes(self, path: str, data: bytes) -> None:
-        """Writes a file aside and renames it; a file of that name is a conflict."""
+        """Writes a file aside and gives it its name in one step; a file of that name is a conflict.
+
+        Local files: a hard link, which fails if the name is taken.  Others: a rename that doesn't
+        overwrite, which is one step where the file system has it so (HDFS); a store without it
+        allows one writer at a time.
+        """
         p, fs = self._at(path)
         aside = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
-        if fs.exists(p):
-            raise CommitConflict(path)
         out = fs.create(aside, True)
         out.write(bytearray(data))
         out.close()
-        if fs.exists(p) or not fs.rename(aside, p):
+        try:
+            if fs.getUri().getScheme() == "file":
+                os.link(aside.toUri().getPath(), p.toUri().getPath())
+            else:
+                hadoop = self.jvm.org.apache.hadoop.fs
+                none = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+                hadoop.FileContext.getFileContext(fs.getUri(), self.conf).rename(aside, p, none)
+        except FileExistsError:
+            raise CommitConflict(path) from None
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in error.java_exception.getClass().getName():
+                raise CommitConflict(path) from None
+            raise
+        finally:
             fs.delete(aside, False)
-            raise CommitConflict(path)
 
     def read(self, path: str) -> str:
         p, fs = self._at(path)
@@ -85,6 +110,12 @@ class Files:
         p, fs = self._at(path)
         return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
+    def matching(self, pattern: str) -> list[str]:
+        """Paths below the pattern's plain beginning, from its first wildcard's folder on."""
+        p, fs = self._at(pattern)
+        depth = pattern.count("/", pattern.index("*"))
+        return ["/".join(s.getPath().toString().rsplit("/", depth + 1)[1:]) for s in fs.globStatus(p) or []]
+
     def remove(self, path: str) -> None:
         p, fs = self._at(path)
         fs.delete(p, True)
@@ -97,12 +128,27 @@ class Store:
     # The catalogue.
 
     def version(self) -> int:
-        found = [int(n[:-5]) for n in self.files.names(f"{self.path}/catalogue") if n.endswith(".json")]
-        return max(found, default=0)
+        return self._versions()[0]
+
+    def _versions(self) -> tuple[int, list[int]]:
+        """The last version, and the versions that have a checkpoint."""
+        names = self.files.names(f"{self.path}/catalogue")
+        return max([int(n[:-6]) for n in names if n.endswith(".edits")], default=0), sorted(int(n[:-11]) for n in names if n.endswith(".checkpoint"))
 
     def _listing(self, version: int | None = None) -> dict:
-        version = self.version() if version is None else version
-        return json.loads(self.files.read(f"{self.path}/catalogue/{version:012d}.json")) if version else {"runs": [], "batch": None}
+        """The live runs and the last numbered batch: a checkpoint and the edits after it."""
+        last, checkpoints = self._versions()
+        version = last if version is None else version
+        start = max([c for c in checkpoints if c <= version], default=0)
+        listing = json.loads(self.files.read(f"{self.path}/catalogue/{start:012d}.checkpoint")) if start else {"runs": [], "batch": None}
+        live = {r["run_id"]: r for r in listing["runs"]}
+        for k in range(start + 1, version + 1):
+            edits = json.loads(self.files.read(f"{self.path}/catalogue/{k:012d}.edits"))
+            for run_id in edits["removed"]:
+                live.pop(run_id, None)
+            live |= {r["run_id"]: r for r in edits["added"]}
+            listing["batch"] = listing["batch"] if edits["batch"] is None else edits["batch"]
+        return {"runs": list(live.values()), "batch": listing["batch"]}
 
     def live_runs(self, version: int | None = None) -> list[dict]:
         return self._listing(version)["runs"]
@@ -113,16 +159,27 @@ class Store:
 
     def _commit(self, removed: set[int], added: list[dict], base: int, batch: int | None = None) -> None:
         """One version: removals and additions together, and the batch they come from."""
-        before = self._listing(base)
-        listed = [r for r in before["runs"] if r["run_id"] not in removed] + added
-        self.files.create(f"{self.path}/catalogue/{base + 1:012d}.json", json.dumps({"runs": listed, "batch": before["batch"] if batch is None else batch}))
+        version = base + 1
+        self.files.create(f"{self.path}/catalogue/{version:012d}.edits", json.dumps({"removed": sorted(removed), "added": added, "batch": batch}))
+        if version % CHECKPOINT_EVERY == 0:
+            try:
+                self.files.create(f"{self.path}/catalogue/{version:012d}.checkpoint", json.dumps(self._listing(version)))
+            except CommitConflict:
+                pass  # another process wrote the same listing
+
+    def _attempt(self, act) -> None:
+        """act(folder) writes runs into a folder of its own and commits them; without a commit, nothing stays."""
+        folder = f"attempt={uuid.uuid4().hex}"
+        try:
+            act(folder)
+        except BaseException:
+            self.files.remove(f"{self.path}/runs/{folder}")
+            raise
 
     def next_run_id(self) -> int:
         """Above all runs ever written, listed or not."""
-        return max([r["run_id"] for r in self.live_runs()] + self._on_disk(), default=0) + 1
-
-    def _on_disk(self) -> list[int]:
-        return [int(n.split("=")[1]) for n in self.files.names(f"{self.path}/runs") if n.startswith("run_id=")]
+        on_disk = [int(n.split("run_id=")[1]) for n in self.files.matching(f"{self.path}/runs/attempt=*/run_id=*")]
+        return max([r["run_id"] for r in self.live_runs()] + on_disk, default=0) + 1
 
     # Runs.
 
@@ -130,19 +187,19 @@ class Store:
         """The entries of runs, each with run_id and level."""
         if not listed:
             return self.spark.createDataFrame([], f"{schema}, run_id bigint, level int")
-        frame = self.spark.read.schema(f"{schema}, run_id bigint").option("basePath", f"{self.path}/runs").parquet(*[f"{self.path}/runs/run_id={r['run_id']}" for r in listed])
+        frame = self.spark.read.schema(f"{schema}, run_id bigint, attempt string").option("basePath", f"{self.path}/runs").parquet(*[f"{self.path}/runs/{r['attempt']}/run_id={r['run_id']}" for r in listed]).drop("attempt")
         levels = self.spark.createDataFrame([(r["run_id"], r["level"]) for r in listed], "run_id bigint, level int")
         # One short row a run: far below any broadcast limit for the runs that one plan can list.
         return frame.join(levels, "run_id") if len({r["level"] for r in listed}) > 1 else frame.withColumn("level", F.lit(listed[0]["level"]))
 
-    def _write(self, frame: DataFrame, level: int, first_id: int) -> list[dict]:
-        """Writes entries with a run_id of first_id or more, sorted by key inside each run, and describes the runs."""
-        frame.select("key", "tombstone", "value", "seq", "run_id").repartition("run_id").sortWithinPartitions("run_id", "key").write.mode("append").partitionBy("run_id").parquet(f"{self.path}/runs")
-        ids = [i for i in self._on_disk() if i >= first_id]
+    def _write(self, frame: DataFrame, level: int, folder: str) -> list[dict]:
+        """Writes entries with a run_id into a new folder, sorted by key inside each run, and describes the runs."""
+        frame.select("key", "tombstone", "value", "seq", "run_id").repartition("run_id").sortWithinPartitions("run_id", "key").write.partitionBy("run_id").parquet(f"{self.path}/runs/{folder}")
+        ids = [int(n.split("=")[1]) for n in self.files.names(f"{self.path}/runs/{folder}") if n.startswith("run_id=")]
         if not ids:
             return []
-        meta = runs.describe(self._read([{"run_id": i, "level": level} for i in ids])).collect()
-        return [{"run_id": r["run_id"], "level": level, "entry_count": r["entry_count"], "size_bytes": r["size_bytes"], "min_key": bytes(r["min_key"]).hex(), "max_key": bytes(r["max_key"]).hex()} for r in meta]
+        meta = runs.describe(self._read([{"run_id": i, "level": level, "attempt": folder} for i in ids])).collect()
+        return [{"run_id": r["run_id"], "level": level, "attempt": folder, "entry_count": r["entry_count"], "size_bytes": r["size_bytes"], "min_key": bytes(r["min_key"]).hex(), "max_key": bytes(r["max_key"]).hex()} for r in meta]
 
     def _cut(self, rows: DataFrame, first_id: int, target: int, order: str) -> DataFrame:
         """Numbers runs of about ``target`` bytes along an order, in parallel: by range partitions and running sums inside them.
@@ -156,24 +213,29 @@ class Store:
         file = F.floor(F.coalesce(F.sum("size").over(inside), F.lit(0)) / target)
         return ranged.withColumn("run_id", (F.lit(first_id) + F.col("part") * F.lit(1 << 20) + file).cast("bigint"))
 
-    def apply(self, log: DataFrame, batch: int | None = None) -> None:
+    def apply(self, log: DataFrame, batch: int | None = None, policy: RetryPolicy = RetryPolicy()) -> None:
         """Writes a batch of mutations as runs of level 0.  Its seq must be above all earlier ones.
 
         A numbered batch is applied once: its number is part of the version, and numbers only rise.
+        Transient errors, and conflicts with another writer, are tried again from the new version.
         """
-        if batch is not None and (last := self.last_batch()) is not None and batch <= last:
-            return
-        base, first_id = self.version(), self.next_run_id()
-        cut = self._cut(entries(log), first_id, self.config.memtable_bytes, "seq")
-        added = self._write(newest(cut, F.col("seq").desc(), within=("run_id",)), 0, first_id)
-        self._commit(set(), added, base, batch)
+
+        def flush(folder: str) -> None:
+            if batch is not None and (last := self.last_batch()) is not None and batch <= last:
+                return
+            base, first_id = self.version(), self.next_run_id()
+            cut = self._cut(entries(log), first_id, self.config.memtable_bytes, "seq")
+            added = self._write(newest(cut, F.col("seq").desc(), within=("run_id",)), 0, folder)
+            self._commit(set(), added, base, batch)
+
+        retry_if(policy, lambda: self._attempt(flush), lambda e: is_transient(e) or isinstance(e, CommitConflict))
 
     def compact(self, policy: RetryPolicy = RetryPolicy()) -> int:
         """Compacts until no level is due; levels that fail for good are left out.  Returns the merges made."""
         merges, broken = 0, set()
         while (level := self._due(broken)) is not None:
             try:
-                retry_if(policy, lambda: self._merge(level))
+                retry_if(policy, lambda: self._attempt(lambda folder: self._merge(level, folder)), lambda e: is_transient(e) or isinstance(e, CommitConflict))
                 merges += 1
             except Exception:  # noqa: BLE001  this level waits for the next call
                 broken.add(level)
@@ -206,10 +268,10 @@ class Store:
         low, high = min(r["min_key"] for r in chosen), max(r["max_key"] for r in chosen)
         return chosen + [r for r in listed if r["level"] == level + 1 and r["min_key"] <= high and r["max_key"] >= low]
 
-    def _merge(self, level: int) -> None:
+    def _merge(self, level: int, folder: str) -> None:
         base, chosen, first_id = self.version(), self.pick(level), self.next_run_id()
         merged = compaction.merge(self._read(chosen))
-        added = self._write(self._cut(merged, first_id, self.config.run_bytes, "key"), level + 1, first_id)
+        added = self._write(self._cut(merged, first_id, self.config.run_bytes, "key"), level + 1, folder)
         self._commit({r["run_id"] for r in chosen}, added, base)
 
     # Reads.
@@ -231,9 +293,11 @@ class Store:
         return lookup(self.latest(), probes)
 
     def vacuum(self) -> int:
-        """Removes the files of runs that the present version doesn't list."""
-        keep = {r["run_id"] for r in self.live_runs()}
-        gone = [n for n in self.files.names(f"{self.path}/runs") if n.startswith("run_id=") and int(n.split("=")[1]) not in keep]
+        """Removes the files of runs that the present version doesn't list.  No other writer may be at work."""
+        keep = {f"{r['attempt']}/run_id={r['run_id']}" for r in self.live_runs()}
+        gone = [n for n in self.files.matching(f"{self.path}/runs/attempt=*/run_id=*") if n not in keep]
         for name in gone:
             self.files.remove(f"{self.path}/runs/{name}")
+        for folder in {n.split("/")[0] for n in gone} - {n.split("/")[0] for n in keep}:
+            self.files.remove(f"{self.path}/runs/{folder}")
         return len(gone)

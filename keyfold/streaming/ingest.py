@@ -39,8 +39,10 @@ def fold_events(spark: SparkSession, path: str) -> DataFrame:
     folder = scratch_folder(spark, "stream")
     store = Store(spark, f"{folder}/store", StorageConfig())
     schema = spark.read.parquet(path).schema
-    name = path.rsplit("/", 1)[1]
-    stream = spark.readStream.schema(schema).parquet(path if _is_folder(spark, path) else f"{path.rsplit('/', 1)[0]}/{name[:-8]}*.parquet")
+    folder_of, name = path.rsplit("/", 1)
+    # A stream reads folders: of a single file, its own with a filter for exactly that name.
+    reader = spark.readStream.schema(schema)
+    stream = reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", name).parquet(folder_of)
     log = mutations(stream, F.lpad(F.col("user_id").cast("string"), 10, "0"), F.col("event_id"), F.col("props"), F.col("event_type") == "error")
     stream_into(store, log, f"{folder}/checkpoint", {"availableNow": True}).awaitTermination()
     return store.scan()

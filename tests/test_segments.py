@@ -1,7 +1,9 @@
 import pytest
 
-from keyfold.errors import CommitConflict, ExhaustedSegments
+from keyfold.config import StorageConfig
+from keyfold.errors import CommitConflict, ExhaustedSegments, RetryPolicy
 from keyfold.operators import log
+from keyfold.plans.node import Node
 from keyfold.plans.segments import SegmentLog, SegmentPool
 from keyfold.plans.store import Files, Store
 
@@ -47,3 +49,114 @@ def test_a_numbered_batch_is_applied_once(spark, tmp_path):
     assert store.version() == 1 and store.last_batch() == 4 and len(store.live_runs()) == 1
     store.compact()
     assert store.last_batch() == 4
+
+
+LOG = "seq bigint, op string, key binary, value binary"
+
+
+def test_two_writers_and_the_loser_leaves_no_rows(spark, tmp_path):
+    """The second writer commits between the first one's read of the version and its commit."""
+    path = str(tmp_path / "two")
+    one, other = Store(spark, path), Store(spark, path)
+    commit, tries = one._commit, []
+
+    def late(*args, **kwargs):
+        tries.append(1)
+        if len(tries) == 1:
+            other.apply(spark.createDataFrame([(0, "SET", b"a", b"other")], LOG))
+        return commit(*args, **kwargs)
+
+    one._commit = late
+    one.apply(spark.createDataFrame([(1, "SET", b"b", b"one")], LOG), policy=RetryPolicy(base_ms=1))
+    assert len(tries) == 2 and one.version() == 2
+    assert {bytes(r["key"]): bytes(r["value"]) for r in one.scan().collect()} == {b"a": b"other", b"b": b"one"}
+    assert len({r["run_id"] for r in one.live_runs()}) == 2
+    assert len(one.files.names(f"{path}/runs")) == 2
+
+
+def test_a_failed_attempt_leaves_no_folder(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "f"))
+    store.files.create(f"{store.path}/catalogue/{1:012d}.edits", '{"removed": [], "added": [], "batch": null}')
+    store.version = lambda: 0
+    with pytest.raises(CommitConflict):
+        store.apply(spark.createDataFrame([(0, "SET", b"a", b"1")], LOG), policy=RetryPolicy(attempts=1))
+    assert store.files.names(f"{store.path}/runs") == []
+
+
+def test_checkpoints_and_edits_give_every_version(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "c"))
+    meta = lambda k: {"run_id": k, "level": 0, "attempt": "attempt=x", "entry_count": 1, "size_bytes": 1, "min_key": "", "max_key": ""}
+    for k in range(1, 41):
+        store._commit({k - 3} if k > 3 else set(), [meta(k)], k - 1, k if k % 2 else None)
+    assert sorted(n for n in store.files.names(f"{store.path}/catalogue") if n.endswith("checkpoint")) == [f"{k:012d}.checkpoint" for k in (16, 32)]
+    for k in (1, 2, 15, 16, 17, 33, 40):
+        assert sorted(r["run_id"] for r in store.live_runs(k)) == list(range(max(1, k - 2), k + 1))
+    assert store.last_batch() == 39
+    assert len(store.files.read(f"{store.path}/catalogue/{40:012d}.edits")) < 300
+
+
+def test_vacuum_keeps_what_is_listed(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "v"), StorageConfig(level_0_runs=2))
+    for k in range(3):
+        store.apply(spark.createDataFrame([(k, "SET", b"k%d" % k, b"v")], LOG))
+    assert store.compact() == 1 and store.vacuum() == 3
+    assert store.scan().count() == 3 and store.next_run_id() > max(r["run_id"] for r in store.live_runs())
+
+
+def test_a_node_recovers_what_a_crash_left(spark, tmp_path):
+    config = StorageConfig(memtable_bytes=60, wal_segments=6, level_0_runs=2)
+    node = Node(spark, str(tmp_path / "n"), config)
+    node.write([("SET", b"a", b"1"), ("SET", b"b", b"2"), ("REMOVE", b"a", None)])
+    node.write([("SET", b"c%d" % k, b"x" * 10) for k in range(6)])
+    assert len(node.waiting) == 2 and node.get(b"a") is None and node.get(b"b") == b"2" and node.get(b"c5") == b"x" * 10 and node.get(b"zz") is None
+    want = {b"b": b"2", **{b"c%d" % k: b"x" * 10 for k in range(6)}}
+    live = lambda n: {bytes(r["key"]): bytes(r["value"]) for r in n.latest().collect()}
+    assert live(node) == want
+    # The node is gone; part of its log was flushed already, and the flush is not repeated.
+    first = next(iter(node.waiting))
+    Store(spark, str(tmp_path / "n" / "store"), config).apply(node.wal.recover(order=first).selectExpr("segment_order * 1048576 + pos as seq", "op", "key", "value"), first)
+    again = Node(spark, str(tmp_path / "n"), config)
+    assert live(again) == want and not again.waiting and len(again.wal.waiting) == 0
+    again.write([("REMOVE", b"b", None), ("SET", b"c0", b"")])
+    again.flush()
+    assert again.get(b"b") is None and again.get(b"c0") == b"" and again.compaction_due is False
+    assert live(Node(spark, str(tmp_path / "n"), config)) == {**{k: v for k, v in want.items() if k != b"b"}, b"c0": b""}
+
+
+def test_relaxed_writes_are_durable_with_their_batch(spark, tmp_path):
+    now = [0.0]
+    node = Node(spark, str(tmp_path / "r"), StorageConfig(batch_commands=3, batch_window_ms=1000), relaxed=True, clock=lambda: now[0])
+    parts = lambda: len([n for n in node.wal.files.names(node.wal.path) if n.startswith("WAL")])
+    node.write([("SET", b"a", b"1")])
+    assert parts() == 0 and node.get(b"a") == b"1"
+    node.write([("SET", b"b", b"1"), ("SET", b"c", b"1"), ("SET", b"d", b"1")])
+    assert parts() == 1
+    now[0] = 2.0
+    node.write([("SET", b"e", b"1")])
+    assert parts() == 2 and node.pending == []
+
+
+def test_flushes_are_tried_again(spark, tmp_path):
+    node = Node(spark, str(tmp_path / "t"), StorageConfig(memtable_bytes=30), policy=RetryPolicy(base_ms=1))
+    node.write([("SET", b"a", b"1" * 10), ("SET", b"b", b"1" * 10)])
+    write, calls = node.store._write, []
+
+    def shaky(*args):
+        calls.append(1)
+        if len(calls) < 3:
+            raise TimeoutError
+        return write(*args)
+
+    node.store._write = shaky
+    node.flush()
+    assert len(calls) == 3 and not node.waiting and node.get(b"a") == b"1" * 10 and node.compaction_due
+    assert node.maintain() == 0 and not node.compaction_due
+
+
+def test_segments_have_bounds_and_sizes(spark, tmp_path):
+    wal = SegmentLog(spark, str(tmp_path / "w"), file_bytes=4096)
+    wal.append([("SET", b"a", b"1")])
+    assert [f.stat().st_size for f in (tmp_path / "w").iterdir() if f.name.startswith("WAL")] == [4096] and wal.recover().count() == 1
+    wal.parts = 1 << 20
+    with pytest.raises(ExhaustedSegments):
+        wal.append([("SET", b"a", b"1")])
