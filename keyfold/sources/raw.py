@@ -1,13 +1,15 @@
 """Raw files as DataFrames, through Spark's binary file source: any store that Spark reads.
 
 A file is decoded by one task; files are the unit of parallelism, as segments
-and runs are of bounded size.
+and runs are of bounded size.  Its rows leave the task in blocks.  Each reader
+has a form that decodes a column of contents, and runs, segments and catalogues
+are encoded into such a column; ``write_files`` puts contents into files.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,33 +22,47 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).where(F.col("length") > 0).select("path", "content")
 
 
-def read_segments(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
-    """segment_order, pos, op, key, value of all log segments under a path; empty files are skipped."""
+def _blocks(rows, columns: list[str], size: int = 8192) -> Iterator[pd.DataFrame]:
+    while block := list(islice(rows, size)):
+        yield pd.DataFrame(block, columns=columns)
+
+
+def decode_segments(files: DataFrame, tolerant: bool = False) -> DataFrame:
+    """segment_order, pos, op, key, value of segments' contents; empty ones are skipped."""
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for content in frame["content"]:
-                order, rows = codecs.decode_segment(bytes(content), tolerant)
-                yield pd.DataFrame([(order, *r) for r in rows], columns=["segment_order", "pos", "op", "key", "value"])
+                yield from _blocks(codecs.segment_rows(bytes(content), tolerant), ["segment_order", "pos", "op", "key", "value"])
 
-    return _files(spark, path).mapInPandas(decode, "segment_order bigint, pos bigint, op string, key binary, value binary")
+    return files.where(F.octet_length("content") > 0).select("content").mapInPandas(decode, "segment_order bigint, pos bigint, op string, key binary, value binary")
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """run_id (the last number of the file's name), level, key, tombstone, value of all runs under a path."""
+def read_segments(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
+    """segment_order, pos, op, key, value of all log segments under a path; empty files are skipped."""
+    return decode_segments(_files(spark, path), tolerant)
+
+
+def decode_runs(files: DataFrame) -> DataFrame:
+    """run_id, level, key, tombstone, value of runs' contents (run_id, content)."""
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for name, content in zip(frame["path"], frame["content"]):
+            for run_id, content in zip(frame["run_id"], frame["content"]):
                 level, entries = codecs.decode_run(bytes(content))
-                run_id = int(re.findall(r"\d+", name)[-1])
-                yield pd.DataFrame([(run_id, level, k, v is None, v) for k, v in entries], columns=["run_id", "level", "key", "tombstone", "value"])
+                yield from _blocks(((run_id, level, k, v is None, v) for k, v in entries), ["run_id", "level", "key", "tombstone", "value"])
 
-    return _files(spark, path).mapInPandas(decode, "run_id bigint, level int, key binary, tombstone boolean, value binary")
+    return files.select("run_id", "content").mapInPandas(decode, "run_id bigint, level int, key binary, tombstone boolean, value binary")
 
 
-def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """edit_seq (the frame's number), action, run_id and metadata of a catalogue's edits."""
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """run_id (the last number of the file's name), level, key, tombstone, value of all runs under a path."""
+    name = F.element_at(F.regexp_extract_all("path", F.lit(r"\d+"), F.lit(0)), -1).cast("bigint")
+    return decode_runs(_files(spark, path).select(name.alias("run_id"), "content"))
+
+
+def decode_catalogue(files: DataFrame) -> DataFrame:
+    """edit_seq (the frame's number), action, run_id and metadata of a catalogue's content, up to a torn tail."""
     columns = ["edit_seq", "action", "run_id", "entry_count", "size_bytes", "level", "min_key", "max_key"]
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -57,14 +73,78 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
                     rows += [(seq, "REMOVE", e, None, None, None, None, None) if isinstance(e, int) else (seq, "ADD", e.run_id, e.entry_count, e.size_bytes, e.level, e.min_key, e.max_key) for e in edits]
                 yield pd.DataFrame(rows, columns=columns).astype({"entry_count": "Int64", "size_bytes": "Int64", "level": "Int64"})
 
-    return _files(spark, path).mapInPandas(decode, "edit_seq bigint, action string, run_id bigint, entry_count bigint, size_bytes bigint, level int, min_key binary, max_key binary")
+    return files.select("content").mapInPandas(decode, "edit_seq bigint, action string, run_id bigint, entry_count bigint, size_bytes bigint, level int, min_key binary, max_key binary")
+
+
+def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """edit_seq (the frame's number), action, run_id and metadata of a catalogue's edits."""
+    return decode_catalogue(_files(spark, path))
 
 
 def encode_run(run: DataFrame, level: int = 0) -> DataFrame:
-    """run_id, content: the raw bytes of each run's entries.  A run must fit in a task, as a memtable does."""
+    """run_id, content: the raw bytes of each run's entries (of their level, if they have one).  A run must fit in a task, as a memtable does."""
 
     def encode(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         entries = [(bytes(k), None if t else bytes(v)) for k, t, v in zip(rows["key"], rows["tombstone"], rows["value"])]
-        return pd.DataFrame({"run_id": [key[0]], "content": [codecs.encode_run(level, entries)]})
+        return pd.DataFrame({"run_id": [key[0]], "content": [codecs.encode_run(int(key[1]), entries)]})
+
+    held = F.col("level") if "level" in run.columns else F.lit(level)
+    return run.select("run_id", held.alias("level"), "key", "tombstone", "value").groupBy("run_id", "level").applyInPandas(encode, "run_id bigint, content binary")
+
+
+def encode_segments(log: DataFrame) -> DataFrame:
+    """segment_order, content of each segment of a log (segment_order, pos, op, key, value).  A segment must fit in a task."""
+
+    def encode(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        commands = [(op, bytes(k), None if v is None else bytes(v)) for op, k, v in zip(rows["op"], rows["key"], rows["value"])]
+        return pd.DataFrame({"segment_order": [key[0]], "content": [codecs.encode_segment(int(key[0]), commands)]})
+
+    return log.groupBy("segment_order").applyInPandas(encode, "segment_order bigint, content binary")
+
+
+def encode_catalogue(edits: DataFrame) -> bytes:
+    """A catalogue's bytes: one frame for all edits with the same edit_seq, removals first.  Edits are some 100 bytes a run."""
+    rows = edits.orderBy("edit_seq", F.col("action").desc(), "run_id").toLocalIterator()
+    frames = groupby(rows, key=lambda r: r["edit_seq"])
+    return b"".join(codecs.encode_edits([r["run_id"] if r["action"] == "REMOVE" else codecs.RunMeta(r["run_id"], r["entry_count"], r["size_bytes"], r["level"], bytes(r["min_key"]), bytes(r["max_key"])) for r in own]) for _, own in frames)
+
+
+def respond(requests: DataFrame, answer) -> DataFrame:
+    """req_id, content: the encoded response to each encoded request (seq, content).
+
+    answer: from requests (seq, req_id, op, key, value) to responses (seq, req_id, code, value), such as ``execute``.
+    """
+
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = ((seq, req_id, op, key, value) for seq, content in zip(frame["seq"], frame["content"]) for op, req_id, key, value in codecs.decode_requests(bytes(content)))
+            yield from _blocks(rows, ["seq", "req_id", "op", "key", "value"])
+
+    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            content = [codecs.encode_response(int(i), int(c), None if v is None else bytes(v)) for i, c, v in zip(frame["req_id"], frame["code"], frame["value"])]
+            yield pd.DataFrame({"seq": frame["seq"], "req_id": frame["req_id"], "content": content})
+
+    asked = requests.select("seq", "content").mapInPandas(decode, "seq bigint, req_id bigint, op string, key binary, value binary")
+    return answer(asked).select("seq", "req_id", "code", "value").mapInPandas(encode, "seq bigint, req_id bigint, content binary")
+
+
+def encode_requests(requests: DataFrame) -> DataFrame:
+    """seq, content: the bytes of each request (seq, req_id, op, key, value)."""
+
+    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            content = [codecs.encode_request(op, int(i), bytes(k), None if v is None else bytes(v)) for op, i, k, v in zip(frame["op"], frame["req_id"], frame["key"], frame["value"])]
+            yield pd.DataFrame({"seq": frame["seq"], "content": content})
+
+    return requests.select("seq", "req_id", "op", "key", "value").mapInPandas(encode, "seq bigint, content binary")
+
 
-    return run.select("run_id", "key", "tombstone", "value").groupBy("run_id").applyInPandas(encode, "run_id bigint, content binary")
+def write_files(contents: DataFrame, files, path: str, prefix: str) -> int:
+    """Writes each row (a number, content) as path/prefix_number, each in one step; one file is in memory at a time."""
+    n = 0
+    for number, content in contents.toLocalIterator():
+        files.create_bytes(f"{path.rstrip('/')}/{prefix}_{number}", bytes(content))
+        n += 1
+    return n
