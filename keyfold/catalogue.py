@@ -5,12 +5,18 @@ Keys and values are binary in the engine and strings at the queries' edge.
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyfold import functions as fn
 from keyfold.config import StorageConfig
+from keyfold.errors import RetryPolicy, retry_if
 from keyfold.operators import catalog, compaction, log, runs
+from keyfold.plans.node import Node
+from keyfold.plans.store import Files, Store, scratch_folder
+from keyfold.sources import codecs, raw
 
 EVERY = 100
 #: Small targets, so that the test tables reach several levels.
@@ -95,9 +101,12 @@ def kv_live(spark: SparkSession, d: str) -> DataFrame:
     return _text(log.live(events_log(spark, d)))
 
 
-@query(f"WITH {EVENTS}, {LATEST} SELECT key, value, seq FROM latest WHERE NOT tombstone AND key >= '0000000010' AND key < '0000000100' ORDER BY key")
+@query(f"""WITH {EVENTS}, {LATEST}, ends AS (SELECT lpad(CAST(max(user_id) // 4 AS VARCHAR), 10, '0') AS low, lpad(CAST(3 * max(user_id) // 4 AS VARCHAR), 10, '0') AS high FROM events)
+SELECT key, value, seq FROM latest, ends WHERE NOT tombstone AND key >= low AND key < high ORDER BY key""")
 def kv_scan(spark: SparkSession, d: str) -> DataFrame:
-    return _text(log.scan(log.live(events_log(spark, d)), b"0000000010", b"0000000100"))
+    """The middle half of the keys."""
+    most = _table(spark, d, "events").agg(F.max("user_id")).first()[0] or 0
+    return _text(log.scan(log.live(events_log(spark, d)), b"%010d" % (most // 4), b"%010d" % (3 * most // 4)))
 
 
 def _get_sql(key: str) -> str:
@@ -132,9 +141,18 @@ def kv_multi_get(spark: SparkSession, d: str) -> DataFrame:
     return _text(log.lookup(log.latest(orders_log(spark, d)), probes.unionByName(extra)))
 
 
-@query(f"WITH {EVENTS}, cut AS (SELECT * FROM log WHERE seq <= 500), latest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) SELECT key, value, seq FROM latest WHERE NOT tombstone")
+HALF = "half AS (SELECT max(seq) // 2 AS h FROM log), cut AS (SELECT log.* FROM log, half WHERE seq <= h), latest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)"
+
+
+def _half(rows: DataFrame) -> int:
+    return (rows.agg(F.max("seq")).first()[0] or 0) // 2
+
+
+@query(f"WITH {EVENTS}, {HALF} SELECT key, value, seq FROM latest WHERE NOT tombstone")
 def kv_as_of(spark: SparkSession, d: str) -> DataFrame:
-    return _text(log.as_of(events_log(spark, d), 500))
+    """The state after the first half of the log."""
+    rows = events_log(spark, d)
+    return _text(log.as_of(rows, _half(rows)))
 
 
 _REQUESTS = """req AS (SELECT event_id AS seq, event_id % 65536 AS req_id, lpad(CAST(user_id AS VARCHAR), 10, '0') AS key,
@@ -287,7 +305,7 @@ SELECT probe.req_id AS req_id, CAST(count(*) FILTER (NOT done) AS BIGINT) AS run
 def kv_read_amp(spark: SparkSession, d: str) -> DataFrame:
     levelled = _levelled(spark, d)
     probes = _table(spark, d, "customer").select(F.col("c_custkey").alias("req_id"), _pad("c_custkey").cast("binary").alias("key"))
-    return runs.read_cost(levelled, runs.describe(levelled), probes)
+    return runs.read_cost(levelled, runs.describe(levelled), probes, scratch_folder(spark, "read-cost"))
 
 
 # Catalogue, replay, routing.
@@ -301,12 +319,31 @@ fresh AS (SELECT run_id, 1 AS level, count(*) AS entry_count, CAST(sum({SIZE}) +
 @query(f"WITH {_COMMITTED} SELECT run_id, level, entry_count, size_bytes, min_key, max_key FROM meta WHERE level = 2 UNION ALL SELECT run_id, level, entry_count, size_bytes, min_key, max_key FROM fresh")
 def kv_catalog_replay(spark: SparkSession, d: str) -> DataFrame:
     """Replay of one addition a run, then one commit that puts a merge in place of levels 0 and 1."""
+    return _text(catalog.replay(_edits(spark, d)))
+
+
+def _edits(spark: SparkSession, d: str) -> DataFrame:
     levelled = _levelled(spark, d)
     meta, upper = runs.describe(levelled), levelled.where("level < 2")
     merged = compaction.merge(upper).select(_range_run(F.lit(3)), "key", "tombstone", "value", F.lit(1).alias("level"))
     first = catalog.additions(meta, 0).withColumn("edit_seq", F.col("run_id"))
     commit = catalog.removals(meta.where("level < 2"), 5_000_000).unionByName(catalog.additions(runs.describe(merged), 5_000_000))
-    return _text(catalog.replay(first.unionByName(commit)))
+    return first.unionByName(commit)
+
+
+@query(f"WITH {LEVELLED} SELECT run_id, level, entry_count, size_bytes, min_key, max_key FROM meta WHERE run_id <= 1500000")
+def kv_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue before the runs of level 2 and the commit."""
+    return _text(catalog.snapshot_at(_edits(spark, d), 1_500_000))
+
+
+@query(f"WITH {_COMMITTED} SELECT run_id, level, entry_count, size_bytes, min_key, max_key FROM meta WHERE level = 2 UNION ALL SELECT run_id, level, entry_count, size_bytes, min_key, max_key FROM fresh")
+def kv_catalog_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """The same edits as frames of a raw file, which ends in a torn frame that removes a run."""
+    folder = scratch_folder(spark, "raw-catalogue")
+    edits = raw.encode_catalogue(_edits(spark, d))
+    Files(spark).create_bytes(f"{folder}/MANIFEST", edits + codecs.encode_edits([2_000_000])[:-3])
+    return _text(catalog.replay(raw.read_catalogue(spark, folder)))
 
 
 _SEGMENTS = """seg AS (SELECT (o_orderkey * 7) % 16 AS segment_order, o_orderkey AS pos, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS key,
@@ -320,7 +357,63 @@ def kv_wal_replay(spark: SparkSession, d: str) -> DataFrame:
     return _text(state.select("key", "tombstone", "value", "seq.segment_order", "seq.pos"))
 
 
+@query(f"""WITH {_SEGMENTS}, placed AS (SELECT key, tombstone, value, segment_order, row_number() OVER (PARTITION BY segment_order ORDER BY pos) - 1 AS pos FROM seg)
+SELECT key, tombstone, value, segment_order, pos FROM placed QUALIFY row_number() OVER (PARTITION BY key ORDER BY segment_order DESC, pos DESC) = 1""")
+def kv_wal_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """The same segments as raw files: written, read, replayed."""
+    folder = scratch_folder(spark, "raw-segments")
+    segments = orders_log(spark, d).select(((F.col("seq") * 7) % 16).alias("segment_order"), F.col("seq").alias("pos"), "op", "key", "value")
+    raw.write_files(raw.encode_segments(segments), Files(spark), folder, "WAL_1")
+    state = log.latest(log.recover(raw.read_segments(spark, folder)))
+    return _text(state.select("key", "tombstone", "value", "seq.segment_order", "seq.pos"))
+
+
+@query(f"WITH {LEVELLED} SELECT run_id, level, key, tombstone, value FROM levelled")
+def kv_raw_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs as raw files: written and read."""
+    folder = scratch_folder(spark, "raw-runs")
+    raw.write_files(raw.encode_run(_levelled(spark, d)), Files(spark), folder, "ss_table_1")
+    return _text(raw.read_runs(spark, folder))
+
+
+#: SQL for the bytes of numbers and texts, in hexadecimal.
+_U32 = "printf('%02x%02x%02x%02x', ({0}) % 256, ({0}) // 256 % 256, ({0}) // 65536 % 256, ({0}) // 16777216)"
+_U16 = "printf('%02x%02x', ({0}) % 256, ({0}) // 256)"
+_SIZED = _U32.format("octet_length(encode({0}))") + " || lower(hex(encode({0})))"
+
+
+@query(f"""WITH {LEVELLED} SELECT run_id, md5({_U16.format("level")} || string_agg({_SIZED.format("key")} || CASE WHEN tombstone THEN '01' ELSE '00' || {_SIZED.format("value")} END, '' ORDER BY key)) AS content_md5
+FROM levelled GROUP BY run_id, level""")
+def kv_run_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """The raw bytes of each run, as a digest of their hexadecimal form."""
+    return raw.encode_run(_levelled(spark, d)).select("run_id", F.md5(F.lower(F.hex("content")).cast("binary")).alias("content_md5"))
+
+
+@query(f"""WITH {_REQUESTS}, r AS (SELECT *, last_value(CASE WHEN op <> 'GET' THEN struct_pack(t := op = 'REMOVE', v := value) END IGNORE NULLS)
+  OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM req),
+v AS (SELECT seq, req_id, key, op, value, coalesce(CASE WHEN op = 'GET' AND NOT b.t THEN b.v END, '') AS answer FROM r)
+SELECT seq, CASE op WHEN 'SET' THEN '00' WHEN 'GET' THEN '01' ELSE '02' END || {_U16.format("req_id")} || {_SIZED.format("key")} || CASE WHEN op = 'SET' THEN {_SIZED.format("value")} ELSE '' END AS request,
+  {_U16.format("req_id")} || CASE WHEN op = 'GET' THEN '01' || {_SIZED.format("answer")} ELSE '00' END AS response FROM v""")
+def kv_wire(spark: SparkSession, d: str) -> DataFrame:
+    """Requests encoded, decoded, executed, and their responses encoded."""
+    asked = raw.encode_requests(_requests(spark, d))
+    answered = raw.respond(asked, log.execute)
+    hexed = lambda c: F.lower(F.hex(c))
+    return asked.select("seq", hexed("content").alias("request")).join(answered.select("seq", hexed("content").alias("response")), "seq")
+
+
+@query(f"""WITH RECURSIVE {EVENTS}, k AS (SELECT DISTINCT key FROM log),
+f AS (SELECT key, 0 AS i, CAST(4294967295 AS BIGINT) AS crc FROM k
+  UNION ALL SELECT key, i + 1, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 2197175160 ELSE 0 END)
+    FROM (SELECT key, i, CASE WHEN i % 8 = 0 THEN xor(crc, ord(substr(key, i // 8 + 1, 1))) ELSE crc END AS c FROM f WHERE i < 80))
+SELECT key, xor(crc, 4294967295) AS crc FROM f WHERE i = 80""")
+def kv_crc32c(spark: SparkSession, d: str) -> DataFrame:
+    """The checksum of each key; the SQL shifts it bit by bit."""
+    return _text(events_log(spark, d).select("key").distinct().select("key", fn.crc32c()("key").alias("crc")))
+
+
 _MD5 = "CAST('0x' || substr(md5(key), 1, 15) AS BIGINT) % 8 + 1"
+_MD5_16 = "CAST('0x' || substr(md5(key), 1, 15) AS BIGINT) % 16 + 1"
 
 
 @query(f"WITH {EVENTS} SELECT seq, key, CAST({_MD5} AS INTEGER) AS shard FROM log")
@@ -335,7 +428,23 @@ def kv_shard_mismatch(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("shard", "mismatch").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _u(number) -> str:
+    return f"CAST({number} AS UHUGEINT)"
+
+
+def _le64(first: int) -> str:
+    """Eight characters of the key from the first, the low one first, as a number."""
+    return "(" + " + ".join(f"{_u(f'ord(substr(key, {first + i}, 1))')} * {_u(256**i)}" for i in range(8)) + ")"
+
+
+_TURNED = " + ".join(f"lo // {_u(256**i)} % {_u(256)} * {_u(256 ** (7 - i))}" for i in range(8))
+#: XXH3 of texts of ten bytes, as published: two words against the secret's bytes 24 to 56, a folded product, an avalanche.
+_XXH3 = f"""w AS (SELECT seq, key, xor({_le64(1)}, {_u(0x1F67B3B7A4A44072 ^ 0x78E5C0CC4EE679CB)}) AS lo, xor({_le64(3)}, {_u(0x2172FFCC7DD05A82 ^ 0x8E2443F7744608B8)}) AS hi FROM log),
+s AS (SELECT seq, key, ({_u(10)} + {_TURNED} + hi + xor(lo * hi % {_u(2**64)}, lo * hi // {_u(2**64)})) % {_u(2**64)} AS a FROM w),
+h AS (SELECT seq, key, xor(a, a // {_u(2**37)}) * {_u(0x165667919E3779F9)} % {_u(2**64)} AS a FROM s)"""
+
+
+@query(f"WITH {EVENTS}, {_XXH3} SELECT seq, key, CAST(xor(a, a // {_u(2**32)}) % {_u(8)} AS INTEGER) + 1 AS shard FROM h")
 def kv_route_exact(spark: SparkSession, d: str) -> DataFrame:
     return _text(events_log(spark, d).select("seq", "key", fn.xxh3_shard(8)("key").alias("shard")))
 
@@ -345,28 +454,74 @@ def kv_backoff_cap(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(12).select(F.col("id").cast("int").alias("attempt"), fn.backoff_cap(F.col("id")).alias("cap_ms"))
 
 
-# Folds.
+@query("SELECT CAST(a AS INTEGER) AS attempt, true AS within FROM range(0, 12) t(a)")
+def kv_backoff_delay(spark: SparkSession, d: str) -> DataFrame:
+    delay = fn.backoff_delay(F.col("id"), seed=5)
+    return spark.range(12).select(F.col("id").cast("int").alias("attempt"), delay.between(0, fn.backoff_cap(F.col("id"))).alias("within"))
 
 
-@query(f"""WITH RECURSIVE {LEVELLED}, m AS (SELECT key, CAST({SIZE} AS BIGINT) AS size FROM levelled QUALIFY {_MERGE} = 1),
-n AS (SELECT key, size, row_number() OVER (ORDER BY key) AS i FROM m),
-f AS (SELECT i, key, CAST(0 AS BIGINT) AS output, 2 + size AS bytes FROM n WHERE i = 1
-  UNION ALL SELECT n.i, n.key, CASE WHEN f.bytes >= 2048 THEN f.output + 1 ELSE f.output END, CASE WHEN f.bytes >= 2048 THEN 2 + n.size ELSE f.bytes + n.size END FROM f JOIN n ON n.i = f.i + 1)
-SELECT key, output, bytes FROM f""")
-def kv_split_outputs(spark: SparkSession, d: str) -> DataFrame:
-    return _text(runs.split_outputs(compaction.merge(_levelled(spark, d)), 2048))
+@query("""SELECT * FROM (VALUES ('fails twice, may be tried again', 3, true), ('fails always, may be tried again', 5, false), ('fails for good', 1, false), ('works', 1, true)) t("case", calls, done)""")
+def kv_retry(spark: SparkSession, d: str) -> DataFrame:
+    """How often an action is tried under a policy of five attempts."""
+    cases = {"fails twice, may be tried again": [TimeoutError] * 2, "fails always, may be tried again": [TimeoutError] * 9, "fails for good": [KeyError], "works": []}
+    rows = []
+    for name, errors in cases.items():
+        calls = 0
+
+        def act(errors=errors):
+            nonlocal calls
+            calls += 1
+            if calls <= len(errors):
+                raise errors[calls - 1]
+
+        try:
+            retry_if(RetryPolicy(), act, sleep=lambda s: None)
+            rows.append((name, calls, True))
+        except (TimeoutError, KeyError):
+            rows.append((name, calls, False))
+    return spark.createDataFrame(rows, "case string, calls int, done boolean")
+
+
+# Folds.
 
 
-@query()
+@query(f"""WITH RECURSIVE {LEVELLED}, m AS (SELECT {_MD5} AS shard, key, CAST({SIZE} AS BIGINT) AS size FROM levelled QUALIFY {_MERGE} = 1),
+n AS (SELECT shard, key, size, row_number() OVER (PARTITION BY shard ORDER BY key) AS i FROM m),
+f AS (SELECT shard, i, key, CAST(0 AS BIGINT) AS output, 2 + size AS bytes FROM n WHERE i = 1
+  UNION ALL SELECT n.shard, n.i, n.key, CASE WHEN f.bytes >= 512 THEN f.output + 1 ELSE f.output END, CASE WHEN f.bytes >= 512 THEN 2 + n.size ELSE f.bytes + n.size END FROM f JOIN n ON n.i = f.i + 1 AND n.shard = f.shard)
+SELECT CAST(shard AS INTEGER) AS shard, key, output, bytes FROM f""")
+def kv_split_outputs(spark: SparkSession, d: str) -> DataFrame:
+    return _text(runs.split_outputs(compaction.merge(_levelled(spark, d)), 512, fn.shard_of(F.col("key"), 8, fn.md5_hash(F.col("key")))))
+
+
+@query(f"""WITH RECURSIVE {EVENTS}, r AS (SELECT seq, {_MD5_16} AS shard, key, CAST({SIZE} AS BIGINT) AS size FROM log),
+n AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY seq) AS i FROM r),
+p AS (SELECT *, lag(i) OVER w AS before, lag(size) OVER w AS held FROM n WINDOW w AS (PARTITION BY shard, key ORDER BY seq)),
+f AS (SELECT seq, shard, i, CAST(0 AS BIGINT) AS run_id, i AS first, size AS used FROM p WHERE i = 1
+  UNION ALL SELECT seq, shard, i, CASE WHEN over THEN run_id + 1 ELSE run_id END, CASE WHEN over THEN i ELSE first END, CASE WHEN over THEN size ELSE used + delta END
+    FROM (SELECT p.seq, p.shard, p.i, f.run_id, f.first, f.used, p.size, p.size - CASE WHEN p.before >= f.first THEN p.held ELSE 0 END AS delta,
+            p.size - CASE WHEN p.before >= f.first THEN p.held ELSE 0 END > 0 AND f.used + p.size - CASE WHEN p.before >= f.first THEN p.held ELSE 0 END > 300 AS over
+          FROM f JOIN p ON p.shard = f.shard AND p.i = f.i + 1))
+SELECT CAST(shard AS INTEGER) AS shard, seq, run_id, used FROM f""")
 def kv_rotation_exact(spark: SparkSession, d: str) -> DataFrame:
-    return runs.rotate(events_log(spark, d), SMALL.memtable_bytes, fn.shard_of(F.col("key"), 4))
+    return runs.rotate(events_log(spark, d), 300, fn.shard_of(F.col("key"), 16, fn.md5_hash(F.col("key"))))
 
 
-@query()
+@query(f"""WITH RECURSIVE c AS (SELECT event_id AS seq, epoch_us(ts) // 1000 AS at_ms, lpad(CAST(user_id AS VARCHAR), 10, '0') AS key FROM events),
+n AS (SELECT seq, at_ms, {_MD5_16} AS shard, row_number() OVER (PARTITION BY {_MD5_16} ORDER BY seq) AS i FROM c),
+f AS (SELECT seq, shard, i, CAST(0 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS current, CAST(1 AS BIGINT) AS held, at_ms + 3600000 AS deadline FROM n WHERE i = 1
+  UNION ALL SELECT seq, shard, i, now, CASE WHEN kept + 1 >= 8 THEN now + 1 ELSE now END, CASE WHEN kept + 1 >= 8 THEN 0 ELSE kept + 1 END, CASE WHEN kept + 1 >= 8 THEN at_ms + 3600000 ELSE until END
+    FROM (SELECT n.seq, n.shard, n.i, n.at_ms, f.current + CASE WHEN n.at_ms >= f.deadline AND f.held > 0 THEN 1 ELSE 0 END AS now, CASE WHEN n.at_ms >= f.deadline THEN 0 ELSE f.held END AS kept,
+            CASE WHEN n.at_ms >= f.deadline THEN f.deadline + (n.at_ms - f.deadline) // 3600000 * 3600000 + 3600000 ELSE f.deadline END AS until
+          FROM f JOIN n ON n.shard = f.shard AND n.i = f.i + 1))
+SELECT CAST(shard AS INTEGER) AS shard, seq, batch FROM f""")
 def kv_group_commit(spark: SparkSession, d: str) -> DataFrame:
     ms = F.unix_micros(F.col("ts").cast("timestamp")) / 1000
-    commands = _table(spark, d, "events").select(F.col("event_id").alias("seq"), F.floor(ms).alias("at_ms"))
-    return runs.group_commits(commands, batch_commands=64, window_ms=3_600_000)
+    commands = _table(spark, d, "events").select(F.col("event_id").alias("seq"), F.floor(ms).alias("at_ms"), _pad("user_id").cast("binary").alias("key"))
+    return runs.group_commits(commands, 8, 3_600_000, fn.shard_of(F.col("key"), 16, fn.md5_hash(F.col("key"))))
+
+
+# Streams and stores.
 
 
 @query(f"WITH {EVENTS}, {LATEST} SELECT key, value, seq FROM latest WHERE NOT tombstone")
@@ -380,9 +535,41 @@ def kv_stream_live(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {EVENTS}, {LATEST} SELECT key, value, seq FROM latest WHERE NOT tombstone")
 def kv_store_live(spark: SparkSession, d: str) -> DataFrame:
     """The events log written through the store (rotated, flushed, compacted) and read back from its runs."""
-    from keyfold.plans.store import Store, scratch_folder
-
     store = Store(spark, scratch_folder(spark, "store"), SMALL)
     store.apply(events_log(spark, d))
     store.compact()
     return _text(store.scan())
+
+
+def _half_applied(spark: SparkSession, d: str) -> Store:
+    """A store with the events log in two batches, the second one sent twice."""
+    rows = events_log(spark, d)
+    half, store = _half(rows), Store(spark, scratch_folder(spark, "store"), SMALL)
+    store.apply(rows.where(F.col("seq") <= half), 0)
+    for _ in range(2):
+        store.apply(rows.where(F.col("seq") > half), 1)
+    return store
+
+
+@query(f"WITH {EVENTS}, {HALF} SELECT key, value, seq FROM latest WHERE NOT tombstone")
+def kv_store_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """An earlier version of a store, after a later batch and a compaction."""
+    store = _half_applied(spark, d)
+    store.compact()
+    return _text(store.scan(version=1))
+
+
+@query(_get_sql("0000000001"))
+def kv_store_get(spark: SparkSession, d: str) -> DataFrame:
+    return _text(_half_applied(spark, d).get(b"0000000001"))
+
+
+@query(f"WITH {EVENTS}, {LATEST} SELECT key, value FROM latest WHERE NOT tombstone")
+def kv_node_live(spark: SparkSession, d: str) -> DataFrame:
+    """Commands written to a node's log, and what the next node on its folder recovers and serves."""
+    folder = scratch_folder(spark, "node")
+    node = Node(spark, folder)
+    commands = ((r["op"], bytes(r["key"]), None if r["value"] is None else bytes(r["value"])) for r in events_log(spark, d).orderBy("seq").toLocalIterator())
+    while block := list(islice(commands, 5000)):
+        node.write(block)
+    return _text(Node(spark, folder).latest())

@@ -48,3 +48,14 @@ def xxh3_shard(shards: int):
         return pd.Series([xxh3_64_intdigest(bytes(k)) % shards + 1 for k in keys], dtype="int32")
 
     return route
+
+
+def crc32c():
+    """CRC-32C, which Spark's crc32 is not: a pandas UDF from bytes to a number."""
+    @F.pandas_udf("bigint")
+    def check(data: pd.Series) -> pd.Series:
+        from keyfold.sources import codecs
+
+        return pd.Series([None if x is None else codecs.crc32c(bytes(x)) for x in data], dtype="Int64")
+
+    return check

@@ -2,13 +2,14 @@
 
 Exact rotation and output splitting depend on all rows before; they are folds
 over a shard's rows in order.  A fold streams through sorted partitions in
-constant memory (a memtable's keys at most), one task a shard.
+constant memory (a memtable's keys at most), one task a shard, block by block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,21 +51,24 @@ def runs_by_count(log: DataFrame, every: int) -> DataFrame:
 
 
 def _fold(rows: DataFrame, order: str, schema: str, step) -> DataFrame:
-    """step(): called for each shard, gives a function from a row to the row to emit."""
+    """step(): called for each shard, gives a function from the shard's next block of rows to the block to emit."""
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, act = None, None
         for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                if act is None or row.shard != shard:
-                    shard, act = row.shard, step()
-                out.append(act(row))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+            for own, block in frame.groupby("shard", sort=False):
+                if act is None or own != shard:
+                    shard, act = own, step()
+                yield pd.DataFrame(dict(zip(columns, act(block))))
 
     return rows.repartition("shard").sortWithinPartitions("shard", order).mapInPandas(run, schema)
 
 
+def _shard(shard: Column | None) -> Column:
+    return (F.lit(1) if shard is None else shard).cast("int").alias("shard")
+
+
 def rotate(log: DataFrame, max_bytes: int, shard: Column | None = None) -> DataFrame:
     """seq, run_id, used of each mutation under the exact memtable limit.
 
@@ -72,74 +76,92 @@ def rotate(log: DataFrame, max_bytes: int, shard: Column | None = None) -> DataF
     shrinking and equal writes always fit.  An entry that no table can hold is
     refused.
     """
-    sizes = sized(entries(log)).select((F.lit(1) if shard is None else shard).cast("int").alias("shard"), "seq", "key", "size")
+    sizes = sized(entries(log)).select(_shard(shard), "seq", "key", "size")
 
     def step():
         table, used, run_id = {}, 0, 0
 
-        def act(row):
+        def act(block):
             nonlocal table, used, run_id
-            if row.size > max_bytes:
-                raise OversizedEntry(f"mutation {row.seq} has {row.size} bytes; a memtable holds {max_bytes}")
-            key = bytes(row.key)
-            delta = row.size - table.get(key, 0)
-            if delta > 0 and used + delta > max_bytes:
-                table, used, run_id, delta = {}, 0, run_id + 1, row.size
-            table[key] = row.size
-            used += delta
-            return row.shard, row.seq, run_id, used
+            if (block["size"] > max_bytes).any():
+                first = block[block["size"] > max_bytes].iloc[0]
+                raise OversizedEntry(f"mutation {first['seq']} has {first['size']} bytes; a memtable holds {max_bytes}")
+            runs, useds = [], []
+            for key, size in zip(map(bytes, block["key"]), block["size"].tolist()):
+                delta = size - table.get(key, 0)
+                if delta > 0 and used + delta > max_bytes:
+                    table, used, run_id, delta = {}, 0, run_id + 1, size
+                table[key] = size
+                used += delta
+                runs.append(run_id)
+                useds.append(used)
+            return block["shard"], block["seq"], runs, useds
 
         return act
 
     return _fold(sizes, "seq", "shard int, seq bigint, run_id bigint, used bigint", step)
 
 
-def split_outputs(merged: DataFrame, run_bytes: int) -> DataFrame:
-    """key, output, bytes of each merged entry (key, value, tombstone): a run ends with the entry that reaches run_bytes."""
-    sizes = sized(merged.withColumn("shard", F.lit(1))).select("shard", "key", "size")
+def split_outputs(merged: DataFrame, run_bytes: int, shard: Column | None = None) -> DataFrame:
+    """shard, key, output, bytes of each merged entry (key, value, tombstone): a run ends with the entry that reaches run_bytes.
+
+    Each shard is cut on its own, as it is compacted on its own.
+    """
+    sizes = sized(merged).select(_shard(shard), "key", "size")
 
     def step():
         output, held = 0, HEADER
 
-        def act(row):
+        def act(block):
             nonlocal output, held
-            held += row.size
-            out = (bytes(row.key), output, held)
-            if held >= run_bytes:
-                output, held = output + 1, HEADER
-            return out
+            upto = np.cumsum(block["size"].to_numpy())
+            outputs, bytes_, at, before = np.empty(len(upto), np.int64), np.empty(len(upto), np.int64), 0, 0
+            while at < len(upto):
+                # The entry that reaches the limit, or the block's last.
+                last = min(int(np.searchsorted(upto, run_bytes - held + before)), len(upto) - 1)
+                outputs[at : last + 1], bytes_[at : last + 1] = output, held + upto[at : last + 1] - before
+                held, before, at = int(bytes_[last]), int(upto[last]), last + 1
+                if held >= run_bytes:
+                    output, held = output + 1, HEADER
+            return block["shard"], block["key"], outputs, bytes_
 
         return act
 
-    return _fold(sizes, "key", "key binary, output bigint, bytes bigint", step)
+    return _fold(sizes, "key", "shard int, key binary, output bigint, bytes bigint", step)
 
 
 def group_commits(commands: DataFrame, batch_commands: int, window_ms: int, shard: Column | None = None) -> DataFrame:
-    """seq, batch of each logged command (seq, at_ms): a batch ends at so many commands or when the window is over.
+    """shard, seq, batch of each logged command (seq, at_ms): a batch ends at so many commands or when the window is over.
 
-    The window starts with the log, and anew after each end.
+    The window starts with the shard's log, and anew after each end.
     """
-    rows = commands.select((F.lit(1) if shard is None else shard).cast("int").alias("shard"), "seq", F.col("at_ms").cast("bigint").alias("at_ms"))
+    rows = commands.select(_shard(shard), "seq", F.col("at_ms").cast("bigint").alias("at_ms"))
 
     def step():
         batch, n, deadline = 0, 0, None
 
-        def act(row):
+        def act(block):
             nonlocal batch, n, deadline
-            if deadline is None:
-                deadline = row.at_ms + window_ms
-            if row.at_ms >= deadline:
-                batch, n = batch + (n > 0), 0
-                deadline += (row.at_ms - deadline) // window_ms * window_ms + window_ms
-            out = (row.seq, batch)
-            n += 1
-            if n >= batch_commands:
-                batch, n, deadline = batch + 1, 0, row.at_ms + window_ms
-            return out
+            times = block["at_ms"].to_numpy()
+            # Times may fall; the window is over with the first that isn't before its end.
+            out, at = np.empty(len(times), np.int64), 0
+            deadline = int(times[0]) + window_ms if deadline is None else deadline
+            while at < len(times):
+                if times[at] >= deadline:
+                    batch, n = batch + (n > 0), 0
+                    deadline += (int(times[at]) - deadline) // window_ms * window_ms + window_ms
+                room = times[at : at + batch_commands - n]
+                over = np.flatnonzero(room >= deadline)
+                some = int(over[0]) if len(over) else len(room)
+                out[at : at + some] = batch
+                at, n = at + some, n + some
+                if n >= batch_commands:
+                    batch, n, deadline = batch + 1, 0, int(times[at - 1]) + window_ms
+            return block["shard"], block["seq"], out
 
         return act
 
-    return _fold(rows, "seq", "seq bigint, batch bigint", step)
+    return _fold(rows, "seq", "shard int, seq bigint, batch bigint", step)
 
 
 def describe(run_entries: DataFrame) -> DataFrame:
@@ -172,14 +194,42 @@ def tiered_latest(run_entries: DataFrame) -> DataFrame:
     return newest(run_entries.withColumn("rank", tier), F.col("rank").asc(), *recency()).drop("rank")
 
 
-def read_cost(run_entries: DataFrame, meta: DataFrame, probes: DataFrame) -> DataFrame:
-    """req_id, runs_visited of each probe: all of level 0 from the newest, then by range, up to the first hit."""
-    runs = meta.select("run_id", "level", "min_key", "max_key")
+def _last_before(spark, marks: DataFrame, points: DataFrame, folder: str) -> DataFrame:
+    """points (level, key, ...) with ``mark``: that of the last of marks (level, key, mark) at or before each, by key in its level.
+
+    Both are dealt together by ranges of (level, key), and each range's last mark
+    is handed on, so neither a level nor the marks are gathered in one task.
+    """
+    empty = [F.lit(None).cast(t).alias(c) for c, t in points.dtypes if c not in ("level", "key")]
+    both = marks.select("level", "key", "mark", *empty).unionByName(points.select("*", F.lit(None).cast(marks.schema["mark"].dataType).alias("mark")))
+    dealt = both.repartitionByRange("level", "key").withColumn("part", F.spark_partition_id())
+    # Written: ranges are drawn anew each time that a plan runs.
+    dealt.write.parquet(folder)
+    dealt = spark.read.schema(dealt.schema).parquet(folder)
+    inside = Window.partitionBy("part", "level").orderBy("key", F.col("mark").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("level").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = dealt.groupBy("part", "level").agg(F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("key"))).alias("end"))
+    ends = ends.select("part", "level", F.last("end", ignorenulls=True).over(earlier).alias("handed"))
+    near = dealt.withColumn("near", F.last("mark", ignorenulls=True).over(inside)).where(F.col("mark").isNull())
+    return near.join(ends, ["part", "level"]).withColumn("mark", F.coalesce("near", "handed")).drop("near", "handed", "part")
+
+
+def read_cost(run_entries: DataFrame, meta: DataFrame, probes: DataFrame, folder: str) -> DataFrame:
+    """req_id, runs_visited of each probe: all of level 0 from the newest, then by range, up to the first hit.
+
+    Runs of level 1 and more are disjoint in each level, so a probe visits one at
+    most of each.  folder: where to put a table for the time of the query.
+    """
     asked = probes.select("req_id", "key")
-    # The catalogue is small beside the data; Spark broadcasts it if it is below the session's limit.
-    tried = asked.join(runs, (F.col("level") == 0) | ((F.col("min_key") <= F.col("key")) & (F.col("max_key") >= F.col("key"))), "left")
-    hits = run_entries.select("key", F.col("run_id").alias("hit_run")).join(asked.select("key").distinct(), "key", "left_semi")
-    marked = tried.join(hits, (tried["key"] == hits["key"]) & (tried["run_id"] == hits["hit_run"]), "left").select(tried["req_id"], "level", "run_id", F.col("hit_run").isNotNull().alias("hit"))
-    before = Window.partitionBy("req_id").orderBy(*recency()).rowsBetween(Window.unboundedPreceding, -1)
-    visited = marked.withColumn("done", F.coalesce(F.max("hit").over(before), F.lit(False)))
-    return visited.groupBy("req_id").agg(F.sum((~F.col("done") & F.col("run_id").isNotNull()).cast("bigint")).alias("runs_visited"))
+    hits = run_entries.join(asked.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("level", (-F.col("run_id")).alias("newest"))).alias("hit"))
+    # Level 0 is what compaction has not merged yet: a few runs, numbered from the newest.
+    counts = {r["level"]: r["n"] for r in meta.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
+    top = meta.where("level = 0").select((-F.col("run_id")).alias("newest"), F.row_number().over(Window.orderBy(F.col("run_id").desc())).alias("visited"))
+    deep = meta.where("level > 0")
+    marks = deep.select("level", F.col("min_key").alias("key"), F.col("max_key").alias("mark"))
+    levels = F.array(*[F.lit(k) for k in sorted(counts) if k > 0]).cast("array<int>")
+    points = asked.withColumn("level", F.explode(levels))
+    inside = _last_before(asked.sparkSession, marks, points, folder).where(F.col("mark") >= F.col("key")).select("req_id", "key", F.col("level").alias("inside"))
+    told = asked.join(hits, "key", "left").join(top, (F.col("hit.level") == 0) & (F.col("hit.newest") == F.col("newest")), "left")
+    before = inside.join(hits, "key", "left").where(F.col("hit").isNull() | (F.col("inside") <= F.col("hit.level"))).groupBy("req_id").agg(F.count(F.lit(1)).alias("deeper"))
+    return told.join(before, "req_id", "left").select("req_id", F.coalesce("visited", F.lit(counts.get(0, 0)) + F.coalesce("deeper", F.lit(0))).cast("bigint").alias("runs_visited"))

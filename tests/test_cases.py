@@ -9,14 +9,14 @@ RUN = "run_id bigint, level int, key binary, tombstone boolean, value binary, se
 META = "run_id bigint, level int, entry_count bigint, size_bytes bigint, min_key binary, max_key binary"
 
 
-def test_newer_runs_and_tombstones_win(spark):
+def test_newer_runs_and_tombstones_win(spark, tmp_path):
     rows = [(5, 0, b"a", False, b"old", 1), (6, 0, b"a", False, b"new", 2), (7, 0, b"b", True, None, 3), (3, 1, b"b", False, b"1", 0), (3, 1, b"c", False, b"z", 0)]
     frame = spark.createDataFrame(rows, RUN)
     got = {bytes(r["key"]): (r["tombstone"], r["value"] and bytes(r["value"])) for r in compaction.merge(frame).collect()}
     assert got == {b"a": (False, b"new"), b"b": (True, None), b"c": (False, b"z")}
     assert sorted((r["run_id"], bytes(r["key"])) for r in compaction.stale(frame).collect()) == [(3, b"b"), (5, b"a")]
     probes = spark.createDataFrame([(1, b"a"), (2, b"b"), (3, b"c"), (4, b"d")], "req_id int, key binary")
-    cost = {r["req_id"]: r["runs_visited"] for r in runs.read_cost(frame, runs.describe(frame), probes).collect()}
+    cost = {r["req_id"]: r["runs_visited"] for r in runs.read_cost(frame, runs.describe(frame), probes, str(tmp_path / "cost")).collect()}
     assert cost == {1: 2, 2: 1, 3: 4, 4: 3}
     assert {r["req_id"]: r["found"] for r in log.lookup(runs.tiered_latest(frame), probes).collect()} == {1: True, 2: False, 3: True, 4: False}
 
