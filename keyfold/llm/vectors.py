@@ -1,26 +1,27 @@
 """Approximate nearest neighbours by inner product: a robust-pruned directed graph for each shard.
 
-Vectors are cut into shards of about ``shard_size`` by a hash of their id.  In a
-shard, points are inserted in batches: a greedy beam search over the graph so
-far proposes neighbours, and relaxed distance pruning keeps the near and diverse
-ones: a candidate goes if a kept neighbour is nearer to it, by the factor
-``alpha``, than the point is.  Edges are mirrored and full nodes pruned again.
-All points are inserted twice, and nodes that no start reaches get an
-edge from the nearest that one does.  Searches start at 64 nodes of the shard.
+Vectors are cut into shards of about ``shard_bytes`` (in 32-bit floats) by a hash of their
+smallest id.  In a shard, points are inserted in batches: a greedy beam search
+over the graph so far proposes neighbours, and relaxed distance pruning keeps the
+near and diverse ones: a candidate goes if a kept neighbour is nearer to it, by
+the factor ``alpha``, than the point is.  Edges are mirrored and full nodes
+pruned again.  All points are inserted twice, and nodes that no start reaches get
+an edge from the nearest that one does.  Searches start at 64 nodes of the shard.
 Inner products become distances by one more coordinate that gives all vectors of
-a shard the same length.
-
-Queries are cut into blocks; each block meets each shard's graph once, and a beam
-search finds candidates, scored exactly (double precision, in
-order of the coordinates) on the original vectors.  Then the best of all shards
-are merged.
-
-Equal vectors are one node with its smallest ids, one more than a result has
-ranks, which is all that ties can show; so a vector that a third of all rows
-share neither fills a shard nor hides others.  Vectors that are null, empty,
-zero, or hold nulls or non-finite numbers take no part, nor do rows without id.
-Of rows with the same id, the least vector counts.  Vectors of unlike lengths
-don't meet.  A query's own id is never its neighbour.
+a shard the same length; graphs are built on 32-bit floats scaled to the shard's
+largest component.
+
+Queries are cut into blocks of up to ``block_size``; each block meets each shard's
+graph once.  A block's task gets the graph first and then streams its queries.  A
+beam search finds candidates, scored exactly (double precision, in order of the
+coordinates) on the original vectors.  Then the best of all shards are merged.
+
+Every row is a candidate, also of repeated ids.  Equal vectors are one node with
+its smallest ids, two more than a result has ranks, which is all that ties can
+show; so a vector that a third of all rows share neither fills a shard nor hides
+others.  Vectors that are null, empty, zero, or hold nulls or non-finite numbers
+take no part, nor do rows without id.  Vectors of unlike lengths don't meet.  A
+query row is never its own neighbour, but another row with its id can be.
 """
 
 from __future__ import annotations
@@ -42,11 +43,18 @@ def usable(v: str = "embedding") -> Column:
     return F.coalesce((F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """The same directions and proportions with components of up to 1, which 32-bit floats can hold."""
+    most = np.abs(x).max() if x.size else 0
+    return (x / most if most > 0 else x).astype(np.float32)
+
+
 class Graph:
-    """The graph of one shard.  x: float32 vectors of the same length."""
+    """The graph of one shard.  x: vectors of the same length."""
 
     def __init__(self, x: np.ndarray, edges: np.ndarray | None = None) -> None:
         self.raw = x
+        x = scaled(x)
         squares = (x.astype(np.float64) ** 2).sum(axis=1)
         last = np.sqrt(np.maximum(squares.max() - squares, 0))
         self.x = np.concatenate([x, last[:, None].astype(np.float32)], axis=1)
@@ -182,14 +190,13 @@ class Graph:
             open_[own] = np.take_along_axis(all_open, order, 1) & np.isfinite(far[own])
 
     def nearest(self, queries: np.ndarray, width: int = BEAM) -> list[np.ndarray]:
-        """Candidates for each query; all nodes of a small shard."""
-        n = len(self.x)
-        if n <= width:
-            return [np.arange(n)] * len(queries)
+        """Candidates for each query."""
+        # A query's own length doesn't change which inner products are largest.
+        queries = np.stack([scaled(q) for q in queries]) if len(queries) else queries
         padded = np.concatenate([queries, np.zeros((len(queries), 1), np.float32)], axis=1)
         out = []
-        for at in range(0, len(padded), 512):
-            ids, far = self.beam(padded[at : at + 512], width)
+        for at in range(0, len(padded), 256):
+            ids, far = self.beam(padded[at : at + 256], width)
             out += [i[np.isfinite(f)] for i, f in zip(ids, far)]
         return out
 
@@ -202,58 +209,91 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return total
 
 
-def build_index(vectors: DataFrame, top: int = 20, shard_size: int = 8192) -> tuple[DataFrame, DataFrame]:
+def _floats(column: pd.Series) -> np.ndarray:
+    """A column of vectors of the same length as rows: 32-bit if they all are, else double."""
+    return np.stack(column.to_list())
+
+
+def build_index(vectors: DataFrame, top: int = 20, shard_bytes: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
     """The shards' graphs (dim, shard, graph), and the clean vectors (vec_id, embedding)."""
-    clean = vectors.where(F.col("vec_id").isNotNull() & usable()).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    clean, _ = written(clean.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    clean = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")).where(usable())
     with temporary(vectors.sparkSession) as keep:
-        ranked = clean.withColumn("k", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("k") <= top + 1)
+        ranked = clean.withColumn("k", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("k") <= top + 2)
         nodes = ranked.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
-        nodes, _ = written(nodes, "vector-nodes")
-        shards = max(1, -(-nodes.count() // shard_size))
-        placed = nodes.withColumns({"dim": F.size("embedding"), "shard": F.pmod(F.xxhash64(F.element_at("members", 1)), F.lit(shards)).cast("int")})
+        nodes, _ = written(nodes.withColumn("dim", F.size("embedding")), "vector-nodes")
+        # One number for each length of vectors.
+        shards = {r["dim"]: max(1, -(-r["n"] * r["dim"] * 4 // shard_bytes)) for r in nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+        placed = nodes.withColumn("shard", F.pmod(F.xxhash64(F.element_at("members", 1)), _shards_of(shards)).cast("int"))
 
         def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.assign(first=[m[0] for m in pdf["members"]]).sort_values("first")
-            graph = Graph(np.stack(pdf["embedding"].to_list()).astype(np.float32))
+            pdf = pdf.assign(first=[m[0] for m in pdf["members"]]).sort_values("first", kind="stable")
+            graph = Graph(_floats(pdf["embedding"]))
             counts = np.array([len(m) for m in pdf["members"]], np.int32)
             np.savez(out := io.BytesIO(), raw=graph.raw, edges=graph.edges, counts=counts, members=np.concatenate(pdf["members"].to_list()).astype(np.int64))
             return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "graph": [out.getvalue()]})
 
-        graphs = placed.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, graph binary")
+        graphs = placed.select("dim", "shard", "embedding", "members").groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, graph binary")
         return keep(graphs, "vector-graphs")[0], clean
 
 
-def search(graphs: DataFrame, queries: DataFrame, top: int = 20, block_size: int = 4096) -> DataFrame:
+def _shards_of(shards: dict[int, int]) -> Column:
+    """The number of shards of vectors of a length; 1 of a length that no vector has."""
+    if not shards:
+        return F.lit(1)
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in sorted(shards.items()) for x in pair]), F.col("dim")), F.lit(1))
+
+
+class _Served:
+    """A shard's graph as it is sent."""
+
+    def __init__(self, data: bytes) -> None:
+        z = np.load(io.BytesIO(data))
+        self.graph, self.counts, self.members = Graph(z["raw"], z["edges"]), z["counts"], z["members"]
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def answer(self, numbers: list[int], own_ids: list[int], vectors: np.ndarray, top: int):
+        for number, own_id, vector, near in zip(numbers, own_ids, vectors, self.graph.nearest(vectors)):
+            s = exact_scores(vector, self.graph.raw[near])
+            ids = np.concatenate([self.members[self.starts[i] : self.starts[i] + self.counts[i]] for i in near])
+            of = np.repeat(np.arange(len(near)), self.counts[near])
+            # One row with the query's id and vector is the query itself.
+            itself = np.flatnonzero((ids == own_id) & (self.graph.raw[near] == vector).all(axis=1)[of])[:1]
+            ids, s = np.delete(ids, itself), np.delete(s[of], itself)
+            best = np.lexsort((ids, -s))[:top]
+            yield from ((number, int(i), float(x)) for i, x in zip(ids[best], s[best]))
+
+
+def search(graphs: DataFrame, queries: DataFrame, top: int = 20, block_size: int = 16384) -> DataFrame:
     """query_id, rank, vec_id, score of the ``top`` nearest found of each query (vec_id, embedding)."""
-    blocks = max(1, -(-queries.count() // block_size))
-    last = graphs.agg(F.max("shard")).first()[0] or 0
-    asked = queries.select("vec_id", "embedding", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"))
-    # Each block of queries meets each shard once.
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last))))
-    served = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def answer(key: tuple, held: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        ids, found, scores = [], [], []
-        if len(held) and len(wanted):
-            z = np.load(io.BytesIO(held["graph"].iloc[0]))
-            graph, counts, members = Graph(z["raw"], z["edges"]), z["counts"], z["members"]
-            starts = np.cumsum(counts) - counts
-            q = np.stack(wanted["embedding"].to_list()).astype(np.float32)
-            for query_id, vector, near in zip(wanted["vec_id"], q, graph.nearest(q)):
-                s = exact_scores(vector, graph.raw[near])
-                own = np.concatenate([members[starts[i] : starts[i] + counts[i]] for i in near])
-                s = np.repeat(s, counts[near])
-                own, s = own[own != query_id], s[own != query_id]
-                best = np.lexsort((own, -s))[:top]
-                ids += [query_id] * len(best)
-                found += own[best].tolist()
-                scores += s[best].tolist()
-        return pd.DataFrame({"query_id": pd.Series(ids, dtype="int64"), "vec_id": pd.Series(found, dtype="int64"), "score": pd.Series(scores, dtype="float64")})
-
-    near = served.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInPandas(answer, "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    # Numbered, since ids can repeat; written, so that numbers stay.
+    asked, _ = written(queries.select(F.monotonically_increasing_id().alias("q"), "vec_id", "embedding", F.size("embedding").alias("dim")), "vector-queries")
+    blocks = max(1, -(-asked.count() // block_size))
+    shards = {r["dim"]: r["last"] + 1 for r in graphs.groupBy("dim").agg(F.max("shard").alias("last")).collect()}
+    block = F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")
+    nothing = F.lit(None)
+    each = asked.select("dim", F.explode(F.sequence(F.lit(0), _shards_of(shards) - 1)).alias("shard"), block.alias("block"), "q", "vec_id", "embedding", nothing.cast("binary").alias("graph"))
+    served = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(-1).cast("bigint").alias("q"), nothing.cast("bigint").alias("vec_id"), nothing.cast(asked.schema["embedding"].dataType).alias("embedding"), "graph")
+    # In each block the graph comes first, then its queries stream past it.
+    dealt = served.unionByName(each).repartition("dim", "shard", "block").sortWithinPartitions("dim", "shard", "block", "q")
+
+    def answer(frames):
+        held, key = None, None
+        for frame in frames:
+            rows = []
+            for own, part in frame.groupby(["dim", "shard", "block"], sort=False):
+                if own != key:
+                    held, key = None, own
+                if part["graph"].iloc[0] is not None:
+                    held, part = _Served(part["graph"].iloc[0]), part.iloc[1:]
+                if held is not None and len(part):
+                    rows += held.answer(part["q"].tolist(), part["vec_id"].tolist(), _floats(part["embedding"]), top)
+            yield pd.DataFrame(rows, columns=["q", "vec_id", "score"])
+
+    near = dealt.mapInPandas(answer, "q bigint, vec_id bigint, score double")
+    order = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
+    best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return best.join(asked.select("q", F.col("vec_id").alias("query_id")), "q").select("query_id", "rank", "vec_id", "score")
 
 
 ship(__name__)
