@@ -47,6 +47,15 @@ SELECT d.doc_id AS doc_id, CAST(d.size AS BIGINT) AS size, p.source_size AS sour
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.h = c.h
 """
 
+SQL["url_rules"] = r"""
+WITH p AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM p),
+r(rule_host, prefix, what) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+m AS (SELECT page_id, rule_host || prefix AS rule, what, row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || prefix) DESC, rule_host || prefix) AS k
+      FROM h JOIN r ON (host = rule_host OR host LIKE '%.' || rule_host) AND starts_with(path, prefix))
+SELECT h.page_id AS page_id, host, path, m.rule AS rule, m.what AS ruled FROM h LEFT JOIN m ON m.page_id = h.page_id AND m.k = 1
+"""
+
 SQL["op3_chat_format"] = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),

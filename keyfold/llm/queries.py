@@ -42,6 +42,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), train(labelled_urls(spark)))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules of op5 say, without the model, which SQL can't fit."""
+    from .urlfilter import ruled
+
+    return ruled(table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -82,7 +89,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_chat_format, op4_mixing, op5_url_filter, op6_language_id, op7_license_scan, op8_nearest, op9_token_counts, op10_decontamination)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_chat_format, op4_mixing, op5_url_filter, url_rules, op6_language_id, op7_license_scan, op8_nearest, op9_token_counts, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

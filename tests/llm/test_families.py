@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from keyfold.llm import neardup
 
@@ -43,3 +44,48 @@ def test_components_are_those_of_all_links(spark, seed):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(frame).collect()}
     assert got == neardup.brute_force(rows)
     assert len({c for _, c in got.values()}) < len(rows)
+
+
+def templated(rng, shared, own, n, groups=1, sub=0, pool=10**9):
+    """Pages of a template: words that all share, some of their group, and their own ones."""
+    base = [f"s{i}" for i in range(shared)]
+    return [" ".join(base + [f"g{i % groups}_{k}" for k in range(sub)] + [f"o{rng.randrange(pool)}" for _ in range(own + rng.randrange(4))]) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_pages_of_templates_match_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    texts = []
+    for k in range(6):
+        # From linked ones (few own words) to hopeless ones; small pools make own words repeat.
+        part = templated(rng, rng.randrange(40, 90), rng.choice([2, 4, 6, 8, 12, 20]), 45, rng.choice([1, 3]), rng.choice([0, 6, 12]), rng.choice([4, 30, 10**9]))
+        texts += [" ".join(f"t{k}{w}" for w in text.split()) for text in part]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == neardup.brute_force(rows)
+
+
+def test_no_pairs_within_a_hopeless_list(spark):
+    """Unlinked pages of one template are judged one by one: what meets grows with the pages, not with their pairs."""
+    made = {}
+    for n in (300, 1200):
+        rows = list(enumerate(templated(random.Random(5), 80, 22, n)))
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        nodes = neardup.document_sets(docs).groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("sig").alias("sig")).cache()
+        lists = neardup.hubbed_lists(neardup.postings(nodes, neardup.token_counters(nodes), 42))
+        spokes = lists.where("node <> hub").selectExpr("hub as a", "node as b").distinct()
+        known = neardup.confirmed(spokes, nodes, docs, 5, 85)
+        around = neardup.around_centres(known.where("near"))
+        roots = spark.createDataFrame([], "node binary, root binary")
+        made[n] = neardup.near_links(around, roots, 85).count() + neardup.far_pairs(lists, known, roots, 42, 85).count()
+        assert known.count() <= 23 * n
+    assert made[1200] <= 4 * made[300] + 100
+
+
+def test_many_repeats_of_a_row(spark):
+    texts = templated(random.Random(6), 90, 1, 2)
+    rows = [(k % 2, texts[k % 2]) for k in range(2000)] + [(7, texts[0]), (0, "another text with the same number")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"], r["count"]) for r in got.groupBy("doc_id", "n_shingles", "component_id").count().collect()} == {
+        (0, len(neardup.shingle_set(texts[0])), 0, 1000), (1, len(neardup.shingle_set(texts[1])), 0, 1000), (7, len(neardup.shingle_set(texts[0])), 0, 1), (0, 2, 0, 1)}

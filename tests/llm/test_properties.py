@@ -50,16 +50,17 @@ def test_signatures_estimate_similarity():
     assert 42 <= equal <= 64
 
 
-@pytest.mark.parametrize("unit, least", [(True, 0.97), (False, 0.9)])
-def test_tight_clusters_don_t_trap_the_search(unit, least):
+@pytest.mark.parametrize("unit, longer, least", [(True, 1, 0.97), (False, 1, 0.9), (True, 3, 0.95)])
+def test_tight_clusters_don_t_trap_the_search(unit, longer, least):
     from keyfold.llm.vectors import Graph
 
     rng = np.random.default_rng(5)
     spread = rng.normal(size=(1200, 32))
     tight = rng.normal(size=32) + rng.normal(size=(400, 32)) * 0.05
     x = np.concatenate([spread, tight]).astype(np.float32)
-    x = x[rng.permutation(len(x))]
     x = x / np.linalg.norm(x, axis=1, keepdims=True) if unit else x
+    x[1200:] *= longer
+    x = x[rng.permutation(len(x))]
     q = x[::16]
     near = Graph(x).nearest(q)
     best = np.argsort(-(q.astype(np.float64) @ x.T.astype(np.float64)), axis=1, kind="stable")[:, :20]
