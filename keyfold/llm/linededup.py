@@ -4,13 +4,16 @@ A line's key is the line without ASCII white space at both ends, A-Z
 lower-cased; keys under ``min_chars`` code points are left alone.  A key that at
 least ``min_docs`` documents hold keeps its lines in the largest doc_id only.
 
-``LineRuns`` is the store: sorted runs of (hash, documents, keeper), each in the
-shared folder, ordered by hash.  A batch of documents is merge-anti-joined with
-the runs: hashes that no run has are fresh, and the batch's largest doc_id is
-their keeper; known hashes only add documents.  The batch's own entries become a
-run of level 0.  When a level holds ``fanout`` runs, they are merged into one of
-the next level.  Batches arrive by falling doc_id, so the first keeper of a hash
-is its largest doc_id, and dropping is decided by the merged run.
+``LineRuns`` is the store: runs of (hash, documents, keeper), each bucketed by
+hash and sorted inside its buckets, in the shared folder.  A batch of documents
+is dealt by hash once and merge-anti-joined with each run in turn: no run is ever
+shuffled again, as its buckets are the batch's partitions.  Hashes that no run
+has are fresh, and the batch's largest doc_id is their keeper; known hashes only
+add documents.  The batch's own entries become a run of level 0.  When a level
+holds ``fanout`` runs, they are merged into one of the next level, bucket by
+bucket.  Batches hold about as many documents each and arrive by falling doc_id,
+so the first keeper of a hash is its largest doc_id, and dropping is decided by
+the merged run.
 
 A hash has 128 bits (XXH3), so two keys share one with negligible odds even
 among 10^12 lines.  Only entries of 16 bytes and two numbers are shuffled, after
@@ -25,12 +28,13 @@ all keep the lines that it keeps.  Empty tables give no rows.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, ship, temporary, written
+from .common import remove, shared_folder, ship, temporary, written
 
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -64,69 +68,94 @@ def postings(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled sorted runs of line hashes in the shared folder."""
+    """Levelled sorted runs of line hashes in the shared folder.
 
-    def __init__(self, spark: SparkSession, fanout: int = 3) -> None:
-        self.spark, self.fanout = spark, fanout
-        self.levels: list[list[tuple[DataFrame, str]]] = [[]]
+    A run is a table of this session over files of its own; all have ``buckets`` buckets.
+    """
 
-    def _runs(self) -> list[DataFrame]:
-        return [df for level in self.levels for df, _ in level]
+    def __init__(self, spark: SparkSession, fanout: int = 3, buckets: int = 8) -> None:
+        self.spark, self.fanout, self.buckets = spark, fanout, buckets
+        self.levels: list[list[str]] = [[]]
+
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for level in self.levels:
+            for name in level:
+                self._drop(name)
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(self.spark, self._path(name))
+
+    def _path(self, name: str) -> str:
+        return f"{shared_folder(self.spark)}/{name}"
+
+    def _names(self) -> list[str]:
+        return [name for level in self.levels for name in level]
 
     def _add(self, entries: DataFrame, level: int) -> None:
-        run = written(entries.repartition("h").sortWithinPartitions("h") if level else entries.sortWithinPartitions("h"), f"line-run-{level}")
+        name = f"line_run_{level}_{uuid.uuid4().hex}"
+        entries.write.bucketBy(self.buckets, "h").sortBy("h").option("path", self._path(name)).format("parquet").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(run)
+        self.levels[level].append(name)
 
     def ingest(self, entries: DataFrame) -> None:
         """entries: h, n, keeper of a batch whose documents all come before those of later batches."""
-        known = self._runs()
-        if known:
-            runs = known[0]
-            for run in known[1:]:
-                runs = runs.unionByName(run)
-            seen = runs.select("h").distinct().withColumn("seen", F.lit(True))
+        rows, seen = entries.repartition(self.buckets, "h"), []
+        for k, name in enumerate(self._names()):
             # The anti-join's two sides: fresh hashes bring a keeper, known ones don't.
-            entries = entries.join(seen.hint("merge"), "h", "left").select("h", "n", F.when(F.col("seen").isNull(), F.col("keeper")).alias("keeper"))
-        self._add(entries, 0)
+            run = self.spark.table(name).select(F.col("h").alias(f"h{k}"))
+            rows = rows.join(run.hint("merge"), F.col("h") == F.col(f"h{k}"), "left")
+            seen.append(F.col(f"h{k}"))
+        fresh = F.coalesce(*seen).isNull() if seen else F.lit(True)
+        self._add(rows.select("h", "n", F.when(fresh, F.col("keeper")).alias("keeper")), 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             self._compact(level)
             level += 1
 
     def _compact(self, level: int) -> None:
-        runs, self.levels[level] = self.levels[level], []
-        self._add(self._merged([df for df, _ in runs]), level + 1)
-        for _, path in runs:
-            remove(self.spark, path)
-
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        union = runs[0]
-        for run in runs[1:]:
-            union = union.unionByName(run)
-        return union.groupBy("h").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
+        names, self.levels[level] = self.levels[level], []
+        self._add(self._merged(names), level + 1)
+        for name in names:
+            self._drop(name)
+
+    def _merged(self, names: list[str]) -> DataFrame:
+        """One entry for each hash of the runs, which have it once each: their buckets side by side."""
+        merged = self.spark.table(names[0])
+        for name in names[1:]:
+            more = self.spark.table(name).select(F.col("h").alias("g"), F.col("n").alias("m"), F.col("keeper").alias("other"))
+            merged = merged.join(more.hint("merge"), F.col("h") == F.col("g"), "full").select(
+                F.coalesce("h", "g").alias("h"), (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"), F.greatest("keeper", "other").alias("keeper")
+            )
+        return merged
 
     def entries(self) -> DataFrame:
         """One entry for each hash."""
-        return self._merged(self._runs())
+        return self._merged(self._names())
+
 
+def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3, bucket_rows: int = 1_000_000) -> DataFrame:
+    """gone_id, gone: the hashes whose lines a document loses, for each document that loses any.
 
-def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """gone_id, gone: the hashes whose lines a document loses, for each document that loses any."""
+    batches: of about as many documents each; bucket_rows: postings for each bucket of the runs.
+    """
     spark = docs.sparkSession
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    step = ((high - low) // batches + 1) if low is not None else 1
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("bigint"), [k / batches for k in range(1, batches)], 10_000)).first()[0] or []
+    # From the top down: above the last cut, between cuts, up to the first one.
+    bounds = [None, *sorted(set(cuts), reverse=True), None]
     with temporary(spark) as keep:
         keys, _ = written(postings(docs, min_chars), "line-postings")
-        runs = LineRuns(spark, fanout)
-        for k in range(batches if low is not None else 1):
-            top = high - k * step if low is not None else 0
-            batch = keys.where((F.col("doc_id") <= top) & (F.col("doc_id") > top - step))
-            runs.ingest(batch.groupBy("h").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")))
-        # A table of its own, so that the join's sides are plain exchanges and a very common line's postings can be split.
-        frequent, _ = written(runs.entries().where(F.col("n") >= min_docs).select("h", "keeper"), "frequent-lines")
+        with LineRuns(spark, fanout, max(1, -(-keys.count() // bucket_rows))) as runs:
+            for high, low in zip(bounds, bounds[1:]):
+                batch = keys if high is None else keys.where(F.col("doc_id") <= high)
+                batch = batch if low is None else batch.where(F.col("doc_id") > low)
+                runs.ingest(batch.groupBy("h").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")))
+            # A table of its own, so that the join's sides are plain exchanges and a very common line's postings can be split.
+            frequent, _ = written(runs.entries().where(F.col("n") >= min_docs).select("h", "keeper"), "frequent-lines")
         gone = keys.join(frequent, "h").where(F.col("doc_id") < F.col("keeper")).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("h").alias("gone"))
         return keep(gone, "dropped-lines")[0]
 

@@ -47,6 +47,28 @@ def test_lines(mixed, empty):
     assert linededup.replace_texts(empty).count() == 0
 
 
+def test_runs_are_joined_without_shuffling_them(spark):
+    entries = lambda low: spark.range(low, low + 500).select(F.md5(F.col("id").cast("string")).cast("binary").alias("h"), F.lit(1).cast("bigint").alias("n"), (-F.col("id")).alias("keeper"))
+    with linededup.LineRuns(spark, fanout=3, buckets=3) as runs:
+        for low in (0, 250, 500, 100):
+            runs.ingest(entries(low))
+        assert [len(level) for level in runs.levels] == [1, 1]
+        merged = runs.entries()
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan and plan.count("Bucketed: true") == 2
+        got = {r["keeper"]: r["n"] for r in merged.collect()}
+        # Each hash once; the keeper is that of its first batch, here the same in all.
+        assert got == {-k: sum(low <= k < low + 500 for low in (0, 250, 500, 100)) for k in range(1000)}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_lines_of_outlying_ids(spark):
+    ids = [*range(30), 10**15, -(10**15), 7, 7]
+    frame = docs(spark, [(i, f"{LINE}\nown {i}", "en", "a") for i in ids])
+    got = {(r["doc_id"], r["n_dropped"]) for r in linededup.dedup_lines(frame).collect()}
+    assert got == {(i, 0 if i == 10**15 else 1) for i in ids}
+
+
 def test_near_duplicates(mixed, empty):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(mixed).where("doc_id is not null").collect()}
     assert got == {(i, *w) for i, w in neardup.brute_force([(i, t) for i, t, *_ in ROWS if i is not None]).items()}
