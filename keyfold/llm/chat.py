@@ -17,8 +17,8 @@ the turns whose role is in ``loss_roles``, without placeholders.
 
 Null roles and texts count as empty, null parts are skipped; an unknown kind of
 part raises an error.  Turns are in order of turn (null first), ties by role and
-content.  All rows without a conv_id are one conversation.  A conversation is
-one row by nature: it must fit in a task.
+content.  Each row without a conv_id is a conversation of its own, so such rows
+are never gathered.  A conversation is one row by nature: it must fit in a task.
 """
 
 from __future__ import annotations
@@ -65,8 +65,9 @@ def format_chat(turns: DataFrame, loss_roles: tuple = ("assistant",)) -> DataFra
 
     turns: conv_id, turn, role, parts (a list of ``PART``).
     """
-    told = turns.select("conv_id", F.struct("turn", blank_if_null("role").alias("role"), F.filter("parts", lambda p: p.isNotNull()).alias("parts")).alias("t"))
-    convs = told.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    told = turns.select("conv_id", alone.alias("alone"), F.struct("turn", blank_if_null("role").alias("role"), F.filter("parts", lambda p: p.isNotNull()).alias("parts")).alias("t"))
+    convs = told.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     # One element a part, in order, between the frames of the turns.
     opening = lambda t: F.struct(F.lit("frame").alias("kind"), F.concat(F.lit(TURN), escape(t["role"]), F.lit(BODY)).alias("out"), F.lit(False).alias("loss"), F.lit(None).cast("string").alias("ref"), F.lit(0).cast("bigint").alias("n"))
     closing = F.struct(F.lit("frame").alias("kind"), F.lit(END).alias("out"), F.lit(False).alias("loss"), F.lit(None).cast("string").alias("ref"), F.lit(0).cast("bigint").alias("n"))

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.  Native: DataFrame operations only.
 
-A document's place is a hash of its doc_id, so a mix is the same in each run and
+A document's place is a hash of its doc_id (of its text, without one), so a mix is the same in each run and
 a smaller budget takes a subset of what a larger one takes.  Sizes (words) are
 summed by source and the hash's first digits; running sums find the bucket in
 which a source's budget ends; only that bucket is summed again by the next
@@ -15,7 +15,7 @@ sum.  A source takes its documents ``floor(target / size)`` times and the
 remainder by threshold; the last bucket goes in if that is nearer to the target.
 
 A source of null is a source of its own, last in order.  Null texts have size 0,
-as have texts of white space.  Rows with the same or no doc_id share a place.
+as have texts of white space.  Rows with the same doc_id share a place, as do rows without one with the same text.
 All sums combine map-side, so a source with most of the rows is a few rows in
 the shuffle.  Empty tables give no rows.
 """
@@ -37,8 +37,8 @@ def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def place(doc_id: str = "doc_id") -> Column:
-    return F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, DIGITS * LEVELS)
+def place(doc_id: str = "doc_id", text: str = "text") -> Column:
+    return F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.col(text), F.lit("")).cast("binary")), 1, DIGITS * LEVELS)
 
 
 def source_key(source: str = "source") -> Column:
@@ -114,7 +114,7 @@ def take(docs: DataFrame, weights: tuple = (5.0, 2.0, 1.0), share: float = 1.5,
     _, plan = plan_mix(docs, weights, share, most)
     columns = [F.col(f"d.`{c}`").alias(c) for c in docs.columns if c.lower() != "copies"]
     out = docs.alias("d").join(plan.alias("p"), source_key("d.source") == F.col("p.key"))
-    copies = F.col("p.copies") + (place("d.doc_id") <= F.col("p.last")).cast("bigint")
+    copies = F.col("p.copies") + (place("d.doc_id", "d.text") <= F.col("p.last")).cast("bigint")
     return out.where(copies > 0).select(*columns, copies.alias("copies"))
 
 

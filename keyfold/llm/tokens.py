@@ -34,10 +34,10 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 class PieceCounter:
     """Counts tokens by way of distinct pieces."""
 
-    def __init__(self, path: str, max_pieces: int = 400_000) -> None:
+    def __init__(self, vocabulary: bytes, max_pieces: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_buffer(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.specials = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
@@ -70,13 +70,18 @@ class PieceCounter:
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, batch: int = 256) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of each document."""
+    """doc_id, n_bytes, n_tokens, over_limit of each document.
+
+    The tokenizer's file is read on the driver and sent to the tasks, which need not have it; it has the size of a vocabulary.
+    """
+    with open(tokenizer_path, "rb") as file:
+        shared = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def count(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        counter = PieceCounter(tokenizer_path)
+        counter = PieceCounter(shared.value)
         for record in batches:
             texts = [t or "" for t in record.column(1).to_pylist()]
             n = [x for at in range(0, len(texts), batch) for x in counter.many(texts[at : at + batch])]

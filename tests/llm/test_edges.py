@@ -92,6 +92,13 @@ def test_mixing(mixed, empty):
     assert mixing.mix(empty).count() == 0 and mixing.take(empty).count() == 0
 
 
+def test_rows_without_an_id_meet_their_target(spark):
+    frame = docs(spark, [(None, f"word number {i} " * 5, "en", "a") for i in range(400)] + [(i, "few words", "en", "b") for i in range(50)])
+    rows = mixing.mix(frame).where("doc_id is null").collect()
+    taken, target = sum(r["size"] * r["copies"] for r in rows), rows[0]["target"]
+    assert abs(taken - target) <= 15 and 0 < target < 2 * sum(r["size"] for r in rows)
+
+
 def test_mixing_targets(spark):
     sizes = spark.createDataFrame([("sa", 100), ("sb", 1000), ("sc", 10), ("~", 400)], "key string, size bigint")
     got = {r["key"]: r["target"] for r in mixing.targets(sizes).collect()}
@@ -199,7 +206,9 @@ def test_tokens(mixed, empty):
 def test_piece_table_is_bounded():
     import public_tokenizers
 
-    few, many = (tokens.PieceCounter(public_tokenizers.path("byte_bpe_50k.json"), n) for n in (3, 10_000))
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as file:
+        vocabulary = file.read()
+    few, many = (tokens.PieceCounter(vocabulary, n) for n in (3, 10_000))
     texts = [f"some words number {i} here" for i in range(40)]
     assert [few.many([t])[0] for t in texts] == many.many(texts) and len(few.counts) <= 10
 
@@ -357,6 +366,8 @@ def test_chat(spark):
     assert got[1]["loss"] == "ok \\1 <|end|>\n</s>" and [tuple(a) for a in got[1]["attachments"]] == [(0, "image", "s3://x", 6), (1, "document", "d", 3072), (2, "audio", "y", 51)]
     assert [tuple(t) for t in got[2]["turns"]] == [("", "")] and got[None]["loss"] == ""
     assert chat.format_chat(frame.where("false")).count() == 0
+    alone = spark.createDataFrame([(None, k, "user", [part(kind="text", text=str(k))]) for k in range(3)], frame.schema)
+    assert sorted(r["formatted"] for r in chat.format_chat(alone).collect()) == [f"<|turn|>user<|body|>{k}<|end|>\n" for k in range(3)]
 
 
 def recall_of(rows, got, queries):
