@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyfold.llm import decontaminate, langid, linededup, mixing, neardup
-from keyfold.llm.common import table, written
+from keyfold.llm.common import remove, table, temporary
 
 #: A text of JUDGED normal characters or more is in no learned language if it needs more than MOST_PHRASES times the phrases
 #: that labelled text of that language needs.  Text of a learned language needs about once as many, unknown letters six times.
@@ -58,7 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # A stage's own tables go once its result is written, and the result once the next one is.
+        with temporary(spark) as keep:
+            docs, path = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last:
+            remove(spark, last)
+        last = path
     return docs
