@@ -9,7 +9,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: SQL literal of the ASCII white space that separates words: \x20 and \x09-\x0D.
@@ -107,6 +107,22 @@ def temporary(spark: SparkSession):
             _open[-1] += [p for _, p in kept]
 
 
+def running_sums(rows: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """rows with the sums of all rows up to each along an order without ties.
+
+    Rows are dealt by ranges of the order, and each range's totals handed on (one
+    row for each range), so no task has all rows.
+    """
+    # Written: ranges are drawn anew each time that a plan runs.
+    dealt, _ = written(rows.withColumns({f"own_{k}": c for k, c in sums.items()}).repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "dealt")
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("range").agg(*[F.sum(f"own_{k}").alias(f"all_{k}") for k in sums])
+    before = totals.select("range", *[F.coalesce(F.sum(f"all_{k}").over(earlier), F.lit(0)).alias(f"before_{k}") for k in sums])
+    own = dealt.withColumns({f"inside_{k}": F.sum(f"own_{k}").over(inside) for k in sums}).join(before, "range")
+    return own.select(*rows.columns, *[(F.col(f"inside_{k}") + F.col(f"before_{k}")).alias(k) for k in sums])
+
+
 def keep_rows(docs: DataFrame, keep) -> DataFrame:
     """The rows of docs that ``keep`` marks, all columns as they are.
 

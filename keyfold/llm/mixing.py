@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import running_sums, ship, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 DIGITS, LEVELS = 3, 3
@@ -49,23 +49,20 @@ def source_key(source: str = "source") -> Column:
 def targets(sizes: DataFrame, weights: tuple = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2) -> DataFrame:
     """key, source_size, target, copies, budget of each source; sizes: key and size of each document.
 
-    One row for each source goes through a single task, for the order of sources.
+    Sources are numbered and summed along their order by ranges, so there may be as many as there are domains.
     """
     s = sizes.groupBy("key").agg(F.sum("size").alias("source_size"))
-    number = F.row_number().over(Window.orderBy("key")) - 1
-    s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (number % len(weights) + 1).cast("int")))
-    rising = Window.orderBy(F.col("source_size") / F.col("weight"), "key").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    s = running_sums(s, ["key"], {"number": F.lit(1).cast("bigint")})
+    s = s.select("key", "source_size", F.element_at(F.array(*map(F.lit, weights)), ((F.col("number") - 1) % len(weights) + 1).cast("int")).alias("weight"))
+    s = s.withColumn("ratio", F.col("source_size") / F.col("weight"))
+    s = running_sums(s, ["ratio", "key"], {"capped": most * F.col("source_size"), "passed": F.col("weight")})
+    total = s.agg(F.sum("source_size"), F.sum("weight")).first()
     cap = (most * F.col("source_size")).cast("double")
-    s = s.withColumns({
-        "capped": F.sum(most * F.col("source_size")).over(rising).cast("double"),
-        "open": F.sum("weight").over(everything) - F.sum("weight").over(rising),
-        "all": F.lit(share) * F.sum("source_size").over(everything).cast("double"),
-    })
     # The level if the sources before this one are at their caps; it holds from the first that stays below its cap.
-    s = s.withColumn("level", (F.col("all") - (F.col("capped") - most * F.col("source_size"))) / (F.col("open") + F.col("weight")))
-    s = s.withColumn("first_level", F.max(F.when(F.col("level") * F.col("weight") <= most * F.col("source_size"), F.col("level"))).over(everything))
-    s = s.withColumn("target", F.when(cap == 0, F.lit(0.0)).otherwise(F.least(cap, F.col("first_level") * F.col("weight"))))
+    room = F.lit(share * float(total[0] or 0)) - (F.col("capped").cast("double") - most * F.col("source_size"))
+    s = s.withColumn("level", room / (F.lit(total[1] or 0.0) - F.col("passed") + F.col("weight")))
+    first_level = s.where(F.col("level") * F.col("weight") <= cap).agg(F.max("level")).first()[0]
+    s = s.withColumn("target", F.when(cap == 0, F.lit(0.0)).otherwise(F.least(cap, F.lit(first_level).cast("double") * F.col("weight"))))
     s = s.withColumn("copies", F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.floor(F.col("target") / F.col("source_size"))).cast("bigint"))
     return s.select("key", "source_size", "target", "copies", (F.col("target") - F.col("copies") * F.col("source_size")).alias("budget"))
 

@@ -69,25 +69,30 @@ FROM e GROUP BY conv_id, alone
 """
 
 
-def _license_sql() -> str:
-    from .licenses import TEMPLATES, bigrams_of
-
-    rows = ", ".join("('%s', [%s])" % (k, ", ".join(f"'{b}'" for b in bigrams_of(v))) for k, v in TEMPLATES.items())
-    return r"""
-WITH t(licence, g) AS (VALUES ROWS),
+# The notices stand here as they do on licensed works; their bigrams are taken by the SQL itself.
+SQL["op7_license_scan"] = r"""
+WITH t(licence, text) AS (VALUES
+  ('Apache-2.0', 'licensed under the apache license version 2 0'),
+  ('BSD', 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met'),
+  ('CC-BY-4.0', 'this work is licensed under a creative commons attribution 4 0 international license'),
+  ('CC-BY-NC-4.0', 'licensed under cc by nc 4 0'),
+  ('CC-BY-SA-4.0', 'this work is licensed under a creative commons attribution sharealike 4 0 international license'),
+  ('GPL-3.0', 'this work is licensed under the gnu general public license version 3'),
+  ('LGPL-3.0', 'this library is licensed under the gnu lesser general public license version 3'),
+  ('MIT', 'released under the mit license'),
+  ('MPL-2.0', 'this source code form is subject to the terms of the mozilla public license version 2 0')),
+tw AS (SELECT licence, string_split(text, ' ') AS w FROM t),
+tg AS (SELECT licence, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM tw),
 u AS (SELECT rid, doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '\n|[.!?][ \t\r]+')) AS unit FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents)),
-w AS (SELECT rid, doc_id, unit, regexp_extract_all(unit, '[a-z0-9]+') AS w FROM u),
-b AS (SELECT rid, doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w),
-m AS (SELECT rid, doc_id, licence, CAST(2 * len(list_intersect(b.g, t.g)) AS DOUBLE) / (len(b.g) + len(t.g)) AS dice, row_number() OVER () AS x, b.g AS g FROM b, t),
-k AS (SELECT rid, doc_id, g, licence, dice FROM m WHERE dice >= 0.8),
-n AS (SELECT rid, licence, dice, row_number() OVER (PARTITION BY rid ORDER BY dice DESC, licence) AS r FROM k),
-c AS (SELECT rid, count(*) AS n_units FROM (SELECT b.rid AS rid, (SELECT count(*) FROM t WHERE CAST(2 * len(list_intersect(b.g, t.g)) AS DOUBLE) / (len(b.g) + len(t.g)) >= 0.8) AS hits FROM b) WHERE hits > 0 GROUP BY rid)
+w AS (SELECT rid, row_number() OVER () AS uid, regexp_extract_all(unit, '[a-z0-9]+') AS w FROM u),
+b AS (SELECT rid, uid, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w),
+k AS (SELECT rid, uid, licence, CAST(2 * len(list_intersect(b.g, tg.g)) AS DOUBLE) / (len(b.g) + len(tg.g)) AS dice FROM b, tg),
+m AS (SELECT * FROM k WHERE dice >= 0.8),
+n AS (SELECT rid, licence, dice, row_number() OVER (PARTITION BY rid ORDER BY dice DESC, licence) AS r FROM m),
+c AS (SELECT rid, count(DISTINCT uid) AS n_units FROM m GROUP BY rid)
 SELECT d.doc_id AS doc_id, n.licence AS licence, coalesce(n.dice, CAST(0 AS DOUBLE)) AS dice, CAST(coalesce(c.n_units, 0) AS BIGINT) AS n_units
 FROM (SELECT row_number() OVER () AS rid, doc_id FROM documents) d LEFT JOIN n ON n.rid = d.rid AND n.r = 1 LEFT JOIN c ON c.rid = d.rid
-""".replace("ROWS", rows)
-
-
-SQL["op7_license_scan"] = _license_sql()
+"""
 
 SQL["op2_near_dedup"] = r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

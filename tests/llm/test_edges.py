@@ -99,6 +99,20 @@ def test_rows_without_an_id_meet_their_target(spark):
     assert abs(taken - target) <= 15 and 0 < target < 2 * sum(r["size"] for r in rows)
 
 
+def test_running_sums(spark):
+    from keyfold.llm.common import running_sums
+
+    rng = random.Random(8)
+    rows = [(f"k{i:04d}", rng.randrange(9), rng.random()) for i in range(3000)]
+    rng.shuffle(rows)
+    got = running_sums(spark.createDataFrame(rows, "k string, n bigint, x double").repartition(7), ["k"], {"upto": F.col("n"), "place": F.lit(1)}).orderBy("k").collect()
+    total = 0
+    for i, (r, (k, n, x)) in enumerate(zip(got, sorted(rows))):
+        total += n
+        assert (r["k"], r["n"], r["x"], r["upto"], r["place"]) == (k, n, x, total, i + 1)
+    assert running_sums(spark.createDataFrame([], "k string"), ["k"], {"place": F.lit(1)}).count() == 0
+
+
 def test_mixing_targets(spark):
     sizes = spark.createDataFrame([("sa", 100), ("sb", 1000), ("sc", 10), ("~", 400)], "key string, size bigint")
     got = {r["key"]: r["target"] for r in mixing.targets(sizes).collect()}
