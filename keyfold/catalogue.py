@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from keyfold import functions as fn
 from keyfold.config import StorageConfig
-from keyfold.errors import RetryPolicy, retry_if
+from keyfold.errors import CommitConflict, CorruptFrame, RetryPolicy, is_transient, kind_of, retry_if
 from keyfold.operators import catalog, compaction, log, runs
 from keyfold.plans.node import Node
 from keyfold.plans.store import Files, Store, scratch_folder
@@ -483,6 +483,13 @@ def kv_retry(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "case string, calls int, done boolean")
 
 
+@query("""SELECT * FROM (VALUES ('InterruptedError', 'interrupted', true), ('BlockingIOError', 'would block', true), ('TimeoutError', 'timed out', true), ('BrokenPipeError', 'closed', false),
+  ('EOFError', 'closed', false), ('FileNotFoundError', 'io', false), ('CommitConflict', 'other', false), ('CorruptFrame', 'other', false), ('ValueError', 'other', false)) t(error, kind, transient)""")
+def kv_error_kinds(spark: SparkSession, d: str) -> DataFrame:
+    errors = [InterruptedError, BlockingIOError, TimeoutError, BrokenPipeError, EOFError, FileNotFoundError, CommitConflict, CorruptFrame, ValueError]
+    return spark.createDataFrame([(e.__name__, kind_of(e()), is_transient(e())) for e in errors], "error string, kind string, transient boolean")
+
+
 # Folds.
 
 

@@ -36,12 +36,37 @@ class CommitConflict(StoreError):
     """Another writer took the catalogue's next version."""
 
 
-#: Transient kinds: interrupted, would block, timed out.
-TRANSIENT = (InterruptedError, BlockingIOError, TimeoutError)
+#: Kinds of error, the first that fits; those of the JVM by the name of a cause.
+KINDS = (
+    ("interrupted", (InterruptedError,), ("InterruptedIOException", "InterruptedException", "ClosedByInterruptException")),
+    ("would block", (BlockingIOError,), ()),
+    ("timed out", (TimeoutError,), ("SocketTimeoutException", "ConnectTimeoutException", "TimeoutException")),
+    ("closed", (BrokenPipeError, ConnectionError, EOFError), ("ClosedChannelException", "EOFException")),
+    ("io", (OSError,), ("IOException", "FileNotFoundException")),
+)
+TRANSIENT = {"interrupted", "would block", "timed out"}
+
+
+def kind_of(error: BaseException) -> str:
+    """interrupted, would block, timed out, closed, io or other."""
+    names = _java_names(error)
+    for kind, types, java in KINDS:
+        if isinstance(error, types) or any(n in java for n in names):
+            return kind
+    return "other"
+
+
+def _java_names(error: BaseException) -> list[str]:
+    """Class names of a JVM error and its causes, the innermost last."""
+    names, cause = [], getattr(error, "java_exception", None)
+    while cause is not None and len(names) < 20:
+        names.append(cause.getClass().getSimpleName())
+        cause = cause.getCause()
+    return names
 
 
 def is_transient(error: BaseException) -> bool:
-    return isinstance(error, TRANSIENT)
+    return kind_of(error) in TRANSIENT
 
 
 @dataclass(frozen=True)

@@ -43,6 +43,27 @@ def test_overlap_needs_a_deeper_level(spark):
         runs.overlapping(meta, 0, F.lit(b"c"), F.lit(b"f"))
 
 
+def test_jvm_errors_have_kinds(spark):
+    from py4j.protocol import Py4JJavaError
+
+    io = spark._jvm.java.io
+    for made, kind in ((spark._jvm.java.net.SocketTimeoutException("x"), "timed out"), (io.IOException("x"), "io"), (spark._jvm.java.lang.RuntimeException("x", io.InterruptedIOException("y")), "interrupted"), (spark._jvm.java.lang.RuntimeException("x"), "other")):
+        error = Py4JJavaError("failed", made)
+        assert errors.kind_of(error) == kind and errors.is_transient(error) == (kind in ("timed out", "interrupted"))
+
+
+def test_split_outputs_in_blocks(spark):
+    rows = [(b"%06d" % i, False, b"v" * (i * 7 % 40), 0) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "key binary, tombstone boolean, value binary, seq bigint")
+    got = {bytes(r["key"]): (r["output"], r["bytes"]) for r in runs.split_outputs(frame, 500).collect()}
+    output, held = 0, 2
+    for key, _, value, _ in rows:
+        held += len(key) + 9 + len(value)
+        assert got[key] == (output, held)
+        if held >= 500:
+            output, held = output + 1, 2
+
+
 def test_retry():
     policy, calls = errors.RetryPolicy(3, 1, 4), []
 
