@@ -13,22 +13,32 @@ Rarity is read from a histogram of 2^20 hashed counters, a fixed size.  So the
 long lists of shared passages are skipped, and only looked up when the collisions
 of a candidate pair are counted over all coordinates.
 
-A list of near copies would still give all its pairs.  So lists are merged in
-two steps.  First every node of a list meets only the list's hub, its most
-central node (see ``hubbed_lists``), and their overlap is counted on the full
-sets.  Overlaps also give the centre of a hub's near candidates, the shingles
-that most of them have, and exact links to the candidate nearest to it.  These
-links make first components.  Then pairs within a list are formed only if they
-are in different components and can still be linked:
-  - sizes are within the ratio;
-  - coordinates before the common token, in either order, can't match, so their
-    union leaves room for 42;
-  - overlaps with the hub and with the centre bound their overlap: two nodes
-    near the centre with nothing else in common have what is left of it.  What
-    more they share is found under the shingles that they have beyond it or miss.
-Collisions are counted for all these pairs, and those retained are confirmed.
-These drop no pair that could be linked, so components are those of all links
-(but for the odds above).
+A list of near copies would still give all its pairs, and so would one of pages
+of a template that are all a little too unlike.  So lists are merged in two
+steps.  First every node of a list meets only the list's hub, its most central
+node (see ``hubbed_lists``), and their overlap is counted on the full sets.
+Overlaps also give the centre of a hub's near candidates (a similarity of NEAR
+per cent with the hub), the shingles that most of them have.  A candidate misses
+m of the centre's and has p beyond it.  If two have nothing in common beyond the
+centre and miss nothing both, they are linked if and only if w(x) + w(y) >= 0,
+for w = (100 - percent) / 2 * size - 100 m - percent * p.  So both are linked
+to the candidate of the greatest w, and one star for each hub stands for all
+these pairs.  The stars make first components.  What is left:
+  - candidates that share a shingle beyond the centre, or miss one both, meet
+    under these shingles, rare ones first.  Each such place bounds what a
+    candidate can share from there on; like w, the bounds of two add up, so
+    candidates that can't reach any partner go before pairs are formed, and one
+    of a pair has a bound of 0 or more;
+  - nodes of a list that aren't near its hub meet those under CLEAR per cent.
+    Distances of sets obey the triangle inequality, so a node linked with one of
+    CLEAR has 40 per cent with the hub, is near, and falls under GLIMPSE collisions,
+    which decide whether a node is compared with the hub at all, about three times
+    in a million.  Pairs are formed if coordinates before the common token, in either
+    order, which can't match, leave room for 42, sizes are within the ratio, and
+    overlaps with the hub don't rule it out.  Collisions are counted for these pairs,
+    and those retained are confirmed on the full sets.
+Pairs are only formed between different components.  These drop no pair that
+could be linked, so components are those of all links (but for the odds above).
 
 Null texts, texts without words and rows without doc_id are linked with nothing.
 Repeated rows each get the result of their text.  With fewer words than a
@@ -48,6 +58,11 @@ from .common import ship, temporary, written
 from .components import components
 
 COORDINATES, COUNTERS = 64, 1 << 20
+#: The least similarity with a hub, in per cent, of its near candidates, and of those that its centre is made of.
+NEAR, CORE = 25, 60
+#: Nodes that collide with a hub in fewer coordinates aren't compared with it on full sets; nodes of a higher similarity
+#: with the hub than CLEAR per cent aren't sought for them.
+GLIMPSE, CLEAR = 8, 55
 _U = np.uint64
 _rng = np.random.default_rng(20_240_501)
 _A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * _U(2) + _U(1)
@@ -112,23 +127,28 @@ def document_sets(docs: DataFrame, words: int = 5) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(emit, "doc_id bigint, n bigint, node binary, sig binary")
 
 
-def token_counters(nodes: DataFrame) -> np.ndarray:
-    """How often each counter's tokens occur: 2^20 numbers whatever the input."""
+def _counted(batches_to_counters, rows: DataFrame) -> np.ndarray:
+    """2^20 sums over all rows, whatever the input: batches_to_counters gives arrays of counters."""
 
     def count(batches):
         total = np.zeros(COUNTERS, np.int64)
         for record in batches:
-            if record.num_rows:
-                total += np.bincount(_tokens(_signatures(record.column(0)))[1].ravel(), minlength=COUNTERS)
+            for counters in batches_to_counters(record):
+                np.add.at(total, counters, 1)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["c", "n"])
 
     out = np.zeros(COUNTERS, np.int64)
-    found = nodes.select("sig").mapInArrow(count, "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.mapInArrow(count, "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
     out[found.column("c").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
+def token_counters(nodes: DataFrame) -> np.ndarray:
+    """How often each counter's tokens occur."""
+    return _counted(lambda record: [_tokens(_signatures(record.column(0)))[1].ravel()] if record.num_rows else [], nodes.select("sig"))
+
+
 def postings(nodes: DataFrame, counters: np.ndarray, match: int) -> DataFrame:
     """token, node, n, mask (coordinates before it in the node's order) of each prefix token."""
     shared = nodes.sparkSession.sparkContext.broadcast(counters)
@@ -172,57 +192,67 @@ def colliding(pairs: DataFrame, nodes: DataFrame, match: int) -> DataFrame:
     return both.mapInArrow(count, "a binary, b binary")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, near: int = 60) -> DataFrame:
+def full_texts(needed: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node, text: one row for each needed node, however many rows repeat its document."""
+    # Written, so that its true size decides whether texts are dealt to it or it is sent to the texts.
+    holders, _ = written(nodes.join(needed, "node").select("node", F.col("rep").alias("holder")), "holders")
+    texts = holders.join(docs.selectExpr("cast(doc_id as bigint) as holder", "text"), "holder").select("node", "text")
+
+    def own(batches):
+        from xxhash import xxh3_128_digest
+
+        for record in batches:
+            # Another row's text with the same doc_id is another node's.
+            same = [xxh3_128_digest(shingle_set(text.as_py(), words).tobytes()) == node for node, text in zip(record.column(0).to_pylist(), record.column(1))]
+            yield record.filter(pa.array(same, pa.bool_()))
+
+    return texts.mapInArrow(own, "node binary, text string").dropDuplicates(["node"])
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, near: int = NEAR) -> DataFrame:
     """a, b, n_a, n_b, common, linked, near, more and less of each pair, from the whole texts.
 
     near: a similarity of ``near`` per cent; such pairs have the fingerprints that only b (more) and only a (less) has.
     """
     pairs = pairs.select("a", "b")
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    holders = nodes.join(needed, "node").select("node", F.col("rep").alias("holder"))
-    texts, _ = written(holders.join(docs.selectExpr("cast(doc_id as bigint) as holder", "text"), "holder").select("node", "text"), "pair-texts")
+    texts, _ = written(full_texts(needed, nodes, docs, words), "pair-texts")
     side = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "text_a", "b", "text_b")
 
     def compare(batches):
-        from xxhash import xxh3_128_digest
-
-        kept: OrderedDict[bytes, np.ndarray | None] = OrderedDict()
+        kept: OrderedDict[bytes, np.ndarray] = OrderedDict()
         held = 0
 
-        def of(node: bytes, text) -> np.ndarray | None:
-            """The node's set; None for another row's text with the same doc_id."""
+        def of(node: bytes, text) -> np.ndarray:
             nonlocal held
             if node in kept:
                 kept.move_to_end(node)
                 return kept[node]
-            s = shingle_set(text.as_py(), words)
-            if xxh3_128_digest(s.tobytes()) != node:
-                return None
-            kept[node] = s
+            kept[node] = s = shingle_set(text.as_py(), words)
             held += len(s)
             while held > 2_000_000 and len(kept) > 1:
                 held -= len(kept.popitem(last=False)[1])
             return s
 
         for record in batches:
-            out: list[list] = [[] for _ in range(9)]
-            for a, text_a, b, text_b in zip(record.column(0).to_pylist(), record.column(1), record.column(2).to_pylist(), record.column(3)):
-                x, y = of(a, text_a), of(b, text_b)
-                if x is None or y is None:
-                    continue
-                at = np.searchsorted(x, y)
-                shared = x[np.minimum(at, len(x) - 1)] == y
-                common = int(shared.sum())
-                union = len(x) + len(y) - common
-                close = 100 * common >= near * union
-                left = np.ones(len(x), bool)
-                left[at[shared]] = False
-                row = (a, b, len(x), len(y), common, 100 * common >= percent * union, close, y[~shared].astype(np.int64) if close else [], x[left].astype(np.int64) if close else [])
-                for column, value in zip(out, row):
-                    column.append(value)
-            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["a", "b", "n_a", "n_b", "common", "linked", "near", "more", "less"])
+            for low in range(0, record.num_rows, 512):
+                part = record.slice(low, 512)
+                out: list[list] = [[] for _ in range(9)]
+                for a, text_a, b, text_b in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), part.column(3)):
+                    x, y = of(a, text_a), of(b, text_b)
+                    at = np.searchsorted(x, y)
+                    shared = x[np.minimum(at, len(x) - 1)] == y
+                    common = int(shared.sum())
+                    union = len(x) + len(y) - common
+                    close = 100 * common >= near * union
+                    left = np.ones(len(x), bool)
+                    left[at[shared]] = False
+                    row = (a, b, len(x), len(y), common, 100 * common >= percent * union, close, y[~shared].astype(np.int64) if close else [], x[left].astype(np.int64) if close else [])
+                    for column, value in zip(out, row):
+                        column.append(value)
+                kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["a", "b", "n_a", "n_b", "common", "linked", "near", "more", "less"])
 
     found = both.mapInArrow(compare, "a binary, b binary, n_a bigint, n_b bigint, common bigint, linked boolean, near boolean, more array<bigint>, less array<bigint>")
     return written(found, "pairs")[0]
@@ -257,13 +287,15 @@ def hubbed_lists(posted: DataFrame) -> DataFrame:
 def around_centres(known: DataFrame) -> DataFrame:
     """hub, node, n, size, more, miss: each candidate against the centre of its hub's candidates.
 
-    The centre holds the shingles that most candidates have; size is its size,
+    The centre holds the shingles that most candidates with a similarity of CORE
+    per cent have (any set would do; this one is close to most); size is its size,
     more and miss are the fingerprints that only the candidate and only the centre
     has.  (If a family's original is not in the table, its hub is an edited copy,
     and all others share what the hub lacks.)  The hub is a candidate as well.
     """
-    sided = known.select("a", F.posexplode(F.array("more", "less")).alias("side", "list")).select("a", "side", F.explode("list").alias("shingle"))
-    sizes = known.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
+    core = known.where(100 * F.col("common") >= CORE * (F.col("n_a") + F.col("n_b") - F.col("common")))
+    sided = core.select("a", F.posexplode(F.array("more", "less")).alias("side", "list")).select("a", "side", F.explode("list").alias("shingle"))
+    sizes = core.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
     usual = sided.groupBy("a", "side", "shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1).join(sizes, "a").where(2 * F.col("df") > F.col("k"))
     pick = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("shingle")))
     centres, _ = written(usual.groupBy("a").agg(pick(0).alias("usual"), pick(1).alias("odd")), "centres")
@@ -283,12 +315,13 @@ def _enough(common, n_x, n_y, percent: int):
 
 
 def central_links(around: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of each hub's candidates to the one nearest to their centre, from exact overlaps.
+    """Links (a, b) of each hub's candidates to the one with the greatest w, from exact overlaps.
 
     x and y have the centre less what either misses in common, and what they
     have beyond it both: size - |miss| - |miss| + shared of miss and of more.
     """
-    nearest = around.groupBy("hub").agg(F.min(F.struct((F.size("more") + F.size("miss")).alias("far"), "node", "n", "more", "miss")).alias("z"))
+    far = 100 * F.size("miss") + percent * F.size("more")
+    nearest = around.groupBy("hub").agg(F.min(F.struct(far.alias("far"), "node", "n", "more", "miss")).alias("z"))
     nearest, _ = written(nearest, "nearest")
     both = around.join(nearest, "hub").where(F.col("node") != F.col("z.node"))
     common = F.col("size") - F.size("miss") - F.size("z.miss") + F.size(F.array_intersect("miss", "z.miss")) + F.size(F.array_intersect("more", "z.more"))
@@ -296,67 +329,132 @@ def central_links(around: DataFrame, percent: int) -> DataFrame:
 
 
 def _mixed(rows: DataFrame, *keys: str) -> DataFrame:
-    """The keys under which several components meet, and the component with most rows (``main``)."""
-    each = rows.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("k"))
-    main = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main"))
+    """The keys under which several components meet, the component with most rows (``main``), and the greatest reach."""
+    each = rows.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("k"), F.max("reach").alias("reach"))
+    main = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main"), F.max("reach").alias("furthest"))
     # Written, so that joins with it have plain exchanges on both sides.
-    return written(main.where(F.col("roots") > 1).drop("roots"), "mixed")[0]
+    return written(main.where((F.col("roots") > 1) & (F.col("furthest") >= 0)).drop("roots"), "mixed")[0]
 
 
 def _meet(rows: DataFrame, keys: tuple, condition, percent: int) -> DataFrame:
-    """Pairs (x, y) of rows with equal keys, unlike components and like sizes, each once; x is outside the keys' main component.
+    """Pairs (x, y) of rows with equal keys, unlike components, like sizes and reaches that add up to 0 or more, each once.
 
-    A family that is one component already is never paired with itself.
+    One of a pair is outside the keys' main component, so a family that is one
+    component already is never paired with itself, and one has a reach of 0 or
+    more, so rows of less are never paired with each other.
     """
-    rows = rows.join(_mixed(rows, *keys), list(keys))
-    rows, _ = written(rows, "meeting")
-    x, y = rows.where(F.col("root") != F.col("main")).alias("x"), rows.alias("y")
-    same = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+    rows = rows.join(_mixed(rows, *keys), list(keys)).where(F.col("reach") + F.col("furthest") >= 0)
+    kind = F.when(F.col("reach") < 0, 2).otherwise(0) + F.when(F.col("root") != F.col("main"), 1).otherwise(0)
+    rows, _ = written(rows.withColumn("kind", kind), "meeting")
+    # Whom a row outside the main component looks for: all if it reaches far, else those of the main one that do.
+    wanted = F.when(F.col("reach") >= 0, F.array(*map(F.lit, range(4)))).otherwise(F.array(F.lit(0)))
+    x, y = rows.where("kind % 2 = 1").withColumn("wanted", F.explode(wanted)).alias("x"), rows.alias("y")
+    same = (F.col("x.wanted") == F.col("y.kind")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.kind") != 1) | (F.col("x.node") < F.col("y.node")))
     for k in keys:
         same &= F.col(f"x.{k}") == F.col(f"y.{k}")
-    return x.join(y, same & _like_sizes("x.n", "y.n", percent) & condition)
+    return x.join(y, same & (F.col("x.reach") + F.col("y.reach") >= 0) & _like_sizes("x.n", "y.n", percent) & condition)
 
 
-def residual_pairs(lists: DataFrame, known: DataFrame, around: DataFrame, roots: DataFrame, match: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that the hubs leave open; see the module's text."""
-    rooted = lambda rows: rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    base = F.col("x.size") - F.col("x.m") - F.col("y.m")
-    ends = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-
+def far_pairs(lists: DataFrame, known: DataFrame, roots: DataFrame, match: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of lists, of different components, that may be linked though one isn't near the hub."""
     overlap = known.select(F.col("a").alias("hub"), F.col("b").alias("node"), "common")
-    centred = around.select("hub", "node", "size", F.size("miss").alias("m"))
-    own = rooted(lists.where(F.col("node") != F.col("hub"))).join(overlap, ["hub", "node"], "left").join(centred, ["hub", "node"], "left")
-    own = own.select("token", "node", "n", "mask", "root", "common", "size", "m")
+    own = lists.where(F.col("node") != F.col("hub")).join(overlap, ["hub", "node"], "left")
+    below = lambda limit: F.col("common").isNull() | (100 * F.col("common") < limit * (F.col("n") + F.col("hub_n") - F.col("common")))
+    own = own.where(below(CLEAR)).withColumn("reach", F.when(below(NEAR), 1).otherwise(-1))
+    own = _rooted(own, roots).select("token", "node", "n", "mask", "root", "common", "reach")
     room = F.bit_count(F.col("x.mask").bitwiseOR(F.col("y.mask"))) <= COORDINATES - match
-    # Bounds by the hub's set and by the centre's; a node of another size or far from the centre lacks one.
     by_hub = F.least("x.common", "y.common") + F.least(F.col("x.n") - F.col("x.common"), F.col("y.n") - F.col("y.common"))
-    free = F.lit(True)
-    for missing, bound in ((F.col("x.common").isNull() | F.col("y.common").isNull(), by_hub), (F.col("x.m").isNull() | F.col("y.m").isNull(), base)):
-        free &= missing | _enough(bound, F.col("x.n"), F.col("y.n"), percent)
-    in_lists = _meet(own, ("token",), room & free, percent).select(*ends)
-
-    placed = rooted(around.select("hub", "node", "n", "size", F.size("miss").alias("m"), F.size("more").alias("p"), "more", "miss"))
-    placed, _ = written(placed.join(_mixed(placed, "hub").select("hub"), "hub", "left_semi"), "around-open")
-    items = placed.select("hub", "node", "n", "size", "m", "p", "root", F.posexplode(F.array("more", "miss")).alias("side", "list"))
-    items, _ = written(items.select("hub", "node", "n", "size", "m", "p", "root", "side", F.explode("list").alias("item")), "beyond-centres")
-    often, _ = written(items.groupBy("hub", "side", "item").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1), "often")
-    # Rare items first: what two candidates share can't be before the first that they share.
-    place = F.row_number().over(Window.partitionBy("hub", "node", "side").orderBy("df", "item")) - 1
-    items = items.join(often, ["hub", "side", "item"], "left").withColumn("place", place.cast("int")).where(F.col("df").isNotNull())
-    # Whatever the partner: what both miss only counts if the first common item stands early.
-    reach = F.col("size") * 100 - percent * F.col("n")
-    items = items.where((F.col("side") == 0) | ((100 + percent) * F.col("place") <= reach))
+    free = F.col("x.common").isNull() | F.col("y.common").isNull() | _enough(by_hub, F.col("x.n"), F.col("y.n"), percent)
+    return _meet(own, ("token",), room & free, percent).select(*_ends()).distinct()
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _ends():
+    return F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
+
+
+def _counters_of(hub: bytes, items: np.ndarray, side: int) -> np.ndarray:
+    mixed = (items.view(np.uint64) ^ _U(int.from_bytes(hub[:8], "little")) ^ _U(side)) * _STEP
+    return (mixed >> _U(44)).astype(np.int64)
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column without nulls, as arrays."""
+    values, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
+    return np.split(values, ends[:-1]) if len(ends) else []
+
+
+def item_postings(around: DataFrame, percent: int) -> DataFrame:
+    """hub, node, n, size, m, p, side, item, place, reach: the items of each candidate under which partners may be found.
+
+    side 0: what it has beyond the centre; side 1: what it misses.  Rare items
+    first, as far as hashed counters tell: what two candidates share can't be
+    before the first that they share.  Only places from which the likeliest
+    partner could still be reached are posted, and only items whose counter says
+    that another candidate may have them.
+    """
+
+    def counters(record):
+        for hub, more, miss in zip(record.column(0).to_pylist(), _lists(record.column(1)), _lists(record.column(2))):
+            yield np.concatenate([_counters_of(hub, more, 0), _counters_of(hub, miss, 1)])
+
+    shared = around.sparkSession.sparkContext.broadcast(_counted(counters, around.select("hub", "more", "miss")))
+    names = ["hub", "node", "n", "size", "m", "p", "side", "item", "place", "reach"]
+
+    def post(batches):
+        counts = shared.value
+        for record in batches:
+            for low in range(0, record.num_rows, 1024):
+                part = record.slice(low, 1024)
+                rows: list[int] = []
+                out: list[list[np.ndarray]] = [[] for _ in range(4)]
+                hubs, n_of, size_of = part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()
+                lists = (_lists(part.column(4)), _lists(part.column(5)))
+                sizes = [len(x) for x in lists[0]], [len(x) for x in lists[1]]
+                for k, hub in enumerate(hubs):
+                    n, size, p, m = n_of[k], size_of[k], sizes[0][k], sizes[1][k]
+                    for side in (0, 1):
+                        items = lists[side][k]
+                        # Twice what it has over the limit if its partner has the same from this place on: shared beyond the
+                        # centre, all else may be in common; if nothing is, what both miss gives back half of what each misses.
+                        top = (100 - percent) * n if side == 0 else (100 - percent) * (size - m) - 2 * percent * p
+                        best = (100 - percent) * (n * 100 // percent + 1 if side == 0 else size)
+                        most = (top + best) // (100 + percent) + 1
+                        if most <= 0 or not len(items):
+                            continue
+                        often = counts[_counters_of(hub, items, side)]
+                        order = np.lexsort((items, often))[:most]
+                        place = np.flatnonzero(often[order] > 1)
+                        rows += [k] * len(place)
+                        for column, value in zip(out, (np.full(len(place), side), items[order[place]], place, top - (100 + percent) * place)):
+                            column.append(value)
+                take = pa.array(rows, pa.int64())
+                tail = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out]
+                head = [part.column(i).take(take) for i in range(4)] + [pa.array([sizes[1][k] for k in rows], pa.int64()), pa.array([sizes[0][k] for k in rows], pa.int64())]
+                yield pa.RecordBatch.from_arrays(head + tail, names=names)
+
+    return around.select("hub", "node", "n", "size", "more", "miss").mapInArrow(post, "hub binary, node binary, n bigint, size bigint, m bigint, p bigint, side bigint, item bigint, place bigint, reach bigint")
+
+
+def near_links(around: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of a hub's candidates, of different components, that share or miss something besides the centre."""
+    items, _ = written(_rooted(item_postings(around, percent), roots), "beyond-centres")
+    base = F.col("x.size") - F.col("x.m") - F.col("y.m")
     left = lambda total: F.least(F.col(f"x.{total}") - F.col("x.place"), F.col(f"y.{total}") - F.col("y.place"))
     # With a common item beyond the centre, what they miss both is only bounded; without one, it is all.
     bound = F.when(F.col("x.side") == 0, base + F.least("x.m", "y.m") + left("p")).otherwise(base + left("m"))
     met = _meet(items, ("hub", "side", "item"), _enough(bound, F.col("x.n"), F.col("y.n"), percent), percent)
-    met = met.select(F.col("x.hub").alias("hub"), *ends).distinct()
+    met, _ = written(met.select(F.col("x.hub").alias("hub"), *_ends()).distinct(), "met")
     # The two candidates' lists give their whole overlap.
-    side = lambda s: placed.select("hub", F.col("node").alias(s), F.struct("n", "size", "m", "more", "miss").alias(f"at_{s}"))
+    asked = met.select("hub", F.col("a").alias("node")).unionByName(met.select("hub", F.col("b").alias("node"))).distinct()
+    told, _ = written(around.join(written(asked, "asked")[0], ["hub", "node"], "left_semi"), "told")
+    side = lambda s: told.select("hub", F.col("node").alias(s), F.struct("n", "size", "more", "miss").alias(f"at_{s}"))
     both = met.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"])
-    common = F.col("at_a.size") - F.col("at_a.m") - F.col("at_b.m") + F.size(F.array_intersect("at_a.miss", "at_b.miss")) + F.size(F.array_intersect("at_a.more", "at_b.more"))
-    met = both.where(_enough(common, F.col("at_a.n"), F.col("at_b.n"), percent)).select("a", "b")
-    return in_lists.unionByName(met).distinct()
+    common = F.col("at_a.size") - F.size("at_a.miss") - F.size("at_b.miss") + F.size(F.array_intersect("at_a.miss", "at_b.miss")) + F.size(F.array_intersect("at_a.more", "at_b.more"))
+    return both.where(_enough(common, F.col("at_a.n"), F.col("at_b.n"), percent)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, match: int = 42) -> DataFrame:
@@ -367,13 +465,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, match: i
         nodes, _ = written(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("sig").alias("sig")), "nodes")
         posted, _ = written(postings(nodes, token_counters(nodes), match), "postings")
         lists = hubbed_lists(posted)
-        spokes = lists.where((F.col("node") != F.col("hub")) & _like_sizes("n", "hub_n", percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        known = confirmed(written(spokes, "spokes")[0], nodes, docs, words, percent)
+        spokes = lists.where((F.col("node") != F.col("hub")) & _like_sizes("n", "hub_n", NEAR)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        spokes, _ = written(colliding(spokes, nodes, GLIMPSE), "spokes")
+        known = confirmed(spokes, nodes, docs, words, percent)
         around = around_centres(known.where("near"))
         links = known.where("linked").select("a", "b").unionByName(central_links(around, percent))
         first = written(components(links), "first-roots")[0]
-        more = written(colliding(residual_pairs(lists, known, around, first, match, percent), nodes, match), "more-pairs")[0]
-        links = links.unionByName(confirmed(more, nodes, docs, words, percent).where("linked").select("a", "b"))
+        links = links.unionByName(written(near_links(around, first, percent), "near-links")[0])
+        far = written(colliding(far_pairs(lists, known, first, match, percent), nodes, match), "far-pairs")[0]
+        links = links.unionByName(confirmed(far, nodes, docs, words, percent, near=101).where("linked").select("a", "b"))
         roots = components(links)
         placed = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         ids = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
