@@ -194,9 +194,9 @@ def colliding(pairs: DataFrame, nodes: DataFrame, match: int) -> DataFrame:
 
 def full_texts(needed: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """node, text: one row for each needed node, however many rows repeat its document."""
-    # Written, so that its true size decides whether texts are dealt to it or it is sent to the texts.
-    holders, _ = written(nodes.join(needed, "node").select("node", F.col("rep").alias("holder")), "holders")
-    texts = holders.join(docs.selectExpr("cast(doc_id as bigint) as holder", "text"), "holder").select("node", "text")
+    holders = nodes.join(needed, "node").select("node", F.col("rep").alias("holder"))
+    # One plan at all sizes: holders grow with the documents, so texts are dealt to them.
+    texts = holders.hint("merge").join(docs.selectExpr("cast(doc_id as bigint) as holder", "text"), "holder").select("node", "text")
 
     def own(batches):
         from xxhash import xxh3_128_digest
