@@ -87,10 +87,10 @@ def train(labelled: DataFrame) -> list[float]:
     nothing = F.array().cast("array<struct<at:int,v:double>>")
     held = by_bucket.agg(F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("held"))
     column = lambda k: F.coalesce(F.element_at("held", k), nothing)
-    # Two tables of one row each.
-    one = one.select(F.lit(0).alias("o"), F.transform("rows", lambda r: r["y"]).alias("y"), F.transform("rows", lambda r: r["x"]).alias("x"))
-    held = held.select(F.lit(0).alias("o"), F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), column).alias("columns"))
-    one = one.join(held, "o")
+    # Two tables of one row each, put side by side.
+    one = one.select(F.transform("rows", lambda r: r["y"]).alias("y"), F.transform("rows", lambda r: r["x"]).alias("x"))
+    held = held.select(F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), column).alias("columns"))
+    one = one.unionByName(held, allowMissingColumns=True).agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("y", "x", "columns")])
     along = lambda sparse, dense: F.aggregate(sparse, F.lit(0.0), lambda s, e: s + e["v"] * F.element_at(dense, e["at"]))
 
     # Both classes weigh the same, so that unwanted URLs, the fewer, aren't drowned.
