@@ -22,13 +22,14 @@ words leaves few units.  For windows, t/(2-t) of a template's bigrams must be in
 the rest of the text, and in the longest window from a start.
 
 Templates are a list on the driver (at most ``MAX_TEMPLATES``) and become
-expressions.  Null and empty texts, and texts without a licence, have licence
+one constant.  Null and empty texts, and texts without a licence, have licence
 null and dice 0.  Ties go to the template that sorts first.  Each row is judged
 alone, with no shuffle, so repeated rows need no rule.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -147,6 +148,18 @@ def anchors(bigrams: list[str], threshold: float) -> list[str]:
     return chosen
 
 
+def any_of(words: list[str]) -> str:
+    """A pattern of whole words that tries each letter once, as words with the same beginning share it."""
+
+    def branch(rest: list[str]) -> str:
+        firsts = sorted({w[0] for w in rest if w})
+        ways = [f + branch([w[1:] for w in rest if w and w[0] == f]) for f in firsts]
+        body = ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})" if ways else ""
+        return f"(?:{body})?" if body and "" in rest else body
+
+    return rf"(?<![a-z0-9])(?=[{''.join(sorted({w[0] for w in words}))}]){branch(words)}(?![a-z0-9])"
+
+
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))
 
@@ -166,33 +179,42 @@ def length_of(text: str) -> int:
 
 
 WINDOW = "array<struct<low:int,high:int,dice:double,licence:string>>"
+TEMPLATE = "array<struct<licence:string,grams:array<string>,size:int,need:int,longest:int>>"
 
 
-def _windows(pairs: Column, known_pairs: Column, licence: str, template: list[str], length: int, threshold: float) -> Column:
+def _windows(pairs: Column, known_pairs: Column, template: Column) -> Column:
     """Each window of ``pairs`` that matches the template: first and last position, dice, licence.  ``known_pairs`` are those in any template."""
-    # A shade lower and longer, against rounding; the coefficient itself decides.
-    need = max(1, math.ceil(threshold / (2 - threshold) * len(template) - 1e-9))
-    longest = math.floor((2 - threshold) / threshold * length + 1e-9)
-    known = F.lit(template)
 
     def common(bigrams: Column) -> Column:
-        return F.size(F.array_intersect(bigrams, known))
+        return F.size(F.array_intersect(bigrams, template["grams"]))
 
     def measured(low: Column, high: Column) -> Column:
         window = F.slice(pairs, low + 1, high - low + 1)
-        dice = 2.0 * common(window) / (F.size(F.array_distinct(window)) + len(template))
-        return F.struct(low.alias("low"), high.alias("high"), dice.alias("dice"), F.lit(licence).alias("licence"))
+        dice = 2.0 * common(window) / (F.size(F.array_distinct(window)) + template["size"])
+        return F.struct(low.alias("low"), high.alias("high"), dice.alias("dice"), template["licence"].alias("licence"))
 
     def search(at: Column) -> Column:
         def ends(low: Column, k: Column) -> Column:
-            near = F.filter(F.slice(at, k + need, longest), lambda high: high - low < longest)
-            found = F.filter(F.transform(near, lambda high: measured(low, high)), lambda m: m["dice"] >= threshold)
-            return F.when(common(F.slice(pairs, low + 1, longest)) >= need, found).otherwise(F.array().cast(WINDOW))
+            near = F.filter(F.slice(at, k + template["need"], template["longest"]), lambda high: high - low < template["longest"])
+            found = F.filter(F.transform(near, lambda high: measured(low, high)), lambda m: m["dice"] >= F.col("threshold"))
+            return F.when(common(F.slice(pairs, low + 1, template["longest"])) >= template["need"], found).otherwise(F.array().cast(WINDOW))
 
         return F.flatten(F.transform(at, ends))
 
-    hits = F.array_compact(F.transform(pairs, lambda p, i: F.when(p.isin(template), i)))
-    return F.when(common(known_pairs) >= need, F.flatten(F.transform(F.array(hits), search))).otherwise(F.array().cast(WINDOW))
+    hits = F.array_compact(F.transform(pairs, lambda p, i: F.when(F.array_contains(template["grams"], p), i)))
+    return F.when(common(known_pairs) >= template["need"], F.flatten(F.transform(F.array(hits), search))).otherwise(F.array().cast(WINDOW))
+
+
+def _known(texts: list[tuple[str, str]], threshold: float) -> Column:
+    """The templates as one constant: they are data to the expressions, which don't grow with them."""
+    rows = []
+    for licence, text in texts:
+        grams = bigrams_of(text)
+        # A shade lower and longer, against rounding; the coefficient itself decides.
+        need = max(1, math.ceil(threshold / (2 - threshold) * len(grams) - 1e-9))
+        longest = math.floor((2 - threshold) / threshold * length_of(text) + 1e-9)
+        rows.append({"licence": licence, "grams": grams, "size": len(grams), "need": need, "longest": longest})
+    return F.from_json(F.lit(json.dumps(rows)), TEMPLATE)
 
 
 def scan(docs: DataFrame, templates: dict[str, str | list[str]] = ALL, threshold: float = 0.8) -> DataFrame:
@@ -204,27 +226,30 @@ def scan(docs: DataFrame, templates: dict[str, str | list[str]] = ALL, threshold
     if not all(b for _, b in sets):
         raise ValueError("a template needs two words at least")
     words = sorted({w for _, b in sets for w in anchors(b, threshold)})
-    pattern = rf"(?<![a-z0-9])({'|'.join(words)})(?![a-z0-9])"
+    pattern = any_of(words)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     lower = F.lower(F.coalesce("text", F.lit("")))
     units = F.when(lower.rlike(pattern), F.split(lower, UNIT)).otherwise(F.array().cast("array<string>"))
     none = F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("licence"))
 
+    known = _known(texts, threshold)
+
     def best(bigrams: Column) -> Column:
         size = F.size(bigrams)
-        scored = []
-        for name, template in sets:
-            dice = 2.0 * F.size(F.array_intersect(bigrams, F.lit(template))) / (size + len(template))
-            scored.append(F.struct(F.when((size >= low * len(template)) & (size <= high * len(template)), dice).otherwise(0.0).alias("dice"), F.lit(name).alias("licence")))
-        return F.reduce(F.array(*scored), F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("licence")), lambda a, b: F.when(b["dice"] > a["dice"], b).otherwise(a))
+        like = lambda t: (size >= low * t["size"]) & (size <= high * t["size"])
+        dice = lambda t: F.when(like(t), 2.0 * F.size(F.array_intersect(bigrams, t["grams"])) / (size + t["size"])).otherwise(0.0)
+        scored = F.transform(known, lambda t: F.struct(dice(t).alias("dice"), t["licence"].alias("licence")))
+        return F.reduce(scored, F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("licence")), lambda a, b: F.when(b["dice"] > a["dice"], b).otherwise(a))
 
     judged = F.transform(units, lambda u: F.when(u.rlike(pattern), F.transform(F.array(_bigrams(u)), best)[0]).otherwise(none))
     split = docs.select("doc_id", units.alias("u"), judged.alias("m"))
     # An empty word stands for a full unit; it is in no template.
     rest = F.flatten(F.zip_with("u", "m", lambda u, m: F.when(m["dice"] == 1, F.array(F.lit(""))).otherwise(_words(u))))
     split = split.select("doc_id", F.filter("m", lambda m: m["dice"] >= threshold).alias("m"), _pairs(rest).alias("p"))
-    split = split.withColumn("k", F.array_distinct(F.filter("p", lambda p: p.isin(sorted({x for _, b in sets for x in b})))))
-    windows = F.flatten(F.array(*[_windows(F.col("p"), F.col("k"), k, b, length_of(t), threshold) for (k, t), (_, b) in zip(texts, sets)]))
+    # Bigrams are of a-z, 0-9 and blanks only, so they can be quoted.
+    every_gram = ", ".join(f"'{x}'" for x in sorted({x for _, b in sets for x in b}))
+    split = split.withColumn("k", F.expr(f"array_distinct(filter(p, x -> x in ({every_gram})))")).withColumn("threshold", F.lit(float(threshold)))
+    windows = F.flatten(F.transform(known, lambda t: _windows(F.col("p"), F.col("k"), t)))
     found = split.select("doc_id", "m", F.when(F.size("k") > 0, F.array_sort(windows)).otherwise(F.array().cast(WINDOW)).alias("w"))
     # Windows that overlap are one place; they hold what matched in units that aren't full.
     places = F.reduce("w", F.struct(F.lit(-1).alias("end"), F.lit(0).alias("n")), lambda a, w: F.struct(F.greatest(a["end"], w["high"]).alias("end"), (a["n"] + (w["low"] > a["end"]).cast("int")).alias("n")), lambda a: a["n"])

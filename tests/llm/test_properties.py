@@ -65,3 +65,14 @@ def test_tight_clusters_don_t_trap_the_search(unit, longer, least):
     near = Graph(x).nearest(q)
     best = np.argsort(-(q.astype(np.float64) @ x.T.astype(np.float64)), axis=1, kind="stable")[:, :20]
     assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(best, near)]) >= least
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab0", min_size=1, max_size=4), min_size=1, max_size=8), st.text(alphabet="ab0 -", max_size=12))
+def test_one_pattern_for_many_words(words, text):
+    import re
+
+    from keyfold.llm.licenses import any_of
+
+    plain = re.search(rf"(?<![a-z0-9])({'|'.join(words)})(?![a-z0-9])", text)
+    assert bool(re.search(any_of(words), text)) == bool(plain)
