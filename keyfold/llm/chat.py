@@ -113,9 +113,27 @@ def _between(p: Column) -> Column:
     return F.substring_index(body, END, 1)
 
 
-def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+def _cut(text: Column, size: int) -> Column:
+    """The text in blocks of ``size`` code points."""
+    last = ((F.greatest(F.length(text), F.lit(1)) - 1) / size).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * size + 1, F.lit(size)))
+
+
+def loss_text(formatted: Column, spans: Column, block: int = 1024, wide: int = 64) -> Column:
+    """All text under the mask, unescaped.
+
+    A position in a text is found by walking to it; so the text is cut into wide
+    blocks, these into small ones, and a span is read from the few that it touches.
+    """
+    small = F.flatten(F.transform(_cut(formatted, block * wide), lambda b: _cut(b, block)))
+
+    def read(blocks: Column, s: Column) -> Column:
+        first, last = (s["start"] / block).cast("int"), ((s["start"] + F.greatest(s["length"], F.lit(1)) - 1) / block).cast("int")
+        near = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+        return unescape(F.substring(near, (s["start"] - first * block + 1).cast("int"), s["length"].cast("int")))
+
+    # The blocks are bound once by the outer transform.
+    return F.element_at(F.transform(F.array(small), lambda blocks: F.array_join(F.transform(spans, lambda s: read(blocks, s)), "")), 1)
 
 
 def digest(chats: DataFrame) -> DataFrame:

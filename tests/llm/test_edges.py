@@ -444,6 +444,20 @@ def test_rows_that_repeat_an_id_are_candidates(spark):
     assert all(v != 40 for _, v, _ in got[40]) and len(got[0]) == 20
 
 
+def test_spans_are_read_across_blocks(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(40):
+        text = "".join(rng.choice("aé🙂\\0b") for _ in range(rng.randrange(0, 90)))
+        spans = sorted((at, rng.randrange(0, len(text) - at + 1)) for at in (rng.randrange(len(text) + 1) for _ in range(5)))
+        rows.append((k, text, spans))
+    frame = spark.createDataFrame(rows, "k int, t string, s array<struct<start:bigint,length:bigint>>")
+    plain = lambda x: x.replace("\\2", "[").replace("\\1", "<").replace("\\0", "\\")
+    for block, wide in ((4, 3), (1, 1), (1024, 64)):
+        got = {r["k"]: r["x"] for r in frame.select("k", chat.loss_text(F.col("t"), F.col("s"), block, wide).alias("x")).collect()}
+        assert got == {k: "".join(plain(t[a : a + n]) for a, n in s) for k, t, s in rows}
+
+
 def test_recall_on_the_embeddings(spark):
     frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r["vec_id"], list(r["embedding"])) for r in frame.select("vec_id", "embedding").collect()]
