@@ -25,7 +25,8 @@ for w = (100 - percent) / 2 * size - 100 m - percent * p.  So both are linked
 to the candidate of the greatest w, and one star for each hub stands for all
 these pairs.  The stars make first components.  What is left:
   - candidates that share a shingle beyond the centre, or miss one both, meet
-    under these shingles, rare ones first.  Each such place bounds what a
+    under these shingles, rare ones first; only under those that several
+    components of a hub's candidates have.  Each such place bounds what a
     candidate can share from there on; like w, the bounds of two add up, so
     candidates that can't reach any partner go before pairs are formed, and one
     of a pair has a bound of 0 or more;
@@ -63,6 +64,8 @@ NEAR, CORE = 25, 60
 #: Nodes that collide with a hub in fewer coordinates aren't compared with it on full sets; nodes of a higher similarity
 #: with the hub than CLEAR per cent aren't sought for them.
 GLIMPSE, CLEAR = 8, 55
+#: A hub of more candidates or more items than these is wide: its candidates are dealt to parts of about as many.
+WIDE = 256, 1 << 18
 _U = np.uint64
 _rng = np.random.default_rng(20_240_501)
 _A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * _U(2) + _U(1)
@@ -314,14 +317,18 @@ def _enough(common, n_x, n_y, percent: int):
     return 100 * common >= percent * (n_x + n_y - common)
 
 
+def _far(percent: int):
+    """How far a candidate is from a w of its size."""
+    return (100 * F.size("miss") + percent * F.size("more")).alias("far")
+
+
 def central_links(around: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of each hub's candidates to the one with the greatest w, from exact overlaps.
 
     x and y have the centre less what either misses in common, and what they
     have beyond it both: size - |miss| - |miss| + shared of miss and of more.
     """
-    far = 100 * F.size("miss") + percent * F.size("more")
-    nearest = around.groupBy("hub").agg(F.min(F.struct(far.alias("far"), "node", "n", "more", "miss")).alias("z"))
+    nearest = around.groupBy("hub").agg(F.min(F.struct(_far(percent), "node", "n", "more", "miss")).alias("z"))
     nearest, _ = written(nearest, "nearest")
     both = around.join(nearest, "hub").where(F.col("node") != F.col("z.node"))
     common = F.col("size") - F.size("miss") - F.size("z.miss") + F.size(F.array_intersect("miss", "z.miss")) + F.size(F.array_intersect("more", "z.more"))
@@ -387,61 +394,102 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return np.split(values, ends[:-1]) if len(ends) else []
 
 
-def item_postings(around: DataFrame, percent: int) -> DataFrame:
-    """hub, node, n, size, m, p, side, item, place, reach: the items of each candidate under which partners may be found.
+def undecided(around: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """around, root, main, best_0, best_1, parts of the candidates that may have a link of which nothing is known yet.
+
+    All overlaps with the hub are known, and all with the candidate of the
+    greatest w, so neither has to be met again; nor do candidates of one
+    component.  So a hub whose others are one component, or a single one, has
+    nothing left.  main is the component that most of a hub's others are in, best
+    the greatest reach of one of them for each side, parts the number of parts if
+    the hub is wide, else 0.
+    """
+    nearest = around.groupBy("hub").agg(F.min(F.struct(_far(percent), "node"))["node"].alias("z"))
+    rows = around.join(written(nearest, "nearest-nodes")[0], "hub").where((F.col("node") != F.col("hub")) & (F.col("node") != F.col("z"))).drop("z")
+    rows, _ = written(_rooted(rows, roots), "others")
+    tops = [F.max(top).alias(f"best_{side}") for side, top in enumerate(_tops(percent, F.col("n"), F.col("size"), F.size("miss"), F.size("more")))]
+    each = rows.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("k"), F.sum(F.size("more") + F.size("miss")).alias("items"), *tops)
+    fill = F.greatest(F.sum("k") / WIDE[0], F.sum("items") / WIDE[1])
+    hubs = each.groupBy("hub").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main"), F.max("best_0").alias("best_0"), F.max("best_1").alias("best_1"), F.when(fill > 1, F.ceil(2 * fill)).otherwise(0).cast("bigint").alias("parts"))
+    return written(rows.join(written(hubs.where("roots > 1").drop("roots"), "open-hubs")[0], "hub"), "undecided")[0]
+
+
+def _tops(percent: int, n, size, m, p):
+    """For each side, twice what a candidate has over the limit if its partner has the same.
+
+    Shared beyond the centre, all else may be in common; if nothing is, what both
+    miss gives back half of what each misses.
+    """
+    return (100 - percent) * n, (100 - percent) * (size - m) - 2 * percent * p
+
+
+def item_postings(open_rows: DataFrame, percent: int) -> DataFrame:
+    """hub, node, n, size, m, p, root, side, item, place, reach: the items of each candidate under which partners may be found.
 
     side 0: what it has beyond the centre; side 1: what it misses.  Rare items
-    first, as far as hashed counters tell: what two candidates share can't be
-    before the first that they share.  Only places from which the likeliest
-    partner could still be reached are posted, and only items whose counter says
-    that another candidate may have them.
+    first: what two candidates share can't be before the first that they share.
+    Only places from which the likeliest partner could still be reached are posted.
+    A hub's candidates are counted together, so only items that several components
+    have there are posted, however large the table.  A wide hub's are dealt to
+    many tasks, and hashed counters tell which items others may have, and which
+    ones outside the main component.
     """
 
     def counters(record):
         for hub, more, miss in zip(record.column(0).to_pylist(), _lists(record.column(1)), _lists(record.column(2))):
             yield np.concatenate([_counters_of(hub, more, 0), _counters_of(hub, miss, 1)])
 
-    shared = around.sparkSession.sparkContext.broadcast(_counted(counters, around.select("hub", "more", "miss")))
-    names = ["hub", "node", "n", "size", "m", "p", "side", "item", "place", "reach"]
-
-    def post(batches):
-        counts = shared.value
-        for record in batches:
-            for low in range(0, record.num_rows, 1024):
-                part = record.slice(low, 1024)
-                rows: list[int] = []
-                out: list[list[np.ndarray]] = [[] for _ in range(4)]
-                hubs, n_of, size_of = part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()
-                lists = (_lists(part.column(4)), _lists(part.column(5)))
-                sizes = [len(x) for x in lists[0]], [len(x) for x in lists[1]]
-                for k, hub in enumerate(hubs):
-                    n, size, p, m = n_of[k], size_of[k], sizes[0][k], sizes[1][k]
-                    for side in (0, 1):
-                        items = lists[side][k]
-                        # Twice what it has over the limit if its partner has the same from this place on: shared beyond the
-                        # centre, all else may be in common; if nothing is, what both miss gives back half of what each misses.
-                        top = (100 - percent) * n if side == 0 else (100 - percent) * (size - m) - 2 * percent * p
-                        best = (100 - percent) * (n * 100 // percent + 1 if side == 0 else size)
-                        most = (top + best) // (100 + percent) + 1
-                        if most <= 0 or not len(items):
-                            continue
-                        often = counts[_counters_of(hub, items, side)]
-                        order = np.lexsort((items, often))[:most]
-                        place = np.flatnonzero(often[order] > 1)
-                        rows += [k] * len(place)
-                        for column, value in zip(out, (np.full(len(place), side), items[order[place]], place, top - (100 + percent) * place)):
-                            column.append(value)
-                take = pa.array(rows, pa.int64())
-                tail = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out]
-                head = [part.column(i).take(take) for i in range(4)] + [pa.array([sizes[1][k] for k in rows], pa.int64()), pa.array([sizes[0][k] for k in rows], pa.int64())]
-                yield pa.RecordBatch.from_arrays(head + tail, names=names)
-
-    return around.select("hub", "node", "n", "size", "more", "miss").mapInArrow(post, "hub binary, node binary, n bigint, size bigint, m bigint, p bigint, side bigint, item bigint, place bigint, reach bigint")
+    wide = open_rows.where("parts > 0")
+    told = [_counted(counters, rows.select("hub", "more", "miss")) for rows in (wide, wide.where(F.col("root") != F.col("main")))]
+    shared = open_rows.sparkSession.sparkContext.broadcast(told)
+    names = ["hub", "node", "n", "size", "m", "p", "root", "side", "item", "place", "reach"]
+
+    def post(group):
+        part = group.select(["hub", "node", "n", "size", "root", "main", "best_0", "best_1", "parts", "more", "miss"]).combine_chunks().to_batches()[0]
+        hub, alone = part.column(0)[0].as_py(), part.column(8)[0].as_py() == 0
+        n, size = part.column(2).to_numpy(), part.column(3).to_numpy()
+        p, m = (part.column(k).value_lengths().to_numpy().astype(np.int64) for k in (9, 10))
+        roots = part.column(4).dictionary_encode().indices.to_numpy()
+        outside = np.array([root != main for root, main in zip(part.column(4).to_pylist(), part.column(5).to_pylist())])
+        out: list[tuple] = []
+        for side, top in enumerate(_tops(percent, n, size, m, p)):
+            items, of = part.column(9 + side).flatten().to_numpy(), np.repeat(np.arange(len(n)), (p, m)[side])
+            limit = (100 - percent) * (n * 100 // percent + 1 if side == 0 else size)
+            best = np.minimum(limit, part.column(6 + side).to_numpy())
+            if alone:
+                _, back, count = np.unique(items, return_inverse=True, return_counts=True)
+                often = count[back]
+                wanted = often > 1
+            else:
+                at = _counters_of(hub, items, side)
+                often = shared.value[0][at]
+                wanted = (often > 1) & (outside[of] | (shared.value[1][at] > 0))
+            order = np.lexsort((items, often, of))
+            place = np.arange(len(of)) - np.searchsorted(of, np.arange(len(n)))[of]
+            reach = top[of] - (100 + percent) * place
+            near = wanted[order] & (reach + best[of] >= 0)
+            items, of, place, reach = items[order][near], of[near], place[near], reach[near]
+            if alone and len(items):
+                _, back = np.unique(items, return_inverse=True)
+                first, last, most = np.full(back.max() + 1, len(n)), np.full(back.max() + 1, -1), np.full(back.max() + 1, -(1 << 62))
+                np.minimum.at(first, back, roots[of])
+                np.maximum.at(last, back, roots[of])
+                np.maximum.at(most, back, reach)
+                some = (first < last)[back] & (reach + most[back] >= 0) & (most[back] >= 0)
+                items, of, place, reach = items[some], of[some], place[some], reach[some]
+            out.append((of, np.full(len(of), side), items, place, reach))
+        rows, *tail = (np.concatenate(c).astype(np.int64) for c in zip(*out))
+        head = [part.column(i).take(pa.array(rows)) for i in range(4)] + [pa.array(m[rows]), pa.array(p[rows]), part.column(4).take(pa.array(rows))]
+        return pa.Table.from_arrays(head + [pa.array(c) for c in tail], names=names)
+
+    dealt = open_rows.withColumn("part", F.when(F.col("parts") > 0, F.pmod(F.xxhash64("node"), "parts")).otherwise(0))
+    return dealt.groupBy("hub", "part").applyInArrow(post, "hub binary, node binary, n bigint, size bigint, m bigint, p bigint, root binary, side bigint, item bigint, place bigint, reach bigint")
 
 
 def near_links(around: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of a hub's candidates, of different components, that share or miss something besides the centre."""
-    items, _ = written(_rooted(item_postings(around, percent), roots), "beyond-centres")
+    around = undecided(around, roots, percent)
+    items, _ = written(item_postings(around, percent), "beyond-centres")
     base = F.col("x.size") - F.col("x.m") - F.col("y.m")
     left = lambda total: F.least(F.col(f"x.{total}") - F.col("x.place"), F.col(f"y.{total}") - F.col("y.place"))
     # With a common item beyond the centre, what they miss both is only bounded; without one, it is all.

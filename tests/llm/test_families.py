@@ -83,6 +83,41 @@ def test_no_pairs_within_a_hopeless_list(spark):
     assert made[1200] <= 4 * made[300] + 100
 
 
+def test_nothing_is_posted_for_what_is_known(spark, monkeypatch):
+    """Links with a hub, and within a component, are known: items are posted only where several components share them."""
+    rng = random.Random(7)
+    posted, plain = [], neardup.written
+
+    def watched(df, name):
+        out = plain(df, name)
+        posted.extend([out[0].count()] if name == "beyond-centres" else [])
+        return out
+
+    monkeypatch.setattr(neardup, "written", watched)
+    # One linked family, each copy with a word of its own, and families of three unlinked pages.
+    base = [f"a{i}" for i in range(150)]
+    texts = [" ".join(base[:at] + [f"e{at}"] + base[at + 1 :]) for at in rng.sample(range(150), 60)]
+    for k in range(20):
+        texts += [" ".join(f"b{k}{w}" for w in text.split()) for text in templated(rng, 80, 30, 3)]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == neardup.brute_force(rows)
+    assert posted == [0]
+
+
+@pytest.mark.parametrize("wide", [(1, 1), (8, 1 << 18), (256, 100)])
+def test_wide_hubs_match_all_pairs(spark, monkeypatch, wide):
+    monkeypatch.setattr(neardup, "WIDE", wide)
+    rng = random.Random(8)
+    texts = [t for k in range(3) for t in family(rng, 90, 40, 5, [f"p{i}" for i in range(30)], f"f{k}_")]
+    for k, (shared, own, groups, sub, pool) in enumerate([(60, 6, 3, 6, 30), (80, 8, 3, 12, 4), (50, 4, 1, 0, 30)]):
+        texts += [" ".join(f"t{k}{w}" for w in text.split()) for text in templated(rng, shared, own, 40, groups, sub, pool)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == neardup.brute_force(rows)
+
+
 def test_many_repeats_of_a_row(spark):
     texts = templated(random.Random(6), 90, 1, 2)
     rows = [(k % 2, texts[k % 2]) for k in range(2000)] + [(7, texts[0]), (0, "another text with the same number")]
