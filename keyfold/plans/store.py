@@ -14,6 +14,10 @@ which only the version that commits it lists; a writer that loses removes its
 folder and tries again on the new version.  Files that a version no longer lists
 stay until ``vacuum``.
 
+Runs that follow each other share a file: a part of some ``PART_BYTES``, or of
+one run where runs are larger, sorted by run and key.  So the files, folders and
+tasks of a batch follow its bytes and not the number of its runs.
+
 Run metadata (one row a run, some 100 bytes) is the only data on the driver.
 """
 
@@ -25,6 +29,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +41,9 @@ from keyfold.operators.log import entries, lookup, newest, scan
 
 ENTRY = "key binary, tombstone boolean, value binary, seq bigint"
 CHECKPOINT_EVERY = 16
+PART_BYTES = 16 << 20
+#: Run ids of one part: its own number, which is that of its first run, and those up to the next.
+PART_IDS = 1 << 20
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
@@ -178,7 +186,7 @@ class Store:
 
     def next_run_id(self) -> int:
         """Above all runs ever written, listed or not."""
-        on_disk = [int(n.split("run_id=")[1]) for n in self.files.matching(f"{self.path}/runs/attempt=*/run_id=*")]
+        on_disk = [int(n.split("part=")[1]) + PART_IDS - 1 for n in self.files.matching(f"{self.path}/runs/attempt=*/part=*")]
         return max([r["run_id"] for r in self.live_runs()] + on_disk, default=0) + 1
 
     # Runs.
@@ -187,31 +195,40 @@ class Store:
         """The entries of runs, each with run_id and level."""
         if not listed:
             return self.spark.createDataFrame([], f"{schema}, run_id bigint, level int")
-        frame = self.spark.read.schema(f"{schema}, run_id bigint, attempt string").option("basePath", f"{self.path}/runs").parquet(*[f"{self.path}/runs/{r['attempt']}/run_id={r['run_id']}" for r in listed]).drop("attempt")
+        frame = self.spark.read.schema(f"{schema}, run_id bigint").parquet(*sorted({self._part(r) for r in listed}))
         levels = self.spark.createDataFrame([(r["run_id"], r["level"]) for r in listed], "run_id bigint, level int")
-        # One short row a run: far below any broadcast limit for the runs that one plan can list.
-        return frame.join(levels, "run_id") if len({r["level"] for r in listed}) > 1 else frame.withColumn("level", F.lit(listed[0]["level"]))
+        # A part may hold other runs too.  One short row a run: far below any broadcast limit for the runs that one plan can list.
+        return frame.join(F.broadcast(levels), "run_id")
+
+    def _part(self, run: dict) -> str:
+        return f"{self.path}/runs/{run['attempt']}/part={run['part']}"
 
     def _write(self, frame: DataFrame, level: int, folder: str) -> list[dict]:
-        """Writes entries with a run_id into a new folder, sorted by key inside each run, and describes the runs."""
-        frame.select("key", "tombstone", "value", "seq", "run_id").repartition("run_id").sortWithinPartitions("run_id", "key").write.partitionBy("run_id").parquet(f"{self.path}/runs/{folder}")
-        ids = [int(n.split("=")[1]) for n in self.files.names(f"{self.path}/runs/{folder}") if n.startswith("run_id=")]
-        if not ids:
+        """Writes cut entries (with a part and a run_id) into a new folder, sorted by key inside each run, and describes the runs."""
+        # Dealt by part already, for the cut: no shuffle comes here.
+        frame.select("key", "tombstone", "value", "seq", "run_id", "part").sortWithinPartitions("part", "run_id", "key").write.partitionBy("part").parquet(f"{self.path}/runs/{folder}")
+        parts = [n for n in self.files.names(f"{self.path}/runs/{folder}") if n.startswith("part=")]
+        if not parts:
             return []
-        meta = runs.describe(self._read([{"run_id": i, "level": level, "attempt": folder} for i in ids])).collect()
-        return [{"run_id": r["run_id"], "level": level, "attempt": folder, "entry_count": r["entry_count"], "size_bytes": r["size_bytes"], "min_key": bytes(r["min_key"]).hex(), "max_key": bytes(r["max_key"]).hex()} for r in meta]
+        written = self.spark.read.schema(f"{ENTRY}, run_id bigint").parquet(*[f"{self.path}/runs/{folder}/{n}" for n in parts])
+        meta = runs.describe(written.withColumn("level", F.lit(level))).collect()
+        firsts = np.sort([int(n.split("=")[1]) for n in parts])
+        part = lambda run_id: int(firsts[np.searchsorted(firsts, run_id, "right") - 1])
+        return [{"run_id": r["run_id"], "level": level, "attempt": folder, "part": part(r["run_id"]), "entry_count": r["entry_count"], "size_bytes": r["size_bytes"], "min_key": bytes(r["min_key"]).hex(), "max_key": bytes(r["max_key"]).hex()} for r in meta]
 
     def _cut(self, rows: DataFrame, first_id: int, target: int, order: str) -> DataFrame:
-        """Numbers runs of about ``target`` bytes along an order, in parallel: by range partitions and running sums inside them.
+        """Numbers runs of about ``target`` bytes along an order, in parallel: by range partitions (parts) and running sums inside them.
 
         Numbers rise along the order but have gaps.
         """
         sized = runs.sized(rows)
         total = sized.agg(F.sum("size").alias("b")).first()["b"] or 0
-        ranged = sized.repartitionByRange(max(1, -(-total // target)), order).withColumn("part", F.spark_partition_id())
+        # Far fewer runs a part than it has ids, however small they are.
+        bytes_ = max(target, min(PART_BYTES, target * (PART_IDS >> 4)))
+        ranged = sized.repartitionByRange(max(1, -(-total // bytes_)), order).withColumn("part", F.lit(first_id) + F.spark_partition_id().cast("bigint") * F.lit(PART_IDS))
         inside = Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         file = F.floor(F.coalesce(F.sum("size").over(inside), F.lit(0)) / target)
-        return ranged.withColumn("run_id", (F.lit(first_id) + F.col("part") * F.lit(1 << 20) + file).cast("bigint"))
+        return ranged.withColumn("run_id", (F.col("part") + file).cast("bigint"))
 
     def apply(self, log: DataFrame, batch: int | None = None, policy: RetryPolicy = RetryPolicy()) -> None:
         """Writes a batch of mutations as runs of level 0.  Its seq must be above all earlier ones.
@@ -225,7 +242,7 @@ class Store:
                 return
             base, first_id = self.version(), self.next_run_id()
             cut = self._cut(entries(log), first_id, self.config.memtable_bytes, "seq")
-            added = self._write(newest(cut, F.col("seq").desc(), within=("run_id",)), 0, folder)
+            added = self._write(newest(cut, F.col("seq").desc(), within=("part", "run_id")), 0, folder)
             self._commit(set(), added, base, batch)
 
         retry_if(policy, lambda: self._attempt(flush), lambda e: is_transient(e) or isinstance(e, CommitConflict))
@@ -246,25 +263,34 @@ class Store:
 
     def _due(self, broken: set[int]) -> int | None:
         """The level with the highest score of at least 1, in 32-bit floats; the deepest of equals."""
-        import numpy as np
-
         levels: dict[int, list[dict]] = {}
         for r in self.live_runs():
             levels.setdefault(r["level"], []).append(r)
         scored = []
         for level, listed in levels.items():
-            amount, target = (len(listed), self.config.level_0_runs) if level == 0 else (sum(r["size_bytes"] for r in listed), self.config.level_target(level))
-            if (score := np.float32(amount) / np.float32(target)) >= 1 and level not in broken:
+            amount = len(listed) if level == 0 else sum(r["size_bytes"] for r in listed)
+            if (score := self._score(level, amount)) >= 1 and level not in broken:
                 scored.append((score, level))
         return max(scored)[1] if scored else None
 
+    def _score(self, level: int, amount: int) -> np.float32:
+        """Runs of level 0, bytes of others, over their target."""
+        return np.float32(amount) / np.float32(self.config.level_0_runs if level == 0 else self.config.level_target(level))
+
     def pick(self, level: int) -> list[dict]:
-        """What a merge from this level into the next takes."""
+        """What a merge from this level into the next takes: of a level of 1 or more, the first runs by keys.
+
+        As many as bring the level below its target, one at least, so the merges of
+        a compaction follow the number of levels and not that of runs.
+        """
         listed = self.live_runs()
-        if level == 0:
-            chosen = [r for r in listed if r["level"] == 0]
-        else:
-            chosen = [min((r for r in listed if r["level"] == level), key=lambda r: (r["min_key"], r["max_key"], r["run_id"]))]
+        chosen = [r for r in listed if r["level"] == level]
+        if level > 0:
+            chosen.sort(key=lambda r: (r["min_key"], r["max_key"], r["run_id"]))
+            left, n = sum(r["size_bytes"] for r in chosen), 0
+            while n == 0 or (n < len(chosen) and self._score(level, left) >= 1):
+                left, n = left - chosen[n]["size_bytes"], n + 1
+            chosen = chosen[:n]
         low, high = min(r["min_key"] for r in chosen), max(r["max_key"] for r in chosen)
         return chosen + [r for r in listed if r["level"] == level + 1 and r["min_key"] <= high and r["max_key"] >= low]
 
@@ -293,9 +319,9 @@ class Store:
         return lookup(self.latest(), probes)
 
     def vacuum(self) -> int:
-        """Removes the files of runs that the present version doesn't list.  No other writer may be at work."""
-        keep = {f"{r['attempt']}/run_id={r['run_id']}" for r in self.live_runs()}
-        gone = [n for n in self.files.matching(f"{self.path}/runs/attempt=*/run_id=*") if n not in keep]
+        """Removes the parts of which the present version lists no run, and returns their number.  No other writer may be at work."""
+        keep = {f"{r['attempt']}/part={r['part']}" for r in self.live_runs()}
+        gone = [n for n in self.files.matching(f"{self.path}/runs/attempt=*/part=*") if n not in keep]
         for name in gone:
             self.files.remove(f"{self.path}/runs/{name}")
         for folder in {n.split("/")[0] for n in gone} - {n.split("/")[0] for n in keep}:

@@ -103,6 +103,24 @@ def test_vacuum_keeps_what_is_listed(spark, tmp_path):
     assert store.scan().count() == 3 and store.next_run_id() > max(r["run_id"] for r in store.live_runs())
 
 
+def test_thousands_of_runs_share_files(spark, tmp_path):
+    """A part for each run overflowed a 32-bit number from the 2,048th on, and was a folder, a file and a task."""
+    store = Store(spark, str(tmp_path / "p"), StorageConfig(memtable_bytes=60))
+    store.apply(spark.range(5000).selectExpr("id AS seq", "'SET' AS op", "CAST(lpad(CAST(id % 4000 AS STRING), 8, '0') AS BINARY) AS key", "CAST(lpad(CAST(id AS STRING), 20, '0') AS BINARY) AS value"))
+    listed = store.live_runs()
+    assert len(listed) > 2048 and len({r["run_id"] for r in listed}) == len(listed) and len({r["part"] for r in listed}) == 1
+    assert all(r["size_bytes"] <= 2 * 60 for r in listed) and sum(r["entry_count"] for r in listed) == 5000
+    assert store.scan().count() == 4000 and bytes(store.get(b"00000007").first()["value"]) == b"%020d" % 4007
+    assert store.next_run_id() > max(r["run_id"] for r in listed)
+
+
+def test_merges_follow_levels_not_runs(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "m"), StorageConfig(memtable_bytes=1000, run_bytes=40, level_0_runs=1, level_1_bytes=200, level_growth=4))
+    store.apply(spark.range(300).selectExpr("id AS seq", "'SET' AS op", "CAST(lpad(CAST(id AS STRING), 8, '0') AS BINARY) AS key", "CAST('v' AS BINARY) AS value"))
+    assert store.compact() <= 5 and not store.broken_levels and store._due(set()) is None
+    assert len(store.live_runs()) > 60 and store.scan().count() == 300
+
+
 def test_a_node_recovers_what_a_crash_left(spark, tmp_path):
     config = StorageConfig(memtable_bytes=60, wal_segments=6, level_0_runs=2)
     node = Node(spark, str(tmp_path / "n"), config)
