@@ -128,6 +128,19 @@ class Files:
         p, fs = self._at(path)
         fs.delete(p, True)
 
+    def move(self, path: str, to: str) -> None:
+        p, fs = self._at(path)
+        if not fs.rename(p, self._at(to)[0]):
+            raise CommitConflict(to)
+
+    def local_folder(self, path: str) -> str | None:
+        """A folder's path for tasks that write into it, made if absent; None if the store isn't of local (or mounted) files."""
+        p, fs = self._at(path)
+        if fs.getUri().getScheme() != "file":
+            return None
+        fs.mkdirs(p)
+        return p.toUri().getPath()
+
 
 class Store:
     def __init__(self, spark: SparkSession, path: str, config: StorageConfig = StorageConfig()) -> None:

@@ -4,10 +4,15 @@ A file is decoded by one task; files are the unit of parallelism, as segments
 and runs are of bounded size.  Its rows leave the task in blocks.  Each reader
 has a form that decodes a column of contents, and runs, segments and catalogues
 are encoded into such a column; ``write_files`` puts contents into files.
+
+Tasks write files themselves where the store is of local files, on one machine or
+mounted on all; to other stores, the driver writes them one by one.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 from itertools import groupby, islice
 
@@ -15,8 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyfold.errors import CommitConflict, ExhaustedSegments
 from keyfold.sources import codecs
 
+#: A part of a log that tasks write ends after so many bytes.
+PART_BYTES = 16 << 20
+
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).where(F.col("length") > 0).select("path", "content")
@@ -148,3 +157,71 @@ def write_files(contents: DataFrame, files, path: str, prefix: str) -> int:
         files.create_bytes(f"{path.rstrip('/')}/{prefix}_{number}", bytes(content))
         n += 1
     return n
+
+
+class _Whole:
+    """A local file that gets its name in one step, when it is whole; a file of that name with other bytes is a conflict."""
+
+    def __init__(self, path: str) -> None:
+        folder, name = os.path.split(path)
+        self.path, self.aside, self.size = path, f"{folder}/.{name}.{uuid.uuid4().hex}", 0
+        self.out = open(self.aside, "wb")
+
+    def __enter__(self) -> _Whole:
+        return self
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.size += len(data)
+
+    def __exit__(self, kind, *_) -> None:
+        self.out.close()
+        try:
+            if kind is None:
+                os.link(self.aside, self.path)
+        except FileExistsError:
+            # A task that is tried again finds what it wrote.
+            if not _same(self.aside, self.path):
+                raise CommitConflict(self.path) from None
+        finally:
+            os.remove(self.aside)
+
+
+def _same(one: str, other: str, size: int = 1 << 20) -> bool:
+    with open(one, "rb") as a, open(other, "rb") as b:
+        while (block := a.read(size)) == b.read(size):
+            if not block:
+                return True
+    return False
+
+
+def _commands(frame: pd.DataFrame) -> list[tuple[str, bytes, bytes | None]]:
+    return [(op, bytes(k), None if v is None else bytes(v)) for op, k, v in zip(frame["op"], frame["key"], frame["value"])]
+
+
+def write_parts(log: DataFrame, folder: str, first: int, stride: int, ranges: int) -> list[int]:
+    """Writes a log (seq, op, key, value), in order of seq, as segments into a local folder; returns their orders, which name the files.
+
+    Each of so many ranges of seq is written by one task, as files of some PART_BYTES,
+    whose orders start at first plus the range's number times stride.
+    """
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((int(own), block) for frame in frames for at in range(0, len(frame), 8192) for own, block in frame[at : at + 8192].groupby("range", sort=False))
+        for own, blocks in groupby(rows, key=lambda r: r[0]):
+            blocks, n, held = (b for _, b in blocks), 0, None
+            while (held := next(blocks, None)) is not None:
+                if n == stride:
+                    raise ExhaustedSegments("a range has more parts than orders")
+                order, n, count = first + own * stride + n, n + 1, 0
+                with _Whole(f"{folder}/{order}") as part:
+                    part.write(codecs.encode_order(order))
+                    while held is not None:
+                        part.write(codecs.encode_mutations(_commands(held)))
+                        count += len(held)
+                        # Blocks are far smaller than the half of 2^20 commands that a part may have.
+                        held = next(blocks, None) if part.size < PART_BYTES and count < 1 << 19 else None
+                yield pd.DataFrame({"order": [order]})
+
+    ranged = log.select("seq", "op", "key", "value").repartitionByRange(ranges, "seq").withColumn("range", F.spark_partition_id())
+    return sorted(r["order"] for r in ranged.sortWithinPartitions("seq").mapInPandas(write, "order bigint").collect())

@@ -141,6 +141,33 @@ def test_a_node_recovers_what_a_crash_left(spark, tmp_path):
     assert live(Node(spark, str(tmp_path / "n"), config)) == {**{k: v for k, v in want.items() if k != b"b"}, b"c0": b""}
 
 
+def test_a_table_is_loaded_by_tasks_and_recovered(spark, tmp_path, monkeypatch):
+    """Loaded rows never pass the driver, come after what was written before, and are read by this node and the next."""
+    from keyfold.sources import raw
+
+    monkeypatch.setattr(raw, "PART_BYTES", 8 << 10)
+    node = Node(spark, str(tmp_path / "l"))
+    node.write([("SET", b"00000001", b"old"), ("SET", b"kept", b"1")])
+    log_ = spark.range(3000).selectExpr("id AS seq", "IF(id % 7 = 0, 'REMOVE', 'SET') AS op", "CAST(lpad(CAST(id % 1000 AS STRING), 8, '0') AS BINARY) AS key", "CAST(IF(id % 7 = 0, NULL, CAST(id AS STRING)) AS BINARY) AS value")
+    node.load(log_.repartition(5))
+    node.write([("SET", b"00000002", b"new")])
+    want = {b"%08d" % (k % 1000): b"%d" % k for k in range(2000, 3000) if k % 7} | {b"kept": b"1", b"00000002": b"new"}
+    live = lambda n: {bytes(r["key"]): bytes(r["value"]) for r in n.latest().collect()}
+    parts = [n for n in node.wal.files.names(node.wal.path) if n.startswith("WAL_1_1.1.")]
+    assert len(parts) > 3 and not [n for n in node.wal.files.names(node.wal.path) if n.startswith("load")]
+    again = Node(spark, str(tmp_path / "l"))
+    assert live(again) == want and len(again.wal.waiting) == 0
+    again.load(spark.createDataFrame([(0, "REMOVE", b"kept", None), (1, "SET", b"x", b"")], LOG))
+    assert again.get(b"kept") is None and again.get(b"x") == b"" and not again.waiting
+
+
+def test_a_load_that_fails_leaves_nothing(spark, tmp_path):
+    node = Node(spark, str(tmp_path / "e"))
+    with pytest.raises(Exception, match="is no mutation"):
+        node.load(spark.createDataFrame([(0, "SET", b"a", b"1"), (1, "GET", b"a", None)], LOG))
+    assert node.wal.files.names(node.wal.path) == [] and node.get(b"a") is None
+
+
 def test_relaxed_writes_are_durable_with_their_batch(spark, tmp_path):
     now = [0.0]
     node = Node(spark, str(tmp_path / "r"), StorageConfig(batch_commands=3, batch_window_ms=1000), relaxed=True, clock=lambda: now[0])
