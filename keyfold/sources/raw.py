@@ -55,11 +55,15 @@ def read_segments(spark: SparkSession, path: str, tolerant: bool = False) -> Dat
 def decode_runs(files: DataFrame) -> DataFrame:
     """run_id, level, key, tombstone, value of runs' contents (run_id, content)."""
 
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Blocks go across runs, which may be small.
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for frame in frames:
             for run_id, content in zip(frame["run_id"], frame["content"]):
                 level, entries = codecs.decode_run(bytes(content))
-                yield from _blocks(((run_id, level, k, v is None, v) for k, v in entries), ["run_id", "level", "key", "tombstone", "value"])
+                yield from ((run_id, level, k, v is None, v) for k, v in entries)
+
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _blocks(rows(frames), ["run_id", "level", "key", "tombstone", "value"])
 
     return files.select("run_id", "content").mapInPandas(decode, "run_id bigint, level int, key binary, tombstone boolean, value binary")
 
@@ -93,12 +97,70 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 def encode_run(run: DataFrame, level: int = 0) -> DataFrame:
     """run_id, content: the raw bytes of each run's entries (of their level, if they have one).  A run must fit in a task, as a memtable does."""
 
-    def encode(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        entries = [(bytes(k), None if t else bytes(v)) for k, t, v in zip(rows["key"], rows["tombstone"], rows["value"])]
-        return pd.DataFrame({"run_id": [key[0]], "content": [codecs.encode_run(int(key[1]), entries)]})
+    return _sorted_runs(run, level).mapInPandas(_encode_runs, "run_id bigint, content binary")
+
 
+def _sorted_runs(run: DataFrame, level: int) -> DataFrame:
     held = F.col("level") if "level" in run.columns else F.lit(level)
-    return run.select("run_id", held.alias("level"), "key", "tombstone", "value").groupBy("run_id", "level").applyInPandas(encode, "run_id bigint, content binary")
+    rows = run.select("run_id", held.alias("level"), "key", "tombstone", "value")
+    return rows.repartition("run_id", "level").sortWithinPartitions("run_id", "level", "key")
+
+
+def _each_run(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, bytes]]:
+    """run_id, content of each run of sorted rows; runs are many and small, or few and large."""
+    rows = (row for frame in frames for row in zip(*(frame[c].tolist() for c in ("run_id", "level", "key", "tombstone", "value"))))
+    for (run_id, level), own in groupby(rows, key=lambda r: r[:2]):
+        yield run_id, codecs.encode_run(level, [(bytes(k), None if t else bytes(v)) for _, _, k, t, v in own])
+
+
+def _encode_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    block, size = [], 0
+    for row in _each_run(frames):
+        block.append(row)
+        size += len(row[1])
+        if size >= 1 << 20 or len(block) >= 1024:
+            yield pd.DataFrame(block, columns=["run_id", "content"])
+            block, size = [], 0
+    if block:
+        yield pd.DataFrame(block, columns=["run_id", "content"])
+
+
+def write_runs(run: DataFrame, files, path: str, prefix: str, level: int = 0) -> int:
+    """Writes each run, as ``encode_run`` has it, as path/prefix_run_id, by the task that encodes it; returns their number."""
+    if (folder := files.local_folder(path)) is None:
+        return write_files(encode_run(run, level), files, path, prefix)
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = 0
+        for run_id, content in _each_run(frames):
+            with _Whole(f"{folder}/{prefix}_{run_id}") as out:
+                out.write(content)
+            n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    return _sorted_runs(run, level).mapInPandas(write, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
+def write_segments(log: DataFrame, files, path: str, prefix: str) -> int:
+    """Writes each segment of a log (segment_order, pos, op, key, value) as path/prefix_segment_order; returns their number.
+
+    A segment streams through one task, in order of pos, and is never whole in memory.
+    """
+    if (folder := files.local_folder(path)) is None:
+        return write_files(encode_segments(log), files, path, prefix)
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, blocks = 0, ((int(own), block) for frame in frames for own, block in frame.groupby("segment_order", sort=False))
+        for order, own in groupby(blocks, key=lambda b: b[0]):
+            with _Whole(f"{folder}/{prefix}_{order}") as out:
+                out.write(codecs.encode_order(order))
+                for _, block in own:
+                    out.write(codecs.encode_mutations(_commands(block)))
+            n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    rows = log.select("segment_order", "pos", "op", "key", "value").repartition("segment_order").sortWithinPartitions("segment_order", "pos")
+    return rows.mapInPandas(write, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
 def encode_segments(log: DataFrame) -> DataFrame:
@@ -151,7 +213,22 @@ def encode_requests(requests: DataFrame) -> DataFrame:
 
 
 def write_files(contents: DataFrame, files, path: str, prefix: str) -> int:
-    """Writes each row (a number, content) as path/prefix_number, each in one step; one file is in memory at a time."""
+    """Writes each row (a number, content) as path/prefix_number, each in one step; one file is in memory at a time.
+
+    Tasks write to local files; to other stores the driver does, and all contents pass it.
+    """
+    if (folder := files.local_folder(path)) is not None:
+
+        def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            n = 0
+            for frame in frames:
+                for number, content in zip(frame.iloc[:, 0], frame.iloc[:, 1]):
+                    with _Whole(f"{folder}/{prefix}_{number}") as out:
+                        out.write(bytes(content))
+                    n += 1
+            yield pd.DataFrame({"n": [n]})
+
+        return contents.mapInPandas(write, "n bigint").agg(F.sum("n")).first()[0] or 0
     n = 0
     for number, content in contents.toLocalIterator():
         files.create_bytes(f"{path.rstrip('/')}/{prefix}_{number}", bytes(content))
